@@ -166,3 +166,10 @@ def unpivot_stack(pairs: list[tuple[str, str]], names: tuple[str, ...]) -> str:
     cells = ", ".join(", ".join(p) for p in pairs)
     assert all(len(p) == width for p in pairs)
     return f"stack({len(pairs)}, {cells}) as ({', '.join(names)})"
+
+
+def segment_text(df, column: str) -> str:
+    """SQL text of a column as a segment name; booleans read True / False."""
+    if df.schema[column].dataType.typeName() == "boolean":
+        return f"case when {column} then 'True' when not {column} then 'False' end"
+    return f"cast({column} as string)"

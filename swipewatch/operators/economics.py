@@ -115,7 +115,7 @@ def by_segment(evaluated: DataFrame, assumptions: Assumptions = Assumptions()) -
     present = [c for c in SEGMENTS if c in table.columns]
     combos = table.groupBy(*present).agg(*cell_sums())
     names = [c for c in combos.columns if c not in present]
-    long = combos.selectExpr(*names, X.unpivot_stack([(f"'{SEGMENTS[c]}'", f"cast({c} as string)") for c in present], ("segment_type", "segment")))
+    long = combos.selectExpr(*names, X.unpivot_stack([(f"'{SEGMENTS[c]}'", X.segment_text(table, c)) for c in present], ("segment_type", "segment")))
     cells = long.groupBy("segment_type", "segment").agg(*[F.sum(c).alias(c) for c in names])
     return cells.select("segment_type", "segment", *economics_columns(assumptions))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..functions.scale import TASK_ROWS, quantiles
+from ..functions.scale import TASK_ROWS, cut, quantiles
 from ..sources import contracts as C
 from . import drift as D
 from . import metrics as M
@@ -173,7 +173,7 @@ def segment_monitor(df: DataFrame, window_id: str = "") -> DataFrame:
     present = {k: c for k, c in SEGMENT_TYPES.items() if c in s.columns}
     exposure = "positive_exposure" if "positive_exposure" in s.columns else "amount"
     combos = s.groupBy(*present.values()).agg(F.count("*").alias("n"), F.coalesce(F.sum(X.cents(exposure)), F.lit(0)).alias("x"))
-    long = combos.selectExpr("n", "x", X.unpivot_stack([(text(k), f"cast({c} as string)") for k, c in present.items()], ("segment_type", "segment")))
+    long = combos.selectExpr("n", "x", X.unpivot_stack([(text(k), X.segment_text(s, c)) for k, c in present.items()], ("segment_type", "segment")))
     cells = long.groupBy("segment_type", "segment").agg(F.sum("n").alias("support"), F.sum("x").alias("x"))
     every = Window.partitionBy("segment_type")
     return cells.select(F.lit(window_id).alias("window_id"), "segment_type", "segment", "support", X.ratio("support", F.sum("support").over(every)).alias("share_transactions"), X.ratio("x", F.sum("x").over(every)).alias("share_exposure"))
@@ -278,7 +278,8 @@ CATEGORICAL_MONITORED = ("channel", "MCC", "pair_new", "cold_card", "new_merchan
 
 def build_baseline(df: DataFrame, **bounds) -> dict[str, DataFrame]:
     """Frozen tables from the pre-out-of-time rows: numeric and category references and the score reference."""
-    reference = reference_rows(C.operational_view(df.drop("fraud_label")))
+    # Several tables are read from these rows, so they are written once.
+    reference = cut(reference_rows(C.operational_view(df.drop("fraud_label"))))
     numeric = [c for c in NUMERIC_MONITORED if c in df.columns]
     categorical = [c for c in CATEGORICAL_MONITORED if c in df.columns]
     return {"numeric": D.numeric_reference(reference, numeric, **bounds), "categories": D.category_reference(reference, categorical), "score": D.score_reference(reference, **bounds)}
@@ -287,7 +288,8 @@ def build_baseline(df: DataFrame, **bounds) -> dict[str, DataFrame]:
 def replay(df: DataFrame, baseline: dict[str, DataFrame], thresholds: dict[str, tuple[float, float, int]] = ALERT_THRESHOLDS, **bounds) -> dict[str, DataFrame]:
     """Every monitor on the out-of-time rows, from frozen tables only; outcome tables only if labels are there."""
     check_thresholds(thresholds)
-    observed = observation_rows(df)
+    # A dozen reports read the observation, so it is written once.
+    observed = cut(observation_rows(df))
     if observed.isEmpty():
         raise ValueError("replay requires an out-of-time observation scope")
     label = "FINAL_OOT"

@@ -287,8 +287,8 @@ def _(spark, sf):
 
 
 _SEG = """,seg as (select *, case when cold_card and new_merchant then 'BOTH_NODES_UNSEEN' when cold_card then 'NEW_CARD_ONLY' when new_merchant then 'NEW_MERCHANT_ONLY' when pair_new then 'WARM_PAIR_NEW' else 'WARM_PAIR_SEEN' end as css from dec),
- long as (select *, 'channel' as segment_type, channel as segment from seg union all select *, 'pair_seen', cast(pair_new as varchar) from seg union all select *, 'cold_start', cast(cold_card as varchar) from seg
-  union all select *, 'merchant_novelty', cast(new_merchant as varchar) from seg union all select *, 'cold_start_segment', css from seg) """
+ long as (select *, 'channel' as segment_type, channel as segment from seg union all select *, 'pair_seen', if(pair_new, 'True', 'False') from seg union all select *, 'cold_start', if(cold_card, 'True', 'False') from seg
+  union all select *, 'merchant_novelty', if(new_merchant, 'True', 'False') from seg union all select *, 'cold_start_segment', css from seg) """
 
 
 @query("ECO03_segment_economics", with_(STANDARD, _SEG + economics_sql("long", "segment_type, segment")))
