@@ -70,13 +70,6 @@ def rows_at_most(df: DataFrame, limit: int, known: int | None = None) -> bool:
     return df.count() <= limit
 
 
-def with_small(df: DataFrame, small: DataFrame, on, how: str = "left", small_rows: int | None = None) -> DataFrame:
-    """Join, broadcasting ``small`` only when its row count is known to be bounded."""
-    if small_rows is not None and small_rows <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return df.join(small, on, how)
-
-
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 

@@ -152,21 +152,8 @@ def _by_prefix(df: DataFrame, family: str, task_rows: int) -> DataFrame:
     return join_same(df, wide, [*keys, "_us"])
 
 
-def _history(df: DataFrame, families: list[str], entity: list[str], rows: int | None, task_rows: int) -> DataFrame:
-    hot = None if rows is not None and rows <= task_rows else hot_keys(df, entity, task_rows)
-    cold_rows = df
-    if hot is not None:
-        cold_rows, hot_rows = split_hot(df, hot, entity)
-    for family in families:
-        cold_rows = _by_window(cold_rows, family)
-    if hot is None:
-        return cold_rows
-    for family in families:
-        hot_rows = _by_prefix(hot_rows, family, task_rows)
-    return cold_rows.unionByName(hot_rows.select(*cold_rows.columns))
-
-
-def _derive(family: str) -> dict[str, Column]:
+def _derive(df: DataFrame, family: str) -> DataFrame:
+    """Replace the running sums of a family by its features."""
     n = F.col(f"{family}_n")
     newness = "cold_start" if family in COUNT_LOOKBACKS else "is_new"
     out = {f"{family}_prior_txn_count": n, f"{family}_{newness}": F.when(n == 0, 1).otherwise(0)}
@@ -174,23 +161,37 @@ def _derive(family: str) -> dict[str, Column]:
         out[f"{family}_seconds_since_prev_txn"] = X.whole_seconds_between(F.col(f"{family}_last"), F.col("_us"))
     for name in COUNT_LOOKBACKS.get(family, {}):
         out[f"{family}_txn_count_{name}"] = n - F.col(f"{family}_n_{name}")
+    spent = {c for c in df.columns if c == f"{family}_n" or c == f"{family}_last" or c.startswith(f"{family}_n_")}
     if family in AMOUNT_LOOKBACKS:
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         for name in AMOUNT_LOOKBACKS[family]:
             out[f"{family}_positive_amount_sum_{name}"] = X.dollars(zero(f"{family}_ps") - zero(f"{family}_ps_{name}"))
         k, s, q = F.col(f"{family}_pn"), F.col(f"{family}_ps"), F.col(f"{family}_pq")
-        mean = F.when(k > 0, s.cast("double") / (k.cast("double") * 100.0))
         wide = lambda c: c.cast("decimal(19,0)")
         spread = (wide(k) * q - wide(s) * wide(s)).cast("double")
-        std = F.when(k > 1, F.sqrt(spread / (k * (k - 1)).cast("double")) / 100.0)
-        amount = F.col("amount")
-        out[f"{family}_prior_positive_amount_mean"] = mean
-        out[f"{family}_prior_positive_amount_std"] = std
+        mean_name, std_name = f"{family}_prior_positive_amount_mean", f"{family}_prior_positive_amount_std"
+        # Named first, because the four features below use them several times.
+        df = df.withColumns({
+            mean_name: F.when(k > 0, s.cast("double") / (k.cast("double") * 100.0)),
+            std_name: F.when(k > 1, F.sqrt(spread / (k * (k - 1)).cast("double")) / 100.0)})
+        amount, mean, std = F.col("amount"), F.col(mean_name), F.col(std_name)
         out[f"current_positive_amount_vs_{family}_mean"] = F.when((amount > 0) & (mean > 0), amount / mean)
-        out[f"current_positive_amount_{family}_z"] = F.when(
-            (amount > 0) & (k >= Z_MIN_HISTORY) & (std > 0), (amount - mean) / std
-        )
-    return out
+        out[f"current_positive_amount_{family}_z"] = F.when((amount > 0) & (k >= Z_MIN_HISTORY) & (std > 0), (amount - mean) / std)
+        spent |= {f"{family}_pn", f"{family}_ps", f"{family}_pq", *[f"{family}_ps_{n}" for n in AMOUNT_LOOKBACKS[family]]}
+    return df.select(*[c for c in df.columns if c not in spent], *[c.alias(name) for name, c in out.items()])
+
+
+def _history(df: DataFrame, families: list[str], entity: list[str], hot: DataFrame | None, task_rows: int) -> DataFrame:
+    cold_rows = df
+    if hot is not None:
+        cold_rows, hot_rows = split_hot(df, hot, entity)
+    for family in families:
+        cold_rows = _derive(_by_window(cold_rows, family), family)
+    if hot is None:
+        return cold_rows
+    for family in families:
+        hot_rows = _derive(_by_prefix(hot_rows, family, task_rows), family)
+    return cold_rows.unionByName(hot_rows.select(*cold_rows.columns))
 
 
 def behavior_features(df: DataFrame, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -202,13 +203,15 @@ def behavior_features(df: DataFrame, *, rows: int | None = None, task_rows: int
     prepared = df.withColumn("_us", X.micros("transaction_timestamp")).withColumn(
         "_pos", F.when(F.col("amount") > 0, X.cents("amount"))
     )
-    seen = _history(prepared, ["merchant"], FAMILIES["merchant"], rows, task_rows)
-    user_side = [f for f in FAMILIES if f != "merchant"]
-    seen = _history(seen, user_side, FAMILIES["user"], rows, task_rows)
-    derived = {name: column for family in FAMILIES for name, column in _derive(family).items()}
+    small = rows is not None and rows <= task_rows
+    hot = {e: None if small else hot_keys(df, FAMILIES[e], task_rows) for e in ("merchant", "user")}
+    seen = _history(prepared, ["merchant"], FAMILIES["merchant"], hot["merchant"], task_rows)
+    # Pairs first: they add few columns, so most sorts move narrow rows.
+    user_side = [f for f in FAMILIES if f not in ("merchant", "user", "card")] + ["card", "user"]
+    seen = _history(seen, user_side, FAMILIES["user"], hot["user"], task_rows)
     return seen.select(
         *df.columns,
-        *[derived[name].alias(name) for name in FEATURES],
+        *FEATURES,
         (F.col("amount") > 0).alias("current_positive_amount"),
         F.when(F.col("merchant_state").isNull(), 1).otherwise(0).alias("state_missing_flag"),
         F.lit(CONTRACT_VERSION).alias("feature_contract_version"),

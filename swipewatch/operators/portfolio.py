@@ -12,8 +12,12 @@ from .quality import rows_from, text
 
 DISCOVERY = "DEVELOPMENT_DISCOVERY"
 MIN_SUPPORT = 1000
-# Windows with this spec run over an aggregated table: one row per segment, month or label.
-OVER_ALL = Window.partitionBy(F.lit(0))
+
+
+def over_all():
+    """One window over everything, only for aggregated tables: a row per segment, month or label."""
+    return Window.partitionBy(F.lit(0))
+
 
 SEGMENT_COLUMNS = {
     "channel": lambda: X.known_or_unknown("use_chip"),
@@ -35,7 +39,7 @@ def _measures() -> list[Column]:
 def _share_columns(amounts: bool = True) -> list[Column]:
     """Rates against the whole portfolio, from one row per segment."""
     n, f = F.col("transactions"), F.col("fraud_transactions")
-    every = lambda c: F.sum(c).over(OVER_ALL)
+    every = lambda c: F.sum(c).over(over_all())
     rate = X.ratio(f, n)
     out = [
         n, X.ratio(n, every("transactions")).alias("transaction_share"), f, rate.alias("fraud_rate"),
@@ -73,7 +77,7 @@ def _trend_columns() -> list[Column]:
 
 def monthly_trend(df: DataFrame) -> DataFrame:
     months = df.groupBy(X.month_key("transaction_timestamp").alias("month")).agg(*_measures())
-    baseline = X.ratio(F.sum("fraud_transactions").over(OVER_ALL), F.sum("transactions").over(OVER_ALL))
+    baseline = X.ratio(F.sum("fraud_transactions").over(over_all()), F.sum("transactions").over(over_all()))
     return months.select(
         F.lit(DISCOVERY).alias("analysis_scope"), "month", F.lit("DEVELOPMENT").alias("split_name"), *_trend_columns(),
         X.ratio(X.ratio("fraud_transactions", "transactions"), baseline).alias("fraud_lift_vs_development_baseline"),
@@ -133,9 +137,9 @@ def concentration(df: DataFrame, entity: str) -> DataFrame:
     """
     per_entity = df.groupBy(ENTITIES[entity]().alias("e")).agg(F.sum("fraud_label").cast("long").alias("f"))
     levels = per_entity.groupBy("f").agg(F.count("*").alias("k"))
-    above = OVER_ALL.orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)
+    above = over_all().orderBy(F.desc("f")).rowsBetween(Window.unboundedPreceding, -1)
     placed = levels.select("f", "k", F.coalesce(F.sum("k").over(above), F.lit(0)).alias("before"),
-                           F.sum("k").over(OVER_ALL).alias("entities"), F.sum(F.col("k") * F.col("f")).over(OVER_ALL).alias("all_fraud"))
+                           F.sum("k").over(over_all()).alias("entities"), F.sum(F.col("k") * F.col("f")).over(over_all()).alias("all_fraud"))
 
     def held(top: Column) -> Column:
         taken = F.greatest(F.lit(0), F.least(F.col("k"), top.cast("long") - F.col("before")))
@@ -227,7 +231,7 @@ def channel_state_dependency(df: DataFrame) -> DataFrame:
         F.coalesce("use_chip", F.lit("<NULL>")).alias("channel"),
         F.when(F.col("merchant_state").isNull(), "<MISSING>").otherwise("<PRESENT>").alias("state_status"),
     ).agg(F.count("*").alias("transactions"))
-    return cells.withColumn("share", X.ratio("transactions", F.sum("transactions").over(OVER_ALL))).orderBy(F.desc("transactions"), "channel", "state_status")
+    return cells.withColumn("share", X.ratio("transactions", F.sum("transactions").over(over_all()))).orderBy(F.desc("transactions"), "channel", "state_status")
 
 
 def share_checks(tables: dict[str, DataFrame]) -> DataFrame:

@@ -238,23 +238,31 @@ def label_report(raw: DataFrame) -> DataFrame:
     return counts.unionByName(money)
 
 
+def _stitch(df: DataFrame, inside: str, into: str) -> DataFrame:
+    """Fold time spans (lo, hi, smallest gap, counts) of one ``inside`` span into one row, adding the gaps between neighbours."""
+    w = Window.partitionBy(inside).orderBy("lo")
+    edged = df.withColumn("edge", F.col("lo") - F.lag("hi").over(w))
+    return edged.groupBy(inside, *([into] if into else [])).agg(
+        F.least(F.min("gap"), F.min("edge")).alias("gap"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.sum("instants").alias("instants"))
+
+
 def timestamp_precision(df: DataFrame) -> DataFrame:
     """Same-instant neighbours and the smallest positive gap, without a global sort.
 
     Equal neighbours are rows minus distinct instants. Gaps are taken inside each
-    hour and between the last and first instant of neighbouring occupied hours.
+    second, then between neighbouring seconds of a day, then between days.
     """
-    instants = df.groupBy(X.micros("transaction_timestamp").alias("us")).agg(F.count("*").alias("n"))
-    hour = F.floor(F.col("us") / F.lit(3_600_000_000)).alias("hour")
-    seen = instants.where("us is not null").select("us", "n", hour)
-    inside = Window.partitionBy("hour").orderBy("us")
-    gaps = seen.withColumn("gap", F.col("us") - F.lag("us").over(inside))
-    hours = gaps.groupBy("hour").agg(F.min("gap").alias("gap"), F.min("us").alias("lo"), F.max("us").alias("hi"),
-                                     F.sum("n").alias("n"), F.count("*").alias("instants"))
-    stitched = hours.withColumn("edge", F.col("lo") - F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("hour")))
-    one = stitched.agg(F.sum("n").alias("present"), F.sum("instants").alias("instants"),
-                       F.coalesce(F.least(F.min("gap"), F.min("edge")), F.lit(0)).alias("min_gap"))
-    nulls = instants.agg(F.coalesce(F.sum(F.when(F.col("us").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
+    us = X.micros("transaction_timestamp")
+    instants = df.groupBy(us.alias("lo")).agg(F.count("*").alias("n"))
+    span = lambda size: F.floor(F.col("lo") / F.lit(size))
+    points = instants.where("lo is not null").select(
+        "lo", F.col("lo").alias("hi"), F.lit(None).cast("long").alias("gap"), "n", F.lit(1).cast("long").alias("instants"),
+        span(1_000_000).alias("second"), span(86_400_000_000).alias("day"))
+    seconds = _stitch(points, "second", "day")
+    days = _stitch(seconds, "day", "").withColumn("whole", F.lit(0))
+    one = _stitch(days, "whole", "").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("present"), F.coalesce(F.sum("instants"), F.lit(0)).alias("instants"), F.coalesce(F.min("gap"), F.lit(0)).alias("min_gap"))
+    nulls = instants.agg(F.coalesce(F.sum(F.when(F.col("lo").isNull(), F.col("n"))), F.lit(0)).alias("missing"))
     both = one.withColumn("k", F.lit(1)).join(F.broadcast(nulls.withColumn("k", F.lit(1))), "k")
     return rows_from(both, ("metric", "value", "status"), [
         ("'timestamp_nulls'", "double(missing)", "if(missing = 0, 'PASS', 'FAIL')"),
@@ -275,48 +283,51 @@ def no_join_explosion(layers: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _invariants() -> dict[str, tuple[Column, str]]:
-    c = F.col
-    checks: dict[str, tuple[Column, str]] = {}
+# Invariant name -> what a violation would contradict.
+INVARIANTS = {
+    "user_cold_start_consistency": "cold start implies zero prior count and NULL recency",
+    "card_cold_start_consistency": "cold start implies zero prior count and NULL recency",
+    "merchant_cold_start_consistency": "cold start implies zero prior count and NULL recency",
+    "user_merchant_new_consistency": "new relationship implies zero prior count and NULL recency",
+    "card_merchant_new_consistency": "new relationship implies zero prior count and NULL recency",
+    "relationship_count_hierarchy": "relationship history cannot exceed entity history",
+    "non_negative_recency": "recency is NULL or non-negative",
+    "current_positive_amount_semantics": "positive flag agrees with source amount",
+    "amount_ratio_semantics": "ratios require a positive current amount and positive prior mean",
+    "amount_z_semantics": "z-scores require positive current amount and positive prior standard deviation",
+    "state_missing_not_new": "missing state is an availability flag, not a familiarity flag",
+}
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    out = F.lit(False)
+    for condition in conditions:
+        out = out | condition
+    return out
+
+
+def _violations() -> dict[str, Column]:
+    c, bad = F.col, {}
     for e in ("user", "card", "merchant"):
-        count, cold, gap = c(f"{e}_prior_txn_count"), c(f"{e}_cold_start"), c(f"{e}_seconds_since_prev_txn")
-        checks[f"{e}_cold_start_consistency"] = (
-            ((cold == 1) & ((count != 0) | gap.isNotNull())) | ((count == 0) & (cold != 1)),
-            "cold start implies zero prior count and NULL recency")
+        none_before, cold = c(f"{e}_prior_txn_count") == 0, c(f"{e}_cold_start") == 1
+        bad[f"{e}_cold_start_consistency"] = (cold & (~none_before | c(f"{e}_seconds_since_prev_txn").isNotNull())) | (none_before & ~cold)
     for e in ("user_merchant", "card_merchant"):
-        checks[f"{e}_new_consistency"] = (
-            (c(f"{e}_is_new") == 1) & ((c(f"{e}_prior_txn_count") != 0) | c(f"{e}_seconds_since_prev_txn").isNotNull()),
-            "new relationship implies zero prior count and NULL recency")
-    wider = F.lit(False)
-    for e in ("user", "card"):
-        for other in ("merchant", "mcc", "channel"):
-            wider = wider | (c(f"{e}_{other}_prior_txn_count") > c(f"{e}_prior_txn_count"))
-    checks["relationship_count_hierarchy"] = (wider, "relationship history cannot exceed entity history")
-    negative = F.lit(False)
-    for f in recency_features():
-        negative = negative | (c(f) < 0)
-    checks["non_negative_recency"] = (negative, "recency is NULL or non-negative")
-    current = c("current_positive_amount")
-    checks["current_positive_amount_semantics"] = (
-        (current & (c("amount") <= 0)) | (~current & (c("amount") > 0)), "positive flag agrees with source amount")
-    for name, stat, feature, note in (
-        ("amount_ratio_semantics", "mean", "current_positive_amount_vs_{}_mean", "ratios require a positive current amount and positive prior mean"),
-        ("amount_z_semantics", "std", "current_positive_amount_{}_z", "z-scores require positive current amount and positive prior standard deviation"),
-    ):
-        bad = F.lit(False)
-        for e in ("user", "card"):
-            base = c(f"{e}_prior_positive_amount_{stat}")
-            bad = bad | (c(feature.format(e)).isNotNull() & ((c("amount") <= 0) | base.isNull() | (base <= 0)))
-        checks[name] = (bad, note)
-    checks["state_missing_not_new"] = (
-        (c("state_missing_flag") == 1) & c("merchant_state").isNotNull(), "missing state is an availability flag, not a familiarity flag")
-    return checks
+        seen = (c(f"{e}_prior_txn_count") != 0) | c(f"{e}_seconds_since_prev_txn").isNotNull()
+        bad[f"{e}_new_consistency"] = (c(f"{e}_is_new") == 1) & seen
+    pairs = [(e, o) for e in ("user", "card") for o in ("merchant", "mcc", "channel")]
+    bad["relationship_count_hierarchy"] = _any([c(f"{e}_{o}_prior_txn_count") > c(f"{e}_prior_txn_count") for e, o in pairs])
+    bad["non_negative_recency"] = _any([c(f) < 0 for f in recency_features()])
+    bad["current_positive_amount_semantics"] = c("current_positive_amount") != (c("amount") > 0)
+    for name, stat, feature in (("amount_ratio_semantics", "mean", "vs_{}_mean"), ("amount_z_semantics", "std", "{}_z")):
+        allowed = {e: (c("amount") > 0) & F.coalesce(c(f"{e}_prior_positive_amount_{stat}") > 0, F.lit(False)) for e in ("user", "card")}
+        bad[name] = _any([c(f"current_positive_amount_{feature.format(e)}").isNotNull() & ~ok for e, ok in allowed.items()])
+    bad["state_missing_not_new"] = (c("state_missing_flag") == 1) & c("merchant_state").isNotNull()
+    return bad
 
 
 def semantic_invariants(mart: DataFrame) -> DataFrame:
-    checks = _invariants()
-    one = mart.agg(F.count("*").alias("n"), *[F.count_if(bad).alias(name) for name, (bad, _) in checks.items()])
-    rows = [(text(name), "n", name, f"if({name} = 0, 'PASS', 'FAIL')", text(note)) for name, (_, note) in checks.items()]
+    one = mart.agg(F.count("*").alias("n"), *[F.count_if(bad).alias(name) for name, bad in _violations().items()])
+    rows = [(text(name), "n", name, f"if({name} = 0, 'PASS', 'FAIL')", text(note)) for name, note in INVARIANTS.items()]
     return rows_from(one, ("check_name", "rows_checked", "violations", "status", "notes"), rows)
 
 

@@ -24,6 +24,17 @@ def _(spark, sf):
     return numbered.agg(F.count("*").alias("rows"), F.countDistinct(i).alias("ids"), F.min(i).alias("first_id"), F.max(i).alias("last_id"))
 
 
+@query("SRC03_open_table", "select o_orderpriority, count(*) as rows from orders group by 1")
+def _(spark, sf):
+    readers.open_table(spark, f"{sf}/orders.parquet", "swipewatch_orders")
+    return spark.sql("select o_orderpriority, count(*) as rows from swipewatch_orders group by 1")
+
+
+@query("SRC04_load_by_suffix", "select c_mktsegment, count(*) as rows from customer group by 1")
+def _(spark, sf):
+    return readers.load(spark, f"{sf}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("rows"))
+
+
 @query("SRC07_prefix_slice", with_(TXN, "select source_row_id, amount, fraud_label from txn where source_row_id <= 100000"))
 def _(spark, sf):
     return readers.prefix_slice(T.transactions(spark, sf), 100000).select("source_row_id", "amount", "fraud_label")
@@ -234,8 +245,8 @@ def _(spark, sf):
         "behavior_source": T.model_splits(spark, sf), "behavioral_features_v1": mart.drop("fraud_label"), "evaluation_view": mart})
 
 
-_INVARIANT_NAMES = ", ".join(f"'{n}'" for n in Q._invariants())
-_INVARIANT_NOTES = ", ".join(f"'{n}'" for _, n in Q._invariants().values())
+_INVARIANT_NAMES = ", ".join(f"'{n}'" for n in Q.INVARIANTS)
+_INVARIANT_NOTES = ", ".join(f"'{n}'" for n in Q.INVARIANTS.values())
 
 
 @query("DQ25_semantic_invariants", with_(MART, f"""select unnest([{_INVARIANT_NAMES}]) as check_name, n as rows_checked, unnest(bad) as violations,
@@ -256,9 +267,6 @@ def _(spark, sf):
     return Q.semantic_invariants(T.mart(spark, sf))
 
 
-_REL = ", ".join(f"('{e}_{o}_is_new_count', count(*) filter (where {e}_{o}_is_new = 1))" for o in ("merchant", "mcc", "channel") for e in ("user", "card"))
-
-
 @query("DQ26_relationship_semantics", with_(MART, " union all ".join(
     [f"select '{e}_{o}_is_new_count' as metric, count(*) filter (where {e}_{o}_is_new = 1) as metric_value from mart" for o in ("merchant", "mcc", "channel") for e in ("user", "card")]
     + [f"select '{e}_merchant_recency_null_count', count(*) - count({e}_merchant_seconds_since_prev_txn) from mart" for e in ("user", "card")])))

@@ -8,8 +8,10 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import exprs as X
+from ..functions.scale import BROADCAST_ROWS, cut
 from ..operators.quality import RAW_COLUMNS
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
@@ -28,10 +30,24 @@ def read_raw_csv(spark: SparkSession, path: str, contract: Sequence[str] = tuple
 
 
 def add_row_id(df: DataFrame, name: str = "source_row_id") -> DataFrame:
-    """Contiguous 1..N ids in scan order: one count per partition, no global window."""
-    schema = T.StructType([T.StructField(name, T.LongType(), False), *df.schema.fields])
-    numbered = df.rdd.zipWithIndex().map(lambda pair: (pair[1] + 1, *pair[0]))
-    return df.sparkSession.createDataFrame(numbered, schema)
+    """Contiguous 1..N ids in scan order, from one count per scan partition and no global window.
+
+    ``df`` must be a file scan with at most row-wise steps on it, so that both
+    passes see the same partitions; a table behind a shuffle must be written first.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = cut(df)
+    tagged = df.withColumn("_m", F.monotonically_increasing_id())
+    part = F.shiftright("_m", 33)
+    counts = tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # One row per scan partition.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
+    if df.rdd.getNumPartitions() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    position = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = tagged.withColumn("_part", part).join(offsets, "_part")
+    return numbered.select((F.col("_offset") + position + 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str) -> None:
