@@ -51,7 +51,7 @@ def ranking_metrics(df: DataFrame, by: Sequence[str] = (), score: str = "risk_sc
     per = t.groupBy(*by).agg(
         F.max("total").alias("rows"), F.max("total_pos").alias("fraud_rows"),
         F.sum(X.ratio("pos", pos) * X.ratio("cum_pos", "cum_n")).alias("_ap"),
-        (F.sum(won).cast("double") / (F.lit(2.0) * F.max(pos).cast("double") * F.max(F.when(neg != 0, neg)).cast("double"))).alias("_auc"),
+        X.ratio(F.sum(won), F.lit(2.0) * F.max(pos).cast("double") * F.max(neg).cast("double")).alias("_auc"),
         F.max(F.abs(gap)).alias("_ks"), F.greatest(F.lit(0.0), F.max(gap)).alias("_ks_roc"))
     both = (F.col("fraud_rows") > 0) & (F.col("fraud_rows") < F.col("rows"))
     return per.select(
