@@ -186,7 +186,7 @@ _NUM = ("amount", "risk_score", "state_missing_flag")
 @query("MON11_12_frozen_bins", with_(MON + "," + _numeric_ctes(_NUM), " union all ".join(f"select '{f}' as feature_name, b as bin, n as rows from {f}_r" for f in _NUM)))
 def _(spark, sf):
     ref, _cur = both(spark, sf)
-    return D.numeric_reference(ref, _NUM, **bound(spark, sf)).select("feature_name", F.posexplode("bin_counts").alias("bin", "rows"))
+    return D.numeric_reference(ref, _NUM, **bound(spark, sf)).select("feature_name", F.posexplode("bin_counts").alias("bin", "rows")).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query("MON20_numeric_reference", with_(MON, " union all ".join(

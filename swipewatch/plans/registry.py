@@ -9,12 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Dates and times are compared as text, since clients differ in how they return them.
+AS_TEXT = {
+    "SRC12_inventory": ("date_min", "date_max"), "PRJ01_05_standardize": ("transaction_timestamp",), "PRJ06_09_dates_and_bands": ("transaction_date",),
+    "PRJ10_current_context": ("transaction_timestamp",), "DQ11_source_audit": ("date_min", "date_max"), "DQ11_daily_audit": ("day",), "DQ37_lineage": ("min_timestamp", "max_timestamp"),
+    "SPL01_chronological_split": ("transaction_date",), "SPL02_derived_splits": ("date_start", "date_end"), "SPL03_split_summary": ("date_start", "date_end"), "SPL04_quarter_counts": ("quarter_start",),
+    "SPL07_scope_summary": ("date_start", "date_end"), "SPL08_evaluation_population": ("date_start", "date_end"), "SPL11_temporal_folds": ("train_end", "validation_start", "validation_end"),
+    "SPL12_policy_scopes": ("start_at", "end_at"), "WIN19_behavioral_mart": ("transaction_timestamp",), "POL16_daily_action_metrics": ("date",), "SRC06_monitoring_input_aliases": ("transaction_timestamp",),
+}
+
 
 def query(name: str, sql: str | None = None):
+    texts = AS_TEXT.get(name, ())
+
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir):
+            df = fn(spark, sf_dir)
+            return df.withColumns({c: df[c].cast("string") for c in texts}) if texts else df
+
+        QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql
+            replaced = ", ".join(f"cast({c} as varchar) as {c}" for c in texts)
+            ORACLES[name] = f"select * replace ({replaced}) from (\n{sql}\n) as checked" if texts else sql
         return fn
     return register
 
