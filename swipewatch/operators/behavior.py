@@ -152,8 +152,17 @@ def _by_prefix(df: DataFrame, family: str, task_rows: int) -> DataFrame:
     return join_same(df, wide, [*keys, "_us"])
 
 
-def _derive(df: DataFrame, family: str) -> DataFrame:
-    """Replace the running sums of a family by its features."""
+def _derive(df: DataFrame, families: list[str]) -> DataFrame:
+    """Replace the running sums of some families by their features, in one projection."""
+    out, spent = {}, set()
+    for family in families:
+        df, features, used = _features(df, family)
+        out |= features
+        spent |= used
+    return df.select(*[c for c in df.columns if c not in spent], *[c.alias(name) for name, c in out.items()])
+
+
+def _features(df: DataFrame, family: str) -> tuple[DataFrame, dict[str, Column], set[str]]:
     n = F.col(f"{family}_n")
     newness = "cold_start" if family in COUNT_LOOKBACKS else "is_new"
     out = {f"{family}_prior_txn_count": n, f"{family}_{newness}": F.when(n == 0, 1).otherwise(0)}
@@ -178,19 +187,27 @@ def _derive(df: DataFrame, family: str) -> DataFrame:
         out[f"current_positive_amount_vs_{family}_mean"] = F.when((amount > 0) & (mean > 0), amount / mean)
         out[f"current_positive_amount_{family}_z"] = F.when((amount > 0) & (k >= Z_MIN_HISTORY) & (std > 0), (amount - mean) / std)
         spent |= {f"{family}_pn", f"{family}_ps", f"{family}_pq", *[f"{family}_ps_{n}" for n in AMOUNT_LOOKBACKS[family]]}
-    return df.select(*[c for c in df.columns if c not in spent], *[c.alias(name) for name, c in out.items()])
+    return df, out, spent
 
 
 def _history(df: DataFrame, families: list[str], entity: list[str], hot: DataFrame | None, task_rows: int) -> DataFrame:
     cold_rows = df
     if hot is not None:
         cold_rows, hot_rows = split_hot(df, hot, entity)
-    for family in families:
-        cold_rows = _derive(_by_window(cold_rows, family), family)
+    # The amount families are derived as soon as they are summed, the others together:
+    # small projections compile and run faster than one that holds all features.
+    pairs = [f for f in families if f not in AMOUNT_LOOKBACKS]
+    steps = ([pairs] if pairs else []) + [[f] for f in families if f in AMOUNT_LOOKBACKS]
+    for step in steps:
+        for family in step:
+            cold_rows = _by_window(cold_rows, family)
+        cold_rows = _derive(cold_rows, step)
     if hot is None:
         return cold_rows
-    for family in families:
-        hot_rows = _derive(_by_prefix(hot_rows, family, task_rows), family)
+    for step in steps:
+        for family in step:
+            hot_rows = _by_prefix(hot_rows, family, task_rows)
+        hot_rows = _derive(hot_rows, step)
     return cold_rows.unionByName(hot_rows.select(*cold_rows.columns))
 
 
