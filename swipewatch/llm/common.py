@@ -130,4 +130,5 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if now == last:
             break
         last = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    both = edges.union(edges.select("v", "v"))
+    return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

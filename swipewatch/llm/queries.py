@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, tokens, urls
+from . import decontaminate, lines, simhash, tokens, urls
 
 _ALL = [
     (decontaminate.op3_benchmark_decontamination, None),
+    (simhash.op5_simhash_near_dedup, None),
     (lines.op6_line_dedup, lines.SQL),
     (urls.op8_url_filters, urls.SQL),
     (tokens.op9_token_counts, None),
