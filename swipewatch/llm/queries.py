@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, simhash, tokens, urls
+from . import decontaminate, lines, quality, simhash, tokens, urls
 
 _ALL = [
+    (quality.op1_quality_classifier, None),
     (decontaminate.op3_benchmark_decontamination, None),
     (simhash.op5_simhash_near_dedup, None),
     (lines.op6_line_dedup, lines.SQL),
