@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, quality, simhash, tokens, urls
+from . import decontaminate, html, lines, quality, simhash, tokens, urls
 
 _ALL = [
     (quality.op1_quality_classifier, None),
     (decontaminate.op3_benchmark_decontamination, None),
     (simhash.op5_simhash_near_dedup, None),
     (lines.op6_line_dedup, lines.SQL),
+    (html.op7_html_extraction, None),
     (urls.op8_url_filters, urls.SQL),
     (tokens.op9_token_counts, None),
 ]
