@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, lines, quality, simhash, tokens, urls
+from . import ann, decontaminate, html, lines, quality, simhash, tokens, urls
 
 _ALL = [
     (quality.op1_quality_classifier, None),
@@ -12,6 +12,7 @@ _ALL = [
     (html.op7_html_extraction, None),
     (urls.op8_url_filters, urls.SQL),
     (tokens.op9_token_counts, None),
+    (ann.op10_nearest_neighbours, None),
 ]
 
 QUERIES = {f.__name__: f for f, _ in _ALL}
