@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, lines, quality, simhash, tokens, urls
+from . import ann, decontaminate, html, lines, mixing, quality, simhash, tokens, urls
 
 _ALL = [
     (quality.op1_quality_classifier, None),
     (decontaminate.op3_benchmark_decontamination, None),
+    (mixing.op4_mixing_to_target_weights, None),
     (simhash.op5_simhash_near_dedup, None),
     (lines.op6_line_dedup, lines.SQL),
     (html.op7_html_extraction, None),
