@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html, lines, mixing, quality, simhash, tokens, urls
+from . import ann, decontaminate, html, lines, mixing, quality, simhash, suffix_dedup, tokens, urls
 
 _ALL = [
     (quality.op1_quality_classifier, None),
+    (suffix_dedup.op2_suffix_array_dedup, None),
     (decontaminate.op3_benchmark_decontamination, None),
     (mixing.op4_mixing_to_target_weights, None),
     (simhash.op5_simhash_near_dedup, None),
