@@ -188,10 +188,10 @@ def category_reference(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return long.groupBy("feature_name", "category").agg(F.count("*").alias("reference_count"))
 
 
-def top_categories(df: DataFrame, feature: str, top: int = 100) -> DataFrame:
-    """Known categories: the ``top`` most frequent, with their share."""
+def top_categories(df: DataFrame, feature: str, top: int | None = None) -> DataFrame:
+    """Known categories with their share: all, or the ``top`` most frequent if only these are to count as known."""
     counted = df.groupBy(X.category(feature).alias("category")).agg(F.count("*").alias("n"))
-    known = counted.orderBy(F.desc("n"), "category").limit(top)
+    known = counted if top is None else counted.orderBy(F.desc("n"), "category").limit(top)
     total = F.broadcast(counted.agg(F.sum("n").alias("total"), F.lit(1).alias("k")))
     return known.withColumn("k", F.lit(1)).join(total, "k").select(F.lit(feature).alias("feature_name"), "category", X.ratio("n", "total").alias("reference_share"))
 

@@ -367,39 +367,47 @@ def partition_diversity(profile: DataFrame) -> DataFrame:
     )
 
 
-def cross_split_history(df: DataFrame, targets_per_split: int = 100) -> DataFrame:
-    """Recount earlier-split history for the first rows of each later split (200 target rows, broadcast)."""
-    allowed = {"VALIDATION": ["DEVELOPMENT"], "OUT_OF_TIME_OOT": ["DEVELOPMENT", "VALIDATION"]}
-    targets = None
-    for split in allowed:
-        part = df.where(F.col("split") == split).orderBy("source_row_id").limit(targets_per_split).select(
-            F.col("source_row_id").alias("t_id"), F.col("split").alias("target_split"), F.col("user_id").alias("t_user"),
-            F.col("transaction_timestamp").alias("t_ts"))
-        targets = part if targets is None else targets.unionByName(part)
-    history = df.select("source_row_id", "split", "user_id", "transaction_timestamp")
-    in_scope = F.lit(False)
-    for split, earlier in allowed.items():
-        in_scope = in_scope | ((F.col("target_split") == split) & F.col("split").isin(*earlier))
-    counted = history.join(
-        F.broadcast(targets), (F.col("user_id") == F.col("t_user")) & (F.col("transaction_timestamp") < F.col("t_ts")) & in_scope
-    ).groupBy("t_id").agg(F.count("*").alias("found"))
-    return (
-        join_same(targets, counted, ["t_id"])
-        .select(F.col("t_id").alias("source_row_id"), "target_split", F.lit("user").alias("entity_type"),
-                F.coalesce("found", F.lit(0)).alias("expected_prior_split_count"))
-    )
+def _smallest(df: DataFrame, column: str, most: int | None) -> DataFrame:
+    """``df``, or its ``most`` rows with the smallest ``column`` if a sample is asked for."""
+    return df if most is None else df.orderBy(column).limit(most)
+
 
+def cross_split_history(df: DataFrame, targets_per_split: int | None = None) -> DataFrame:
+    """For each row of a later split, how many rows its user has in earlier splits and earlier in time; a sample only on request.
 
-def entity_complete_qa(df: DataFrame, cohort_size: int = 100) -> DataFrame:
-    """Deterministic cohort of users: full history loaded and no card shared outside the cohort."""
-    cohort = df.select("user_id").distinct().orderBy(F.md5(F.col("user_id").cast("string")), "user_id").limit(cohort_size)
-    marked = df.join(F.broadcast(cohort.withColumn("_in", F.lit(True))), "user_id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    cards = marked.groupBy("card_key").agg(
-        F.count_if("_in").alias("inside"), F.count_if(~F.col("_in")).alias("outside"))
+    Splits are spans of days, so a user's rows of a split are counted day by day before they are summed: the window holds a row for each day
+    and split of a user, however many transactions these have.
+    """
+    order = {"DEVELOPMENT": 0, "VALIDATION": 1, "OUT_OF_TIME_OOT": 2}
+    number = F.coalesce(*[F.when(F.col("split") == s, i) for s, i in order.items()])
+    cells = df.groupBy("user_id", number.alias("_split"), "transaction_timestamp").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("user_id").orderBy("transaction_timestamp").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = [F.coalesce(F.sum(F.when((F.col("_split") == i), F.col("_n"))).over(earlier), F.lit(0)) for i in range(2)]
+    # of rows at the same time none is earlier; a row's own split is not counted at all
+    here = Window.partitionBy("user_id", "transaction_timestamp")
+    tied = [F.coalesce(F.sum(F.when(F.col("_split") == i, F.col("_n"))).over(here), F.lit(0)) for i in range(2)]
+    cells = cells.select("user_id", "_split", "transaction_timestamp", *[(b - t).alias(f"_b{i}") for i, (b, t) in enumerate(zip(before, tied, strict=True))])
+    cells = cells.select("user_id", "_split", "transaction_timestamp", F.when(F.col("_split") == 1, F.col("_b0")).otherwise(F.col("_b0") + F.col("_b1")).alias("found"))
+    later = [_smallest(df.where(F.col("split") == s), "source_row_id", targets_per_split) for s in list(order)[1:]]
+    targets = later[0].unionByName(later[1]).select("source_row_id", F.col("split").alias("target_split"), number.alias("_split"), "user_id", "transaction_timestamp")
+    return join_same(targets, cells, ["user_id", "_split", "transaction_timestamp"]).select(
+        "source_row_id", "target_split", F.lit("user").alias("entity_type"), F.coalesce("found", F.lit(0)).cast("long").alias("expected_prior_split_count"))
+
+
+def entity_complete_qa(df: DataFrame, cohort_size: int | None = None) -> DataFrame:
+    """Users of a cohort (all, unless a size is given): full history loaded and no card shared outside the cohort."""
+    if cohort_size is None:
+        marked = df.withColumn("_in", F.col("user_id").isNotNull())
+    else:
+        users = df.select("user_id").distinct()
+        cohort = users.orderBy(F.md5(F.col("user_id").cast("string")), "user_id").limit(cohort_size)
+        marked = df.join(cohort.withColumn("_in", F.lit(True)), "user_id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    cards = marked.groupBy("card_key").agg(F.count_if("_in").alias("inside"), F.count_if(~F.col("_in")).alias("outside"))
     shared = cards.where("inside > 0").agg(F.coalesce(F.sum("outside"), F.lit(0)).alias("external"), F.lit(1).alias("k"))
-    inside = marked.where("_in").agg(
-        F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.countDistinct("source_row_id").alias("ids"), F.lit(1).alias("k"))
-    both = inside.join(F.broadcast(shared), "k")
+    # distinct users and ids by nested grouping, so that no row is repeated for each distinct count
+    ids = marked.where("_in").groupBy("source_row_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("source_row_id").alias("ids"), F.lit(1).alias("k"))
+    users = marked.where("_in").groupBy("user_id").agg(F.lit(1)).agg(F.count("user_id").alias("users"), F.lit(1).alias("k"))
+    both = ids.join(F.broadcast(users), "k").join(F.broadcast(shared), "k")  # one row each
     return rows_from(both, ("check_name", "entity_scope", "rows_checked", "violations", "status"), [
         ("'selected_users_deterministic'", "'user'", "users", "0L", "if(users > 0, 'PASS', 'FAIL')"),
         ("'complete_observed_user_history_loaded'", "'user'", "n", "n - ids", "if(n > 0 and n = ids, 'PASS', 'FAIL')"),
@@ -408,8 +416,11 @@ def entity_complete_qa(df: DataFrame, cohort_size: int = 100) -> DataFrame:
     ])
 
 
-def prefix_coverage(df: DataFrame, limit: int, targets: int = 100) -> DataFrame:
-    """Is a ``source_row_id <= limit`` slice closed in time, and how many of its first rows miss history outside it."""
+def prefix_coverage(df: DataFrame, limit: int, targets: int | None = None) -> DataFrame:
+    """Is a ``source_row_id <= limit`` slice closed in time, and how many of its rows (or its first ``targets``) miss history outside it.
+
+    A row misses history if its user has an earlier row outside, so the first time outside is all that is needed of a user.
+    """
     inside = F.col("source_row_id") <= limit
     order = df.agg(F.count_if(inside).alias("n"), F.max(F.when(inside, F.col("transaction_timestamp"))).alias("hi"),
                    F.min(F.when(~inside, F.col("transaction_timestamp"))).alias("lo"))
@@ -418,13 +429,13 @@ def prefix_coverage(df: DataFrame, limit: int, targets: int = 100) -> DataFrame:
         F.lit("source_global_temporal_order").alias("entity_type"), F.col("n").alias("rows_sampled"),
         F.lit(None).cast("long").alias("rows_with_external_prior_history"), F.lit(None).cast("double").alias("share"),
         F.lit(f"SOURCE_ROW_ID_PREFIX_1_TO_{limit}").alias("scope"), F.when(closed, "PASS").otherwise("TRUNCATION_POSSIBLE").alias("status"))
-    picked = df.where(inside).orderBy("source_row_id").limit(targets).select(
-        F.col("source_row_id").alias("t_id"), F.col("user_id").alias("t_user"), F.col("transaction_timestamp").alias("t_ts"))
-    hit = df.where(~inside).join(F.broadcast(picked), (F.col("user_id") == F.col("t_user")) & (F.col("transaction_timestamp") < F.col("t_ts"))).groupBy("t_id").agg(F.count("*").alias("found"))
-    audited = join_same(picked, hit, ["t_id"]).agg(F.count("*").alias("n"), F.count("found").alias("external"))
+    first = df.where(~inside).groupBy("user_id").agg(F.min("transaction_timestamp").alias("_first"))
+    picked = _smallest(df.where(inside), "source_row_id", targets).select("user_id", "transaction_timestamp")
+    audited = picked.join(first, "user_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("_first") < F.col("transaction_timestamp")).alias("external"))
+    scope = "ALL_PREFIX_ROWS" if targets is None else f"DETERMINISTIC_{targets}_TARGET_ROWS"
     user = audited.select(
         F.lit("user").alias("entity_type"), F.col("n").alias("rows_sampled"), F.col("external").alias("rows_with_external_prior_history"),
-        F.coalesce(X.ratio("external", "n"), F.lit(0.0)).alias("share"), F.lit(f"DETERMINISTIC_{targets}_TARGET_ROWS").alias("scope"),
+        F.coalesce(X.ratio("external", "n"), F.lit(0.0)).alias("share"), F.lit(scope).alias("scope"),
         F.when(F.col("external") > 0, "TRUNCATION_POSSIBLE").otherwise("PASS").alias("status"))
     return source.unionByName(user)
 

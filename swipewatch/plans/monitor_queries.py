@@ -276,7 +276,7 @@ def _(spark, sf):
     return D.chi_squared(ref, cur, "risk_score", edges)
 
 
-@query("MON23_known_categories", with_(MON, "select 'MCC' as feature_name, MCC as category, cast(count(*) as double) / (select count(*) from ref) as reference_share from ref group by 2 order by count(*) desc, MCC limit 100"))
+@query("MON23_known_categories", with_(MON, "select 'MCC' as feature_name, MCC as category, cast(count(*) as double) / (select count(*) from ref) as reference_share from ref group by 2"))
 def _(spark, sf):
     return D.top_categories(both(spark, sf)[0], "MCC")
 

@@ -35,9 +35,16 @@ def _(spark, sf):
     return readers.load(spark, f"{sf}/customer.parquet").groupBy("c_mktsegment").agg(F.count("*").alias("rows"))
 
 
-@query("SRC07_prefix_slice", with_(TXN, "select source_row_id, amount, fraud_label from txn where source_row_id <= 100000"))
+@query("SRC09_every_row_kept", "select (select count(*) from lineitem) as lineitem_rows, (select count(*) from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey) as transactions, (select count(*) from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey) as ids")
 def _(spark, sf):
-    return readers.prefix_slice(T.transactions(spark, sf), 100000).select("source_row_id", "amount", "fraud_label")
+    """Transactions are all lines that have an order and a supplier, each with an id of its own."""
+    ids = T.transactions(spark, sf).groupBy("source_row_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("transactions"), F.count("*").alias("ids"))
+    return ids.withColumn("lineitem_rows", F.lit(T.row_bound(spark, sf)).cast("long"))
+
+
+@query("SRC07_prefix_slice", with_(TXN, "select source_row_id, amount, fraud_label from txn where source_row_id <= 6400000"))
+def _(spark, sf):
+    return readers.prefix_slice(T.transactions(spark, sf), 6400000).select("source_row_id", "amount", "fraud_label")
 
 
 @query("SRC12_inventory", with_(TXN, "select count(*) as row_count, cast(15 as bigint) as column_count, min(transaction_date) as date_min, max(transaction_date) as date_max from base"))
@@ -296,7 +303,7 @@ def _(spark, sf):
     return Q.partition_diversity(R.distribution_profile(T.mart(spark, sf), rows=T.row_bound(spark, sf)))
 
 
-@query("DQ29_cross_split_history", with_(TXN, """,t as (select * from (select *, row_number() over (partition by split order by source_row_id) as rn from base where split <> 'DEVELOPMENT') x where rn <= 100)
+@query("DQ29_cross_split_history", with_(TXN, """,t as (select * from base where split <> 'DEVELOPMENT')
   select t.source_row_id, t.split as target_split, 'user' as entity_type, count(h.source_row_id) as expected_prior_split_count
   from t left join base h on h.user_id = t.user_id and h.transaction_timestamp < t.transaction_timestamp
     and (h.split = 'DEVELOPMENT' or (h.split = 'VALIDATION' and t.split = 'OUT_OF_TIME_OOT')) group by 1, 2"""))
@@ -304,7 +311,7 @@ def _(spark, sf):
     return Q.cross_split_history(T.model_splits(spark, sf))
 
 
-@query("DQ30_entity_complete_qa", with_(TXN, """,c as (select user_id from (select distinct user_id from txn) u order by md5(cast(user_id as varchar)), user_id limit 100),
+@query("DQ30_entity_complete_qa", with_(TXN, """,c as (select distinct user_id from txn),
   i as (select count(*) as n, count(distinct user_id) as u, count(distinct source_row_id) as d from txn where user_id in (select user_id from c)),
   e as (select count(*) as x from txn where user_id not in (select user_id from c) and card_key in (select card_key from txn where user_id in (select user_id from c)))
   select 'selected_users_deterministic' as check_name, 'user' as entity_scope, u as rows_checked, cast(0 as bigint) as violations, 'PASS' as status from i
@@ -315,15 +322,15 @@ def _(spark, sf):
     return Q.entity_complete_qa(T.transactions(spark, sf))
 
 
-@query("DQ31_prefix_coverage", with_(TXN, """,o as (select count(*) filter (where source_row_id <= 60000) as n, max(transaction_timestamp) filter (where source_row_id <= 60000) as hi,
-   min(transaction_timestamp) filter (where source_row_id > 60000) as lo from txn),
-  t as (select * from txn where source_row_id <= 60000 order by source_row_id limit 100),
-  x as (select count(*) as n, count(*) filter (where exists (select 1 from txn h where h.source_row_id > 60000 and h.user_id = t.user_id and h.transaction_timestamp < t.transaction_timestamp)) as e from t)
+@query("DQ31_prefix_coverage", with_(TXN, """,o as (select count(*) filter (where source_row_id <= 3840000) as n, max(transaction_timestamp) filter (where source_row_id <= 3840000) as hi,
+   min(transaction_timestamp) filter (where source_row_id > 3840000) as lo from txn),
+  t as (select * from txn where source_row_id <= 3840000),
+  x as (select count(*) as n, count(*) filter (where exists (select 1 from txn h where h.source_row_id > 3840000 and h.user_id = t.user_id and h.transaction_timestamp < t.transaction_timestamp)) as e from t)
   select 'source_global_temporal_order' as entity_type, n as rows_sampled, cast(null as bigint) as rows_with_external_prior_history, cast(null as double) as share,
-   'SOURCE_ROW_ID_PREFIX_1_TO_60000' as scope, case when lo is null or hi is null or lo >= hi then 'PASS' else 'TRUNCATION_POSSIBLE' end as status from o
-  union all select 'user', n, e, cast(e as double) / n, 'DETERMINISTIC_100_TARGET_ROWS', case when e > 0 then 'TRUNCATION_POSSIBLE' else 'PASS' end from x"""))
+   'SOURCE_ROW_ID_PREFIX_1_TO_3840000' as scope, case when lo is null or hi is null or lo >= hi then 'PASS' else 'TRUNCATION_POSSIBLE' end as status from o
+  union all select 'user', n, e, cast(e as double) / n, 'ALL_PREFIX_ROWS', case when e > 0 then 'TRUNCATION_POSSIBLE' else 'PASS' end from x"""))
 def _(spark, sf):
-    return Q.prefix_coverage(T.transactions(spark, sf), 60000)
+    return Q.prefix_coverage(T.transactions(spark, sf), 3840000)
 
 
 _CMP = """,a as (select coalesce(use_chip, 'x') as segment_value, count(*) as n, cast(sum(fraud_label) as double) / count(*) as r from dev group by 1)"""

@@ -47,18 +47,16 @@ txn as (
     cast(5000 + l_partkey % 40 as varchar) as merchant_category_code,
     case when l_orderkey % 50 = 0 then 'Insufficient Balance' end as errors_raw,
     use_chip, amount,
-    case when (source_row_id * 7919) % 97 < (case when use_chip = 'Online Transaction' then 6 else 2 end) then 1 else 0 end as fraud_label,
-    cast((source_row_id * 48271) % 2147483647 as double) / 2147483647 as base_score
+    case when (source_row_id % 97 * 7919) % 97 < (case when use_chip = 'Online Transaction' then 6 else 2 end) then 1 else 0 end as fraud_label,
+    cast((source_row_id % 2147483647 * 48271) % 2147483647 as double) / 2147483647 as base_score
   from (
-    select *, l_orderkey * 8 + l_linenumber as source_row_id, o_orderdate as transaction_timestamp, o_custkey as user_id,
+    select *, (l_orderkey * 8 + l_linenumber) * 64 + rn - 1 as source_row_id, o_orderdate as transaction_timestamp, o_custkey as user_id,
       cast(l_suppkey % 3 as int) as card_index,
       case l_returnflag when 'A' then 'Swipe Transaction' when 'N' then 'Chip Transaction' when 'R' then 'Online Transaction' end as use_chip,
       case when l_linestatus = 'F' and l_quantity > 45 then -l_extendedprice
-           when l_discount = 0 and l_quantity < 3 then cast(0 as double) else l_extendedprice end as amount,
-      row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity,
-        l_shipdate, l_returnflag, l_linestatus, l_discount, l_tax) as rn
-    from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey) t
-  where rn = 1),
+           when l_discount = 0 and l_quantity < 3 then cast(0 as double) else l_extendedprice end as amount
+    from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice, l_quantity,
+        l_shipdate, l_returnflag, l_linestatus, l_discount, l_tax) as rn from lineitem) numbered join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey) t),
 base as (
   select *, cast(transaction_timestamp as date) as transaction_date, cast(year(transaction_timestamp) as bigint) as transaction_year,
     cast(month(transaction_timestamp) as bigint) as transaction_month, cast(round(amount * 100) as bigint) as cents,

@@ -16,6 +16,7 @@ from ..operators.splits import chronological_split
 
 DEVELOPMENT_END = "1999-08-11"
 VALIDATION_END = "2000-08-06"
+LINES_A_PAIR = 64
 LINE_COLUMNS = [
     "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus",
     "l_discount", "l_tax",
@@ -37,11 +38,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_COLUMNS)
+    # Order and line number are not unique, so rows of one pair are numbered; an id has room for LINES_A_PAIR of them.
+    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_COLUMNS)
+    number = F.row_number().over(same) - 1
     joined = (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("_rn", F.row_number().over(first))
-        .where("_rn = 1")
+        .withColumn("_number", F.when(number < LINES_A_PAIR, number).otherwise(F.raise_error(F.lit("more rows of one order line than an id has room for"))))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     )
@@ -56,7 +58,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_returnflag") == "R", "Online Transaction")
     )
     base = joined.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("source_row_id"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * LINES_A_PAIR + F.col("_number")).alias("source_row_id"),
         F.col("o_orderdate").alias("transaction_timestamp"),
         F.col("o_custkey").alias("user_id"),
         (F.col("l_suppkey") % 3).cast("int").alias("card_index"),
@@ -73,8 +75,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     online_bar = F.when(F.col("use_chip") == "Online Transaction", 6).otherwise(2)
     return base.select(
         "*",
-        F.when((F.col("source_row_id") * 7919) % 97 < online_bar, 1).otherwise(0).alias("fraud_label"),
-        (((F.col("source_row_id") * 48271) % 2147483647).cast("double") / 2147483647).alias("base_score"),
+        F.when((F.col("source_row_id") % 97 * 7919) % 97 < online_bar, 1).otherwise(0).alias("fraud_label"),
+        (((F.col("source_row_id") % 2147483647 * 48271) % 2147483647).cast("double") / 2147483647).alias("base_score"),
     )
 
 
