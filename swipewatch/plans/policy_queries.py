@@ -331,10 +331,13 @@ def grid(spark, sf, capacities=GRID_CAPACITIES):
 
 def grid_sql(capacities=GRID_CAPACITIES) -> str:
     ctes, parts = [], []
-    for c in H.grid_configs(GRID_THRESHOLDS, capacities):
-        k, i = c["config"], c["i"]
-        ctes.append(decide_sql(k.priority_method, k.review_threshold, k.block_threshold, k.review_capacity, "confirm", f"d{i}"))
-        keys = f"cast({i} as int) as policy, '{c['variant']}' as variant, '{k.policy_version}' as policy_version, '{k.priority_method}' as priority_method, cast({k.review_threshold} as double) as review_threshold, cast({k.block_threshold} as double) as block_threshold, cast({k.review_capacity} as double) as review_capacity, true as feasible"
+    tried = [(r, b, c, *kind) for r in GRID_THRESHOLDS for b in GRID_THRESHOLDS if r < b for c in capacities for kind in (
+        ("P2", "SCORE_ONLY", ""), ("P3", "SCORE_ONLY", "_c"), ("P4", "EXPOSURE_WEIGHTED_RANK", "_c_m"), ("P4", "SCORE_ONLY", "_c_m"), ("P5", "GRAPH_NOVELTY", "_c_m"), ("P5", "AMOUNT_GRAPH", "_c_m"))]
+    for i, (r, b, c, variant, method, tail) in enumerate(tried):
+        version = f"PART7_{variant}_{r:.6f}_{b:.6f}" + {"": "", "_c": f"_{c:.4f}", "_c_m": f"_{c:.4f}_{method}"}[tail]
+        c = 1.0 if variant == "P2" else c
+        ctes.append(decide_sql(method, r, b, c, "confirm", f"d{i}"))
+        keys = f"cast({i} as int) as policy, '{variant}' as variant, '{version}' as policy_version, '{method}' as priority_method, cast({r} as double) as review_threshold, cast({b} as double) as block_threshold, cast({c} as double) as review_capacity, true as feasible"
         parts.append(economics_sql(f"d{i}", keys))
     zero = "cast(-1 as int) as policy, 'P0' as variant, 'PART7_P0_ALLOW_ALL' as policy_version, 'SCORE_ONLY' as priority_method, cast(null as double) as review_threshold, cast(null as double) as block_threshold, cast(0 as double) as review_capacity, true as feasible"
     parts.append(economics_sql("(select *, 'ALLOW' as action from confirm)", zero))
