@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -20,22 +21,22 @@ DATE_HINTS = ("timestamp", "datetime", "date", "time", "trans_date")
 
 
 def read_raw_csv(spark: SparkSession, path: str, contract: Sequence[str] = tuple(RAW_COLUMNS)) -> DataFrame:
-    """CSV scan that fails unless the header equals the contract, names and order."""
+    """CSV scan that fails unless the header equals the contract, names and order: the first file's at once, any other's when it is read."""
     header = spark.read.option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("header", True).csv(path).columns
     header = [h.lstrip("﻿") for h in header]
     if header != list(contract):
         raise ValueError(f"source header {header} differs from the contract {list(contract)}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in contract])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", "UTF-8").csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("encoding", "UTF-8").csv(path)
 
 
-def add_row_id(df: DataFrame, name: str = "source_row_id") -> DataFrame:
+def add_row_id(df: DataFrame, name: str = "source_row_id", scan: bool = True) -> DataFrame:
     """Contiguous 1..N ids in scan order, from one count per scan partition and no global window.
 
-    ``df`` must be a file scan with at most row-wise steps on it, so that both
-    passes see the same partitions; a table behind a shuffle must be written first.
+    Both passes must see the same partitions. A file scan with at most row-wise
+    steps on it gives them; anything else (``scan=False``) is written first.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if not scan:
         df = cut(df)
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
@@ -89,34 +90,61 @@ def standardize(raw: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Field:
+    """A column of an input contract: where it may come from, how it is read, and what it is if nothing has it."""
+
+    name: str
+    renames: tuple[str, ...] = ()  # other names of the same column
+    copies: tuple[str, ...] = ()  # columns it is derived from, which stay
+    read: Callable[[Column, T.DataType], Column] = lambda c, _: c
+    default: Callable[[], Column] | None = None
+    required: bool = False
+
+
+def conform(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    """``df`` in one select with every field that it has a source for, or a default; other columns stay."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    source = {f.name: next((c for c in (f.name, *f.renames, *f.copies) if c in types), None) for f in fields}
+    if gone := [f.name for f in fields if f.required and source[f.name] is None]:
+        raise ValueError(f"input misses columns {gone}")
+    read = {f.name: f.read(F.col(c), types[c]) if (c := source[f.name]) else f.default() for f in fields if source[f.name] or f.default}
+    used = {source[f.name] for f in fields if source[f.name] in f.renames}
+    kept = [read.pop(c).alias(c) if c in read else F.col(f"`{c}`") for c in df.columns if c not in used]
+    return df.select(*kept, *[column.alias(name) for name, column in read.items()])
+
+
+def _as_time(c: Column, kind: T.DataType) -> Column:
+    return F.try_to_timestamp(c) if isinstance(kind, T.StringType) else c.cast("timestamp")
+
+
+def _as_exposure(c: Column, kind: T.DataType) -> Column:
+    amount = c.try_cast("double")
+    return F.when(amount.isNotNull(), X.positive_part(amount))
+
+
+def _as_channel(c: Column, _: T.DataType) -> Column:
+    return F.when(c.isin("Online", "Chip", "Swipe"), F.upper(c)).otherwise("OTHER / UNKNOWN")
+
+
+# The names that scored, monitored and decided tables go by.
+DECISION_FIELDS = (Field("risk_score", copies=("PRIMARY_FRAUD_SCORE",)), Field("split_name", copies=("split",)))
+MONITORING_FIELDS = (
+    Field("risk_score", copies=("PRIMARY_FRAUD_SCORE", "score")), Field("split_name", copies=("split",)),
+    Field("transaction_timestamp", copies=("timestamp",), read=_as_time), Field("action", read=lambda c, _: F.upper(c.cast("string"))),
+)
+
+
 def decision_input(df: DataFrame) -> DataFrame:
     """Column aliases of a scored table brought to the decision contract."""
-    if "risk_score" not in df.columns and "PRIMARY_FRAUD_SCORE" in df.columns:
-        df = df.withColumn("risk_score", F.col("PRIMARY_FRAUD_SCORE"))
-    if "split_name" not in df.columns and "split" in df.columns:
-        df = df.withColumn("split_name", F.col("split"))
-    if "channel" not in df.columns and "use_chip" in df.columns:
-        c = F.col("use_chip")
-        df = df.withColumn("channel", F.when(c.isin("Online", "Chip", "Swipe"), F.upper(c)).otherwise("OTHER / UNKNOWN"))
-    return df
+    channel = () if "channel" in df.columns else (Field("channel", copies=("use_chip",), read=_as_channel),)
+    return conform(df, (*DECISION_FIELDS, *channel))
 
 
 def monitoring_input(df: DataFrame) -> DataFrame:
     """Column aliases, exposure, upper-case actions and UTC time of a monitoring table."""
-    aliases = {"PRIMARY_FRAUD_SCORE": "risk_score", "score": "risk_score", "timestamp": "transaction_timestamp", "split": "split_name"}
-    for source, target in aliases.items():
-        if target not in df.columns and source in df.columns:
-            df = df.withColumn(target, F.col(source))
-    if "positive_exposure" not in df.columns and "amount" in df.columns:
-        amount = F.col("amount").try_cast("double")
-        df = df.withColumn("positive_exposure", F.when(amount.isNotNull(), X.positive_part(amount)))
-    if "action" in df.columns:
-        df = df.withColumn("action", F.upper(F.col("action").cast("string")))
-    if "transaction_timestamp" in df.columns:
-        ts = F.col("transaction_timestamp")
-        is_text = isinstance(df.schema["transaction_timestamp"].dataType, T.StringType)
-        df = df.withColumn("transaction_timestamp", F.try_to_timestamp(ts) if is_text else ts.cast("timestamp"))
-    return df
+    exposure = () if "positive_exposure" in df.columns else (Field("positive_exposure", copies=("amount",), read=_as_exposure),)
+    return conform(df, (*MONITORING_FIELDS, *exposure))
 
 
 def inventory(df: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def test_csv_to_parquet_and_standardize(spark, tmp_path):
 
 def test_row_ids_are_contiguous_over_partitions_and_shuffles(spark, sf_dir):
     files = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey")
-    for df in (files, files.repartition(7), files.distinct()):
-        ids = [r[0] for r in S.add_row_id(df).select("source_row_id").collect()]
+    for df, scan in ((files, True), (files.repartition(7), False), (files.distinct(), False)):
+        ids = [r[0] for r in S.add_row_id(df, scan=scan).select("source_row_id").collect()]
         assert sorted(ids) == list(range(1, len(ids) + 1))
 
 
@@ -133,3 +133,20 @@ def test_fingerprint_ignores_order(spark):
     a = spark.range(100).withColumn("v", F.col("id") * 3)
     assert Q.fingerprint(a).first() == Q.fingerprint(a.orderBy(F.desc("id")).repartition(5)).first()
     assert Q.fingerprint(a).first() != Q.fingerprint(a.where("id < 99")).first()
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("A,B\n1,2\n")
+    (tmp_path / "b.csv").write_text("B,A\n3,4\n")
+    with pytest.raises(Exception, match="header|Header"):
+        S.read_raw_csv(spark, str(tmp_path), ("A", "B")).collect()
+    (tmp_path / "b.csv").write_text("A,B\n3,4\n")
+    assert sorted(map(tuple, S.read_raw_csv(spark, str(tmp_path), ("A", "B")).collect())) == [("1", "2"), ("3", "4")]
+
+
+def test_conform_reads_each_field_once(spark):
+    fields = (S.Field("a", renames=("x",)), S.Field("b", copies=("y",)), S.Field("c", default=lambda: F.lit(7)), S.Field("d"))
+    out = S.conform(spark.createDataFrame([(1, 2, 3)], "x int, y int, z int"), fields)
+    assert out.columns == ["y", "z", "a", "b", "c"] and tuple(out.first()) == (2, 3, 1, 2, 7)
+    with pytest.raises(ValueError, match="misses"):
+        S.conform(out, (S.Field("e", required=True),))
