@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.scale import TASK_ROWS, join_same, prefix, ranked
+from ..functions.scale import BROADCAST_ROWS, TASK_ROWS, cut, join_same, prefix, ranked, rows_at_most
 
 TOP_RATES = (0.005, 0.01, 0.02, 0.05, 0.10)
 
@@ -74,7 +74,8 @@ def top_k(df: DataFrame, by: Sequence[str] = (), rates: Sequence[float] = TOP_RA
     """Fraud captured in the best ceil(N x rate) rows, ties in time and id order.
 
     Rows are never ranked as a whole: running counts give the score at each cut,
-    and only rows with exactly that score are put in order.
+    and only rows with exactly that score are put in order. The cuts, a few for
+    each group, are written once and sent to the rows if their number allows it.
     """
     t = _with_totals(score_table(df, by, score, label, rows=rows, task_rows=task_rows), by)
     cuts = t.withColumn("top_k", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
@@ -82,7 +83,9 @@ def top_k(df: DataFrame, by: Sequence[str] = (), rates: Sequence[float] = TOP_RA
     start = F.col("cum_n") - F.col("n")
     cuts = cuts.where((start < k) & (k <= F.col("cum_n"))).select(
         *by, "top_k", F.col("score").alias("_cut"), k.alias("selected_rows"), (k - start).alias("_need"), "n", "total", "total_pos", (F.col("cum_pos") - F.col("pos")).alias("_sure"), "pos")
+    cuts = cut(cuts)
     split = cuts.where(F.col("_need") < F.col("n"))
+    split = F.broadcast(split) if rows_at_most(cuts, BROADCAST_ROWS, None if by else len(rates)) else split
     tied = join_same(df.select(*by, F.col(score).cast("double").alias("_cut"), F.col(label).cast("long").alias("_y"), *ties).where(F.col("_y").isNotNull()),
                      split.select(*by, "_cut", "top_k", "_need"), [*by, "_cut"], "inner")
     placed = ranked(tied, [*by, "top_k"], list(ties), "_rank", rows=rows, task_rows=task_rows)

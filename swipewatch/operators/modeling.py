@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import unpivot_stack
+from ..functions.scale import quantiles
 from ..sources.contracts import CURRENT_CONTEXT, feature_violations
 from . import metrics as M
 from . import splits as S
@@ -30,22 +32,23 @@ class RiskModel:
     features: list[str]
     fill: dict[str, str]
     flagged: list[str]
+    middle: dict[str, float]
     pipeline: PipelineModel
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        out = self.pipeline.transform(_prepare(df, self.features, self.fill, self.flagged))
+        out = self.pipeline.transform(_prepare(df, self.features, self.fill, self.flagged, self.middle))
         return out.withColumn(name, vector_to_array("probability")[1]).drop(*[c for c in out.columns if c not in df.columns])
 
 
-def _prepare(df: DataFrame, features: list[str], fill: dict[str, str], flagged: list[str]) -> DataFrame:
+def _prepare(df: DataFrame, features: list[str], fill: dict[str, str], flagged: list[str], middle: dict[str, float]) -> DataFrame:
     numeric = [f for f in features if f not in CATEGORICAL]
     return df.withColumns({
-        **{f"_x_{f}": F.col(f).cast("double") for f in numeric}, **{f"_miss_{f}": F.col(f).isNull().cast("double") for f in flagged},
+        **{f"_x_{f}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(middle[f])) for f in numeric}, **{f"_miss_{f}": F.col(f).isNull().cast("double") for f in flagged},
         **{f"_c_{f}": F.coalesce(F.col(f), F.lit(v)) for f, v in fill.items()}})
 
 
 def fit(train: DataFrame, features: list[str], weight: str = "sample_weight", c: float = 1.0, label: str = "fraud_label") -> RiskModel:
-    """Median imputation with missing flags, scaling, one-hot categories and an L2 logistic fit.
+    """Exact median imputation with missing flags, scaling, one-hot categories and an L2 logistic fit. The intercept is not penalised.
 
     The penalty is scaled so that it equals an inverse strength ``c`` on the summed loss.
     """
@@ -57,10 +60,12 @@ def fit(train: DataFrame, features: list[str], weight: str = "sample_weight", c:
     facts = train.agg(F.sum(weight).alias("_w"), *[F.count_if(F.col(f).isNull()).alias(f) for f in numeric], *[F.mode(f, True).alias(f) for f in categorical]).first()
     flagged = [f for f in numeric if facts[f] > 0]
     fill = {f: facts[f] for f in categorical}
-    prepared = _prepare(train, features, fill, flagged)
+    long = train.selectExpr(unpivot_stack([(f"'{f}'", f"double({f})") for f in numeric], ("feature_name", "v")))
+    medians = {r["feature_name"]: r["q"][0] for r in quantiles(long, "v", [0.5], ["feature_name"], name="q").collect()}  # one row a feature
+    middle = {f: float(medians.get(f, 0.0)) for f in numeric}  # a feature without any value is 0 everywhere
+    prepared = _prepare(train, features, fill, flagged, middle)
     x = [f"_x_{f}" for f in numeric]
-    stages = [Imputer(strategy="median", inputCols=x, outputCols=[f"{v}_i" for v in x]),
-              VectorAssembler(inputCols=[f"{v}_i" for v in x] + [f"_miss_{f}" for f in flagged], outputCol="_numbers"),
+    stages = [VectorAssembler(inputCols=x + [f"_miss_{f}" for f in flagged], outputCol="_numbers"),
               StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)]
     parts = ["_scaled"]
     if categorical:
@@ -69,13 +74,13 @@ def fit(train: DataFrame, features: list[str], weight: str = "sample_weight", c:
         parts += [f"_o_{f}" for f in categorical]
     stages.append(VectorAssembler(inputCols=parts, outputCol="_features"))
     stages.append(LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight, regParam=1.0 / (c * facts["_w"]), elasticNetParam=0.0, standardization=False, maxIter=100))
-    return RiskModel(list(features), fill, flagged, Pipeline(stages=stages).fit(prepared))
+    return RiskModel(list(features), fill, flagged, middle, Pipeline(stages=stages).fit(prepared))
 
 
 def importance(model: RiskModel, df: DataFrame, top: int = 15) -> DataFrame:
     """Largest coefficients by size; their number is the width of the model, not of the data."""
     logistic = model.pipeline.stages[-1]
-    scored = model.pipeline.transform(_prepare(df, model.features, model.fill, model.flagged))
+    scored = model.pipeline.transform(_prepare(df, model.features, model.fill, model.flagged, model.middle))
     numeric = [f for f in model.features if f not in CATEGORICAL]
     names = numeric + [f"missing_{f}" for f in model.flagged]
     for f in (f for f in model.features if f in CATEGORICAL):

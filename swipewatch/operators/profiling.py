@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.scale import TASK_ROWS, quantiles, rows_at_most
+from ..functions.scale import TASK_ROWS, quantiles
 from .behavior import FEATURE_FAMILIES, FEATURES
 from .quality import rows_from, text
 
@@ -55,21 +55,16 @@ def distribution_profile(mart: DataFrame, features: list[str] = FEATURES, *, row
     """Minimum, mean, exact median and maximum per feature.
 
     Means of fractional features are rounded to six digits, because a double sum depends on row order.
-    Medians join the same pass while the mart is small; a large mart is unpivoted and counted by value.
+    Medians come from the unpivoted features, so no task holds the values of more than one of them.
     """
-    small = rows_at_most(mart, task_rows, rows)
     aggs = []
     for f in features:
         mean = F.round(F.avg(F.col(f)), 6) if _fractional(f) else X.ratio(F.sum(f), F.count(f))
-        aggs += [F.min(f).cast("double").alias(f"lo_{f}"), mean.alias(f"mean_{f}"), F.max(f).cast("double").alias(f"hi_{f}"),
-                 (F.median(F.col(f).cast("double")) if small else F.lit(None).cast("double")).alias(f"mid_{f}")]
-    stats = rows_from(mart.agg(*aggs), ("feature_name", "min_value", "mean_value", "median_value", "max_value"),
-                      [(text(f), f"lo_{f}", f"mean_{f}", f"mid_{f}", f"hi_{f}") for f in features])
-    if small:
-        return stats
+        aggs += [F.min(f).cast("double").alias(f"lo_{f}"), mean.alias(f"mean_{f}"), F.max(f).cast("double").alias(f"hi_{f}")]
+    stats = rows_from(mart.agg(*aggs), ("feature_name", "min_value", "mean_value", "max_value"), [(text(f), f"lo_{f}", f"mean_{f}", f"hi_{f}") for f in features])
     long = mart.selectExpr(X.unpivot_stack([(text(f), f"double({f})") for f in features], ("feature_name", "v")))
     middle = quantiles(long, "v", [0.5], ["feature_name"], name="q", rows=rows, task_rows=task_rows)
-    return stats.drop("median_value").join(middle, "feature_name", "left").select("feature_name", "min_value", "mean_value", F.col("q")[0].alias("median_value"), "max_value")
+    return stats.join(F.broadcast(middle), "feature_name", "left").select("feature_name", "min_value", "mean_value", F.col("q")[0].alias("median_value"), "max_value")
 
 
 def _signal(cells: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import modeling as L
 from ..operators import splits as S
 from ..sources import contracts as C
 from . import tables as T
-from .registry import SCORED, query, with_
+from .registry import MART, SCORED, query, with_
 
 SCORES = SCORED + """,
 st as (select split_name as g, risk_score as s, count(*) as n, sum(fraud_label) as p from scored group by 1, 2),
@@ -159,30 +159,51 @@ def _(spark, sf):
     return M.ranking_metrics(model.score(windows(spark, sf)[1]), score="score", rows=T.row_bound(spark, sf))
 
 
+def both_sets(table):
+    """``table(name, features)`` of the current-context set and of the full one."""
+    parts = [table(name, L.FEATURE_SETS[name]).withColumn("feature_set", F.lit(name)) for name in ("F0", "F2")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("MOD04_temporal_cv")
 def _(spark, sf):
-    return L.temporal_cv(training(spark, sf), L.FEATURE_SETS["F0"], rows=T.row_bound(spark, sf))
+    train = training(spark, sf)
+    return both_sets(lambda _, features: L.temporal_cv(train, features, rows=T.row_bound(spark, sf)))
 
 
 @query("MOD05_calibration_comparison")
 def _(spark, sf):
-    model = L.fit(training(spark, sf), L.FEATURE_SETS["F0"])
-    calibration, selection = windows(spark, sf)
-    return L.calibration_comparison(model.score(calibration), model.score(selection), rows=T.row_bound(spark, sf))
+    train, (calibration, selection) = training(spark, sf), windows(spark, sf)
+
+    def compared(_, features):
+        model = L.fit(train, features)
+        return L.calibration_comparison(model.score(calibration), model.score(selection), rows=T.row_bound(spark, sf))
+
+    return both_sets(compared)
 
 
 @query("MOD06_importance")
 def _(spark, sf):
     train = training(spark, sf)
-    return L.importance(L.fit(train, L.FEATURE_SETS["F2"]), train)
+    return both_sets(lambda _, features: L.importance(L.fit(train, features), train))
+
+
+@query("MOD02_medians", with_(MART, ", ".join(["select 'F2' as feature_set, * from (" + " union all ".join(f"select '{f}' as feature_name, count({f}) as present, median(cast({f} as double)) as median_value from mart where split_name = 'DEVELOPMENT'" for f in L.FEATURE_SETS["F2"] if f not in L.CATEGORICAL) + ") t"])))
+def _(spark, sf):
+    """The exact medians that missing values of a model input are filled with, over all Development rows."""
+    from ..functions import exprs as X
+    from ..functions.scale import quantiles
+
+    numeric = [f for f in L.FEATURE_SETS["F2"] if f not in L.CATEGORICAL]
+    long = T.mart(spark, sf).where("split_name = 'DEVELOPMENT'").selectExpr(X.unpivot_stack([(f"'{f}'", f"double({f})") for f in numeric], ("feature_name", "v")))
+    present = long.groupBy("feature_name").agg(F.count("v").alias("present"))
+    middle = quantiles(long, "v", [0.5], ["feature_name"], name="q", rows=T.row_bound(spark, sf))
+    return present.join(F.broadcast(middle), "feature_name", "left").select(F.lit("F2").alias("feature_set"), "feature_name", "present", F.col("q")[0].alias("median_value"))
 
 
 @query("MOD07_champion")
 def _(spark, sf):
     train, selection = training(spark, sf), windows(spark, sf)[1]
-    table = None
-    for name in ("F0", "F2"):
-        scored = L.fit(train, L.FEATURE_SETS[name]).score(selection)
-        row = M.ranking_metrics(scored, score="score", rows=T.row_bound(spark, sf)).withColumn("feature_set", F.lit(name))
-        table = row if table is None else table.unionByName(row)
-    return L.champion(table)
+    table = L.champion(both_sets(lambda _, features: M.ranking_metrics(L.fit(train, features).score(selection), score="score", rows=T.row_bound(spark, sf))))
+    # what the full set adds stands beside both rows
+    return table.withColumn("_k", F.lit(1)).join(F.broadcast(L.incremental_value(table).withColumn("_k", F.lit(1))), "_k").drop("_k")
