@@ -13,7 +13,7 @@ from ..sources import contracts as C
 from ..sources import readers
 from . import tables as T
 from .policy_queries import decide_sql, decided
-from .registry import SCORED, query, with_
+from .registry import ORACLES, SCORED, query, with_
 
 MON = SCORED + "," + decide_sql("SCORE_ONLY") + """,
 mon as (select *, merchant_category_code as MCC, bucket_selected as review_selected, overflow as review_overflow, capacity_bucket as review_capacity_bucket,
@@ -421,12 +421,55 @@ def _replayed(spark, sf):
     return N.replay(full, N.build_baseline(full, **bound(spark, sf)), **bound(spark, sf))
 
 
-@query("MON36_root_cause", with_(MON + "," + _numeric_ctes(("amount", "risk_score", "state_missing_flag")) + "," + _cat_ctes(_CATS) + ", dr as (" + " union all ".join(
-    [f"select '{f}' || ':' || m as item, v as value from (select unnest(['jensen_shannon','psi','wasserstein']) as m, unnest([js, psi, {_qw(f, D.FEATURE_QUANTILES)}]) as v from {_distances_sql(f)} d)" for f in _NUM]
-    + [f"select '{f}' || ':' || m as item, v as value from (select unnest(['jensen_shannon','psi']) as m, unnest([js, psi]) as v from {_distances_sql(f)} d)" for f in _CATS]) + ")",
-    "select 'top_drifting_features' as section, item, round(value, 8) as value from (select * from dr order by value desc, item limit 5) t"))
+def _root_cause_sql() -> str:
+    """The five largest movements of each evidence table, each written out from the given rows."""
+    drift = " union all ".join(
+        [f"select '{f}' || ':' || m as item, v as value from (select unnest(['jensen_shannon','psi','wasserstein']) as m, unnest([js, psi, {_qw(f, D.FEATURE_QUANTILES)}]) as v from {_distances_sql(f)} d)" for f in _NUM]
+        + [f"select '{f}' || ':' || m as item, v as value from (select unnest(['jensen_shannon','psi']) as m, unnest([js, psi]) as v from {_distances_sql(f)} d)" for f in _CATS])
+    new = " union all ".join(f"select feature_name || ':' || category as item, share_delta as value from ({_novelty_sql(f).replace(chr(39) + '5003' + chr(39), chr(39) + 'no such' + chr(39))}) n" for f in ("channel", "MCC"))
+    score = f"select metric as item, observed as value from ({_SCORE_SIGNALS}) z"
+    segments = f"select k || ':' || coalesce(segment, 'nan') as item, cast(count(*) as double) / (select count(*) from sg) as value from (" + " union all ".join(f"select '{k}' as k, {e} as segment from sg" for k, e in _SEGS.items()) + ") q group by 1"
+    parts = {"top_drifting_features": drift, "top_new_categories": new, "score_shift": score, "segments_affected": segments}
+    return with_(
+        MON + "," + _numeric_ctes(("amount", "risk_score", "state_missing_flag")) + "," + _cat_ctes(_CATS) + f", sg as (select *, {_CENTS} as x, {_BANDS} from cur)",
+        " union all ".join(f"(select '{name}' as section, item, round(value, 8) as value from ({sql}) w order by round(value, 8) desc, item limit 5)" for name, sql in parts.items()))
+
+
+@query("MON36_root_cause", _root_cause_sql())
+def _(spark, sf):
+    tables = _replayed(spark, sf)
+    even = lambda name, value: tables[name].withColumn(value, F.round(value, 8))  # noqa: E731  so that ties are ties in both engines
+    return N.root_cause(even("feature_drift", "metric_value"), even("novelty", "share_delta"), even("score", "observed"), even("segments", "share_transactions"))
+
+
+def _observed_only(name: str) -> str:
+    """The same report over the out-of-time rows, which is what a replay reads."""
+    return ORACLES[name].replace(" from mon group by 1", " from cur group by 1")
+
+
+@query("MON37_replay_policy", _observed_only("MON27_policy_monitor"))
+def _(spark, sf):
+    return _replayed(spark, sf)["policy"]
+
+
+@query("MON37_replay_review", _observed_only("MON28_review_monitor"))
+def _(spark, sf):
+    return rounded(rounded(_replayed(spark, sf)["review"], "mean_review_score", "p90_review_score"), "mean_review_exposure", digits=6)
+
+
+@query("MON37_replay_graph", _observed_only("MON30_graph_monitor"))
+def _(spark, sf):
+    return _replayed(spark, sf)["graph"]
+
+
+@query("MON37_replay_segments", ORACLES["MON31_segment_monitor"])
+def _(spark, sf):
+    return _replayed(spark, sf)["segments"]
+
+
+@query("MON37_replay_score", ORACLES["MON26_score_drift"])
 def _(spark, sf):
-    return rounded(_replayed(spark, sf)["root_cause"].where("section = 'top_drifting_features'"), "value", digits=8)
+    return rounded(_replayed(spark, sf)["score"], "observed", digits=8)
 
 
 @query("MON37_replay")
