@@ -65,22 +65,27 @@ def quantile_wasserstein(reference: Column, current: Column) -> Column:
     return _total(F.zip_with(F.array_sort(reference), F.array_sort(current), lambda a, b: F.abs(a - b))) / n / scale
 
 
-def chi_squared_p(reference: Sequence[float], current: Sequence[float]) -> float:
-    """p-value of a two-row contingency table (Yates correction at one degree of freedom). Two count vectors, no data."""
-    rows = [[c + EPSILON for c in reference], [c + EPSILON for c in current]]
-    if sum(reference) <= 0 or sum(current) <= 0:
+def chi_squared_statistic(reference: Column, current: Column) -> Column:
+    """Pearson's statistic of a two-row contingency table of counts (Yates correction for two bins); NULL if a row is empty."""
+    above = lambda c: F.transform(c, lambda v: v.cast("double") + EPSILON)
+    a, b = _total(above(reference)), _total(above(current))
+    yates = F.when(F.size(reference) == 2, 0.5).otherwise(0.0)
+
+    def cell(count: Column, row: Column, column: Column) -> Column:
+        expected = row * column / (a + b)
+        gap = F.abs(count - expected)
+        return F.pow(gap - F.least(yates, gap), F.lit(2)) / expected
+
+    cells = F.zip_with(above(reference), above(current), lambda x, y: cell(x, a, x + y) + cell(y, b, x + y))
+    filled = (_total(F.transform(reference, lambda v: v.cast("double"))) > 0) & (_total(F.transform(current, lambda v: v.cast("double"))) > 0)
+    return F.when(filled, _total(cells))
+
+
+def chi_squared_p(statistic: float | None, degrees: int) -> float:
+    """Upper tail of the chi-squared distribution; NaN without a statistic."""
+    if statistic is None:
         return math.nan
-    total, dof = sum(map(sum, rows)), len(reference) - 1
-    statistic = 0.0
-    for j in range(len(reference)):
-        column = rows[0][j] + rows[1][j]
-        for row in rows:
-            expected = sum(row) * column / total
-            gap = abs(row[j] - expected)
-            if dof == 1:
-                gap -= min(0.5, gap)
-            statistic += gap * gap / expected
-    return _upper_gamma(dof / 2, statistic / 2) if dof else 1.0
+    return _upper_gamma(degrees / 2, statistic / 2) if degrees else 1.0
 
 
 def _upper_gamma(a: float, x: float) -> float:
@@ -303,7 +308,8 @@ def score_drift(current: DataFrame, reference: DataFrame, window_id: str = "", s
 
 
 def chi_squared(reference: DataFrame, current: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
-    """p-value for one column on given bins; only the two count vectors leave the cluster."""
-    a = reference.agg(histogram(column, edges).alias("c")).first()["c"]
-    b = current.agg(histogram(column, edges).alias("c")).first()["c"]
-    return reference.sparkSession.createDataFrame([(column, chi_squared_p(a, b))], "feature_name string, p_value double")
+    """Statistic, degrees of freedom and p-value of one column on given bins; only the statistic leaves the cluster."""
+    counted = lambda df, name: df.agg(histogram(column, edges).alias(name), F.lit(1).alias("k"))
+    both = counted(reference, "a").join(F.broadcast(counted(current, "b")), "k")  # one row each
+    r = both.select(chi_squared_statistic(F.col("a"), F.col("b")).alias("s"), (F.size("a") - 1).alias("d")).first()
+    return reference.sparkSession.createDataFrame([(column, r["s"], r["d"], chi_squared_p(r["s"], r["d"]))], "feature_name string, statistic double, degrees int, p_value double")

@@ -471,8 +471,9 @@ def join_same_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free frame identity: row count, sum and xor of row hashes."""
-    h = F.xxhash64(*sorted(df.columns))
+    """Order-free frame identity: row count, and sum and xor of 60 bits of each row's MD5 over its columns in name order, as text."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<NULL>")) for c in sorted(df.columns)]
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
     return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
 
 

@@ -269,13 +269,23 @@ def _(spark, sf):
     return a.join(F.broadcast(b), "k").select(F.lit("risk_score").alias("feature_name"), F.round(D.total_variation(F.col("a"), F.col("b")), 9).alias("total_variation"))
 
 
-@query("MON19_chi_squared")
-def _(spark, sf):
+def _chi(spark, sf):
     ref, cur = both(spark, sf)
     edges = D.frozen_bins(ref, ["risk_score"], **bound(spark, sf))["risk_score"]
     return D.chi_squared(ref, cur, "risk_score", edges)
 
 
+@query("MON19_chi_squared")
+def _(spark, sf):
+    return _chi(spark, sf)
+
+
+@query("MON19_chi_squared_statistic", with_(MON + "," + _numeric_ctes(("risk_score",)), """select 'risk_score' as feature_name, round(sum((x - rt * (x + y) / (rt + ct)) ** 2 / (rt * (x + y) / (rt + ct)) + (y - ct * (x + y) / (rt + ct)) ** 2 / (ct * (x + y) / (rt + ct))), 6) as statistic, cast(count(*) - 1 as int) as degrees
+  from (select r.n + 1e-12::double as x, c.n + 1e-12::double as y, sum(r.n + 1e-12::double) over () as rt, sum(c.n + 1e-12::double) over () as ct from risk_score_r r join risk_score_c c using (b)) t"""))
+def _(spark, sf):
+    return rounded(_chi(spark, sf).select("feature_name", "statistic", "degrees"), "statistic", digits=6)
+
+
 @query("MON23_known_categories", with_(MON, "select 'MCC' as feature_name, MCC as category, cast(count(*) as double) / (select count(*) from ref) as reference_share from ref group by 2"))
 def _(spark, sf):
     return D.top_categories(both(spark, sf)[0], "MCC")
