@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scale import cut, ensure_checkpoint_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step works on, besides what a single text needs.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 #: Upper bound on the bytes of a table that is broadcast on purpose.
 BROADCAST_BYTES = 32_000_000
@@ -57,24 +57,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit fingerprints of any substring in constant time, from prefix sums of a polynomial over random byte codes."""
+    """64-bit fingerprints of any substring in constant time, from prefix sums of a polynomial over random byte codes. All have one base, so
+    that a worker keeps its powers once."""
+
+    base = int(np.random.default_rng(0).integers(2**62, 2**63)) | 1
+    up = down = np.ones(1, np.uint64)
 
     def __init__(self, seed: int):
-        draw = np.random.default_rng(seed)
-        self.codes = draw.integers(1, 2**63, 256, dtype=np.uint64)
-        self.base = int(draw.integers(2**62, 2**63)) | 1
-        self.inverse = pow(self.base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.codes = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
 
     def load(self, data: np.ndarray) -> np.ndarray:
         """Prefix sums; ``data`` holds bytes."""
-        if len(self.up) <= len(data):
+        if len(Rolling.up) <= len(data):
             n = 1 << int(len(data)).bit_length()
-            with np.errstate(over="ignore"):
-                powers = [np.full(n, x, np.uint64) for x in (self.base, self.inverse)]
-                for p in powers:
-                    p[0] = 1
-                self.up, self.down = (np.multiply.accumulate(p) for p in powers)
+            powers = [np.full(n, x, np.uint64) for x in (self.base, pow(self.base, -1, 2**64))]
+            for p in powers:
+                p[0] = 1
+            Rolling.up, Rolling.down = (np.multiply.accumulate(p) for p in powers)
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(self.codes[data] * self.up[: len(data)], out=sums[1:])

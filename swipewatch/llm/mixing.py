@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import LOWER, Rolling, byte_class, cut, free_name, spans, steps, texts
 
 #: Labelled documents that the classifier learns from, at most: those with the smallest hash of their id.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 6_000
 #: Shares of tokens that the mix should have.
 TARGETS = {"clean": 0.96, "poor": 0.03, "toxic": 0.01}
 MAX_RATE = 4.0
