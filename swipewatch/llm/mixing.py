@@ -25,10 +25,12 @@ MAX_RATE = 4.0
 PULL = 1e-4
 STEPS, CLOSE = 40, 1e-5
 
-#: Words that less than one in so many labelled documents has are left out.
-RARE = 50
-DECAY = 3e-5
-_BUCKETS = 1 << 15
+#: A word teaches if the labelled documents with it differ so much in their domains from all of them, by a likelihood-ratio test of one
+#: domain against the others: for a domain with a tenth of the documents, three that are all of that domain are enough.
+TELLING = 12.0
+DECAY = 1e-5
+_BITS = 18
+_BUCKETS = 1 << _BITS
 _WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _HASH = Rolling(4)
 
@@ -44,7 +46,7 @@ def features(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         doc = np.repeat(np.arange(len(part), dtype=np.int64), size + 1)
         data = LOWER[raw]
         start, end = spans(data, _WORD)
-        h = (_HASH.of(_HASH.load(data), start, end) >> np.uint64(49)).astype(np.int64)
+        h = (_HASH.of(_HASH.load(data), start, end) >> np.uint64(64 - _BITS)).astype(np.int64)
         keys = np.unique(doc[start] * _BUCKETS + h)
         mark = ~_WORD[raw]
         sign = ~_WORD[data] & (raw > 32)
@@ -63,14 +65,21 @@ def features(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 @dataclass
 class Classifier:
     domains: list[str]
-    scale: np.ndarray  # by feature
-    weights: np.ndarray  # (features, domains)
+    place: np.ndarray  # by feature, its row in the next two, -1 without
+    scale: np.ndarray
+    weights: np.ndarray  # (kept features, domains)
     bias: np.ndarray
 
     def read(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's tokens and its probabilities of the domains."""
         text, feature, value, tokens = features(blobs)
-        return tokens, _softmax(_scores(text, feature, _scaled(text, feature, value, self.scale, len(blobs)), self.weights, len(blobs)) + self.bias)
+        text, row, value = _kept(text, self.place[feature], value)
+        return tokens, _softmax(_scores(text, row, _scaled(text, row, value, self.scale, len(blobs)), self.weights, len(blobs)) + self.bias)
+
+
+def _kept(text, row, value):
+    there = row >= 0
+    return text[there], row[there], value[there]
 
 
 def _scaled(text, feature, value, scale, n):
@@ -87,18 +96,34 @@ def _softmax(z):
     return e / e.sum(1, keepdims=True)
 
 
+def _telling(text: np.ndarray, feature: np.ndarray, want: np.ndarray, size: int) -> np.ndarray:
+    """The largest likelihood-ratio statistic of a feature's presence over the domains, each against all others."""
+    n, often, best = len(want), np.bincount(feature, minlength=size), np.zeros(size)
+    for mine in want.T:
+        inside = np.bincount(feature, mine[text], size)
+        share = mine.sum() / n
+        cells = [(inside, often * share), (often - inside, often * (1 - share)), (mine.sum() - inside, (n - often) * share), (n - mine.sum() - (often - inside), (n - often) * (1 - share))]
+        best = np.maximum(best, 2 * sum(np.where(got > 0, got * np.log(np.maximum(got, 0.5) / np.maximum(due, 1e-9)), 0.0) for got, due in cells))
+    return best
+
+
 def learn(blobs: list[bytes], domains: list[str], known: list[str], rounds: int = 200) -> Classifier:
     """Softmax regression, full gradients with a step of its own for each weight. Without examples every text gets equal probabilities."""
     n, size, k = len(blobs), _BUCKETS + 128, len(domains)
-    model = Classifier(domains, np.ones(size), np.zeros((size, k)), np.zeros(k))
+    model = Classifier(domains, np.full(size, -1), np.ones(0), np.zeros((0, k)), np.zeros(k))
     if not n:
         return model
     text, feature, value, _ = features(blobs)
-    often = np.bincount(feature, minlength=size)
-    model.scale = np.where(often >= max(2, n // RARE), np.log((1 + n) / (1 + often)) + 0.1, 0.0)  # rare words only teach the sample by heart
-    model.scale[_BUCKETS:] = 1.0
-    value = _scaled(text, feature, value, model.scale, n)
     want = np.array([[d == x for d in domains] for x in known], float)
+    keep = _telling(text, feature, want, size) >= TELLING  # other words only teach the sample by heart
+    keep[_BUCKETS:] = True
+    scale = np.log((1 + n) / (1 + np.bincount(feature, minlength=size))) + 0.1
+    scale[_BUCKETS:] = 1.0
+    size = int(keep.sum())
+    model.place[keep] = np.arange(size)
+    model.scale, model.weights = scale[keep], np.zeros((size, k))
+    text, feature, value = _kept(text, model.place[feature], value)
+    value = _scaled(text, feature, value, model.scale, n)
     model.bias = np.log(want.mean(0) + 1e-3)
     seen, bias_seen = np.full((size, k), 1e-8), np.full(k, 1e-8)
     for _ in range(rounds):

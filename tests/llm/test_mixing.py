@@ -52,3 +52,20 @@ def test_tables(frame, labels):
     assert len({(r._rate, r.copies) for r in rows if r.doc_id == 1}) == 1
     empty = mixed(frame([], "doc_id long, text string"), known)
     assert empty.count() == 0 and F.col
+
+
+def test_rare_words_mark_a_small_domain():
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (pq.read_table(f"{sf}/{n}.parquet").to_pandas() for n in ("documents", "labels"))
+    rows = labels.merge(docs, on="doc_id").drop_duplicates("text").sort_values("doc_id")
+    held = (rows.doc_id * 2654435761 % 2**32 < 2**30).to_numpy()
+    domain = np.where(rows.toxic == 1, "toxic", np.where(rows.quality == 0, "poor", "clean"))
+    blobs = [(x or "").encode() for x in rows.text]
+    model = learn([b for b, h in zip(blobs, held, strict=True) if not h], sorted(TARGETS), domain[~held].tolist())
+    p = model.read([b for b, h in zip(blobs, held, strict=True) if h])[1][:, 2]
+    for english, least in ((True, 0.85), (False, 0.7)):
+        mine = ((rows.lang == "en") == english).to_numpy()[held] & (domain[held] == "toxic")
+        assert mine.sum() > 25 and (p[mine] > 0.5).mean() > least
+    assert (p[domain[held] != "toxic"] > 0.5).mean() < 0.03
