@@ -68,6 +68,19 @@ for _e in ("user_channel", "card_channel"):
     FEATURE_FAMILIES[f"{_e}_is_new"] = "channel_familiarity"
 FEATURES = list(FEATURE_FAMILIES)
 
+# Layer -> the families it is built from; amount features have a layer of their own.
+LAYERS: dict[str, list[str]] = {
+    "user_features": ["user"],
+    "card_features": ["card"],
+    "merchant_features": ["merchant"],
+    "amount_features": ["user", "card"],
+    "user_merchant_features": ["user_merchant"],
+    "card_merchant_features": ["card_merchant"],
+    "user_mcc_features": ["user_mcc"],
+    "card_mcc_features": ["card_mcc"],
+    "channel_features": ["user_channel", "card_channel"],
+}
+
 Z_MIN_HISTORY = 5
 CONTRACT_VERSION = "PART4_v1.1"
 PIT_POLICY = "history_timestamp < current_timestamp"
@@ -211,17 +224,33 @@ def _history(df: DataFrame, families: list[str], entity: list[str], hot: DataFra
     return cold_rows.unionByName(hot_rows.select(*cold_rows.columns))
 
 
+def _prepared(df: DataFrame, rows: int | None, task_rows: int) -> tuple[DataFrame, dict[str, DataFrame | None]]:
+    prepared = df.withColumn("_us", X.micros("transaction_timestamp")).withColumn(
+        "_pos", F.when(F.col("amount") > 0, X.cents("amount"))
+    )
+    small = rows is not None and rows <= task_rows
+    return prepared, {e: None if small else hot_keys(df, FAMILIES[e], task_rows) for e in ("merchant", "user")}
+
+
+def feature_layers(df: DataFrame, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> dict[str, DataFrame]:
+    """The nine feature families, each built alone from a transaction table: ``source_row_id`` and the features of the layer."""
+    prepared, hot = _prepared(df, rows, task_rows)
+    layers = {}
+    for name, families in LAYERS.items():
+        entity = "merchant" if families == ["merchant"] else "user"
+        made = _history(prepared, families, FAMILIES[entity], hot[entity], task_rows)
+        own = [f for f in FEATURES if f in made.columns and FEATURE_FAMILIES[f].startswith("amount_") == (name == "amount_features")]
+        layers[name] = made.select("source_row_id", *own)
+    return layers
+
+
 def behavior_features(df: DataFrame, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Add the 43 features, the availability flags and the contract versions to a transaction table.
 
     ``rows`` is an upper bound on the input size if one is known; without it, or
     above ``task_rows``, one aggregation per entity looks for hot keys first.
     """
-    prepared = df.withColumn("_us", X.micros("transaction_timestamp")).withColumn(
-        "_pos", F.when(F.col("amount") > 0, X.cents("amount"))
-    )
-    small = rows is not None and rows <= task_rows
-    hot = {e: None if small else hot_keys(df, FAMILIES[e], task_rows) for e in ("merchant", "user")}
+    prepared, hot = _prepared(df, rows, task_rows)
     seen = _history(prepared, ["merchant"], FAMILIES["merchant"], hot["merchant"], task_rows)
     # Pairs first: they add few columns, so most sorts move narrow rows.
     user_side = [f for f in FAMILIES if f not in ("merchant", "user", "card")] + ["card", "user"]

@@ -252,6 +252,18 @@ def _(spark, sf):
         "behavior_source": T.model_splits(spark, sf), "behavioral_features_v1": mart.drop("fraud_label"), "evaluation_view": mart})
 
 
+_NJE_OF = """select '{0}' as layer, count(*) as rows, count(distinct source_row_id) as distinct_source_row_id, count(*) - count(distinct source_row_id) as duplicate_source_row_id,
+   case when count(*) = count(distinct source_row_id) then 'PASS' else 'FAIL' end as status from {1}"""
+
+
+@query("DQ24_no_join_explosion_all_layers", with_(MART, " union all ".join(
+    [_NJE_OF.format("behavior_source", "base")] + [_NJE_OF.format(n, "mart") for n in (*B.LAYERS, "behavioral_features_v1", "evaluation_view")])))
+def _(spark, sf):
+    source, mart = T.model_splits(spark, sf), T.mart(spark, sf)
+    return Q.no_join_explosion({
+        "behavior_source": source, **B.feature_layers(source, rows=T.row_bound(spark, sf)), "behavioral_features_v1": mart.drop("fraud_label"), "evaluation_view": mart})
+
+
 _INVARIANT_NAMES = ", ".join(f"'{n}'" for n in Q.INVARIANTS)
 _INVARIANT_NOTES = ", ".join(f"'{n}'" for n in Q.INVARIANTS.values())
 

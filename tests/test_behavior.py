@@ -63,3 +63,25 @@ def test_invariants_hold(spark, sf_dir):
 
 def test_label_is_not_needed(spark):
     assert "fraud_label" not in B.behavior_features(pit(spark), rows=10).columns
+
+
+def test_every_feature_layer_is_checked_for_repeated_rows(spark):
+    layers = B.feature_layers(pit(spark))
+    assert len(layers) == 9 and sorted(f for x in layers.values() for f in x.columns[1:]) == sorted(B.FEATURES)
+    mart = by_id(B.behavior_features(pit(spark)), *B.FEATURES)
+    for task_rows in (1, 1000):  # 1: every key is hot
+        for layer in B.feature_layers(pit(spark), task_rows=task_rows).values():
+            own = layer.columns[1:]
+            assert by_id(layer, *own) == {i: tuple(r[B.FEATURES.index(f)] for f in own) for i, r in mart.items()}
+        twice = pit(spark).unionByName(pit(spark).where("source_row_id <= 3"))
+        found = Q.no_join_explosion(B.feature_layers(twice, task_rows=task_rows)).collect()
+        assert len(found) == 9 and {(r["rows"], r["distinct_source_row_id"], r["duplicate_source_row_id"], r["status"]) for r in found} == {(13, 10, 3, "FAIL")}
+
+
+def test_all_twelve_layers_equal_sql(spark, sf_dir):
+    import __spark_entry__ as entry
+    from oracle_check import compare, duck
+
+    name = "DQ24_no_join_explosion_all_layers"
+    ok, note, _ = compare(spark, duck(sf_dir), sf_dir, name, entry.queries()[name], entry.oracle_sql()[name])
+    assert ok and note == "12 rows", note
