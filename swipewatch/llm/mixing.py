@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import LOWER, Rolling, byte_class, cut, free_name, spans, steps, texts
 
 #: Labelled documents that the classifier learns from, at most: those with the smallest hash of their id.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 10_000
 #: Shares of tokens that the mix should have.
 TARGETS = {"clean": 0.96, "poor": 0.03, "toxic": 0.01}
 MAX_RATE = 4.0
@@ -109,11 +109,14 @@ def _telling(text: np.ndarray, feature: np.ndarray, want: np.ndarray, size: int)
 
 def learn(blobs: list[bytes], domains: list[str], known: list[str], rounds: int = 200) -> Classifier:
     """Softmax regression, full gradients with a step of its own for each weight. Without examples every text gets equal probabilities."""
-    n, size, k = len(blobs), _BUCKETS + 128, len(domains)
+    return _learn(*features(blobs)[:3], domains, known, rounds)
+
+
+def _learn(text: np.ndarray, feature: np.ndarray, value: np.ndarray, domains: list[str], known: list[str], rounds: int = 200) -> Classifier:
+    n, size, k = len(known), _BUCKETS + 128, len(domains)
     model = Classifier(domains, np.full(size, -1), np.ones(0), np.zeros((0, k)), np.zeros(k))
     if not n:
         return model
-    text, feature, value, _ = features(blobs)
     want = np.array([[d == x for d in domains] for x in known], float)
     keep = _telling(text, feature, want, size) >= TELLING  # other words only teach the sample by heart
     keep[_BUCKETS:] = True
@@ -140,9 +143,25 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     """From ``labelled`` (``key``, ``domain``), at most ``rows`` documents; null ids and other domains teach nothing, of several labels the first counts."""
     known = labelled.where(F.col("domain").isin(domains) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("domain").alias("_d"))
     known = known.orderBy(F.xxhash64("_k"), "_k").limit(rows)
-    found = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k").select("_t", "_d")  # at most ``rows`` ids
-    seen: list[tuple[bytes, str]] = sorted(((t or "").encode(), d) for t, d in found.toLocalIterator())
-    return learn([t for t, _ in seen], domains, [d for _, d in seen])
+    found = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k").select("_t", F.xxhash64("_t").alias("_h"), "_d")  # at most ``rows`` ids
+
+    def measured(batches):
+        for batch in batches:
+            n = batch.num_rows
+            at, feature, value, _ = features(texts(batch.column(0)))
+            offsets = pa.array(np.searchsorted(at, np.arange(n + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (feature.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([*lists, *batch.columns[1:]], ["f", "v", "_h", "_d"])
+
+    got = found.mapInArrow(measured, "f array<int>, v array<double>, _h long, _d string").toArrow()
+    if not got.num_rows:
+        return learn([], domains, [])
+    label = got["_d"].to_pylist()
+    order = np.lexsort((np.unique(label, return_inverse=True)[1], got["_h"].to_numpy()))  # sums do not depend on the order in which rows arrive
+    got = got.take(pa.array(order))
+    f, v = (got[c].combine_chunks() for c in "fv")
+    size = np.diff(f.offsets.to_numpy())
+    return _learn(np.repeat(np.arange(len(f)), size), f.flatten().to_numpy(), v.flatten().to_numpy(), domains, [label[i] for i in order])
 
 
 def _rates(p: np.ndarray, pulls: list[np.ndarray], step: float, pull: float, most: float) -> tuple[np.ndarray, np.ndarray]:

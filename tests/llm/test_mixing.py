@@ -69,3 +69,15 @@ def test_rare_words_mark_a_small_domain():
         mine = ((rows.lang == "en") == english).to_numpy()[held] & (domain[held] == "toxic")
         assert mine.sum() > 25 and (p[mine] > 0.5).mean() > least
     assert (p[domain[held] != "toxic"] > 0.5).mean() < 0.03
+
+
+def test_sample_rows_and_features_from_tasks(frame):
+    from swipewatch.llm.mixing import SAMPLE_ROWS, train
+
+    assert SAMPLE_ROWS >= 10_000
+    rows = [(i, None if i == 5 else f"{'alpha' if i % 3 else 'omega'} Beta! {i % 7} w{i}") for i in range(90)]
+    named = {i: "a" if i % 3 else "b" for i, _ in rows}
+    made = train(frame(rows, "doc_id long, text string"), frame(list(named.items()), "doc_id long, domain string"), ["a", "b"])
+    blobs = [(t or "").encode() for _, t in rows]
+    whole = learn(blobs, ["a", "b"], list(named.values()))
+    assert (made.place == whole.place).all() and np.allclose(made.read(blobs)[1], whole.read(blobs)[1], atol=1e-6)
