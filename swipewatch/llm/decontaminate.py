@@ -1,7 +1,8 @@
 """Benchmark decontamination with suffix arrays over shards of the training documents.
 
-Each task builds word suffix arrays over blocks of its documents and looks up every suffix of the benchmark in them by binary search, which
-gives the longest verbatim matches and where they are. Nothing is shuffled: the benchmark, whose size is checked, goes to the documents,
+Each task builds word suffix arrays over blocks of its documents and looks up every window of the benchmark in them by binary search: the
+suffixes that start a full window, cut to it, and shorter items whole. Places are unions of these hits; windows that overlap or meet, also of
+different items, are one place, which need not be a verbatim match of any of them. Nothing is shuffled: the benchmark, whose size is checked, goes to the documents,
 in as many parts as it needs.
 """
 
