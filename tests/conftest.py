@@ -21,7 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
-
-
-def by_id(df, *columns, key="source_row_id"):
-    return {r[key]: tuple(r[c] for c in columns) for r in df.select(key, *columns).collect()}

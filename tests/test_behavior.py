@@ -1,6 +1,6 @@
 """Golden point-in-time case and invariances of the features."""
 
-from conftest import by_id
+from helpers import by_id
 from pyspark.sql import functions as F
 
 from swipewatch.operators import behavior as B
