@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, decontaminate, html, lines, mixing, quality, repair, simhash, suffix_dedup, tokens, urls
+from . import ann, chat, decontaminate, html, lines, mixing, prefix_trie, quality, repair, simhash, suffix_dedup, tokens, urls
 
 _ALL = [
     (quality.op1_quality_classifier, None),
@@ -16,6 +16,7 @@ _ALL = [
     (tokens.op9_token_counts, None),
     (ann.op10_nearest_neighbours, None),
     (repair.op11_conversation_repair, repair.SQL),
+    (prefix_trie.op12_conversation_trie, prefix_trie.SQL),
     (chat.op13_chat_formatting, chat.SQL),
 ]
 
