@@ -115,7 +115,7 @@ def queue_bucket(ts: Column | str, kind: str = "DAY") -> Column:
         return F.concat_ws("/", *_week_bounds(ts))
     if kind == "HOUR":
         return F.concat(day, F.lit("T"), F.date_format(ts, "HH"))
-    raise ValueError(f"unsupported review queue bucket: {kind}")
+    raise ValueError(f"no review bucket is called {kind}")
 
 
 def _week_bounds(ts: Column) -> tuple[Column, Column]:
@@ -133,7 +133,7 @@ def monitoring_window(ts: Column | str, frequency: str) -> Column:
         return F.concat(F.lit("W-"), F.concat_ws("_", *_week_bounds(ts)))
     if frequency == "MONTH":
         return F.concat(F.lit("M-"), F.date_format(ts, "yyyy-MM"))
-    raise ValueError(f"unsupported monitoring frequency: {frequency}")
+    raise ValueError(f"no monitoring window is called {frequency}")
 
 
 def four_bands(c: Column | str, low: float, medium: float, high: float) -> Column:

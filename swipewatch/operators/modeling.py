@@ -1,23 +1,16 @@
-"""Weighted logistic model, temporal validation and calibration on pyspark.ml."""
+"""Weighted logistic model, temporal validation and calibration: fits by sums of tasks, scores as Catalyst expressions."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import unpivot_stack
-from ..functions.scale import quantiles
 from ..sources.contracts import CURRENT_CONTEXT, feature_violations
 from . import metrics as M
 from . import splits as S
 from .behavior import FEATURES
+from .isotonic import isotonic_blocks, isotonic_probability
+from .logistic import Design, Logistic, Problem, fit_all, stacked, union_all
 
 CATEGORICAL = ("use_chip", "merchant_category_code")
 FEATURE_SETS = {
@@ -27,108 +20,91 @@ FEATURE_SETS = {
 }
 
 
-@dataclass
-class RiskModel:
-    features: list[str]
-    fill: dict[str, str]
-    flagged: list[str]
-    middle: dict[str, float]
-    pipeline: PipelineModel
+def _checked(train: DataFrame, sets: dict[str, list[str]]) -> None:
+    for features in sets.values():
+        bad = feature_violations(train, features)
+        if bad:
+            raise ValueError(f"forbidden or missing model inputs {bad}")
+
 
-    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
-        out = self.pipeline.transform(_prepare(df, self.features, self.fill, self.flagged, self.middle))
-        return out.withColumn(name, vector_to_array("probability")[1]).drop(*[c for c in out.columns if c not in df.columns])
+def fit_sets(train: DataFrame, sets: dict[str, list[str]], weight: str = "sample_weight", c: float = 1.0, label: str = "fraud_label", *, rows: int | None = None) -> dict[str, Logistic]:
+    """A model for each feature set, all in the same passes over ``train``.
 
+    The constant 1 is an input like the others, so the intercept is penalised too. That is what the surveyed solver does; with its weight
+    of one coefficient among many it hardly matters for ranking, but coefficients would differ without it.
+    """
+    _checked(train, sets)
+    return fit_all(train, {n: Problem(tuple(f)) for n, f in sets.items()}, weight=weight, c=c, label=label, categorical=CATEGORICAL, rows=rows)
 
-def _prepare(df: DataFrame, features: list[str], fill: dict[str, str], flagged: list[str], middle: dict[str, float]) -> DataFrame:
-    numeric = [f for f in features if f not in CATEGORICAL]
-    return df.withColumns({
-        **{f"_x_{f}": F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")), F.lit(middle[f])) for f in numeric}, **{f"_miss_{f}": F.col(f).isNull().cast("double") for f in flagged},
-        **{f"_c_{f}": F.coalesce(F.col(f), F.lit(v)) for f, v in fill.items()}})
 
+def fit(train: DataFrame, features: list[str], weight: str = "sample_weight", c: float = 1.0, label: str = "fraud_label") -> Logistic:
+    return fit_sets(train, {"model": features}, weight, c, label)["model"]
 
-def fit(train: DataFrame, features: list[str], weight: str = "sample_weight", c: float = 1.0, label: str = "fraud_label") -> RiskModel:
-    """Exact median imputation with missing flags, scaling, one-hot categories and an L2 logistic fit. The intercept is not penalised.
 
-    The penalty is scaled so that it equals an inverse strength ``c`` on the summed loss.
-    """
-    bad = feature_violations(train, features)
-    if bad:
-        raise ValueError(f"forbidden or missing model inputs {bad}")
-    numeric = [f for f in features if f not in CATEGORICAL]
-    categorical = [f for f in features if f in CATEGORICAL]
-    facts = train.agg(F.sum(weight).alias("_w"), *[F.count_if(F.col(f).isNull()).alias(f) for f in numeric], *[F.mode(f, True).alias(f) for f in categorical]).first()
-    flagged = [f for f in numeric if facts[f] > 0]
-    fill = {f: facts[f] for f in categorical}
-    long = train.selectExpr(unpivot_stack([(f"'{f}'", f"double({f})") for f in numeric], ("feature_name", "v")))
-    medians = {r["feature_name"]: r["q"][0] for r in quantiles(long, "v", [0.5], ["feature_name"], name="q").collect()}  # one row a feature
-    middle = {f: float(medians.get(f, 0.0)) for f in numeric}  # a feature without any value is 0 everywhere
-    prepared = _prepare(train, features, fill, flagged, middle)
-    x = [f"_x_{f}" for f in numeric]
-    stages = [VectorAssembler(inputCols=x + [f"_miss_{f}" for f in flagged], outputCol="_numbers"),
-              StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True)]
-    parts = ["_scaled"]
-    if categorical:
-        stages.append(StringIndexer(inputCols=[f"_c_{f}" for f in categorical], outputCols=[f"_s_{f}" for f in categorical], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"_s_{f}" for f in categorical], outputCols=[f"_o_{f}" for f in categorical], dropLast=True))
-        parts += [f"_o_{f}" for f in categorical]
-    stages.append(VectorAssembler(inputCols=parts, outputCol="_features"))
-    stages.append(LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight, regParam=1.0 / (c * facts["_w"]), elasticNetParam=0.0, standardization=False, maxIter=100))
-    return RiskModel(list(features), fill, flagged, middle, Pipeline(stages=stages).fit(prepared))
-
-
-def importance(model: RiskModel, df: DataFrame, top: int = 15) -> DataFrame:
-    """Largest coefficients by size; their number is the width of the model, not of the data."""
-    logistic = model.pipeline.stages[-1]
-    scored = model.pipeline.transform(_prepare(df, model.features, model.fill, model.flagged, model.middle))
-    numeric = [f for f in model.features if f not in CATEGORICAL]
-    names = numeric + [f"missing_{f}" for f in model.flagged]
-    for f in (f for f in model.features if f in CATEGORICAL):
-        attributes = scored.schema[f"_o_{f}"].metadata["ml_attr"]["attrs"]["binary"]
-        names += [f"{f}={a['name']}" for a in sorted(attributes, key=lambda a: a["idx"])]
-    rows = [(n, float(c), abs(float(c)), "predictive association; not causal") for n, c in zip(names, logistic.coefficients)]
-    return df.sparkSession.createDataFrame(rows, "feature_name string, coefficient double, absolute_coefficient double, interpretation string").orderBy(F.desc("absolute_coefficient")).limit(top)
-
-
-def temporal_cv(dev: DataFrame, features: list[str], folds: int = 3, weight: str = "sample_weight", **bounds) -> DataFrame:
-    """Fit and measure each fold; the loop is over three folds, the work inside is distributed."""
-    out = None
+def importance(model: Logistic, df: DataFrame, top: int = 15) -> DataFrame:
+    """Largest coefficients by size, ties by name, without the intercept; their number is the width of the model, not of the data."""
+    rows = [(n, float(b), abs(float(b)), "predictive association; not causal") for n, b in zip(model.design.names, model.coefficients, strict=True) if n != "intercept"]
+    return df.sparkSession.createDataFrame(rows, "feature_name string, coefficient double, absolute_coefficient double, interpretation string").orderBy(F.desc("absolute_coefficient"), "feature_name").limit(top)
+
+
+def fold_scopes(dev: DataFrame, folds: int = 3):
+    """Conditions on the rows of each fold: (fold -> training rows, fold -> validation rows). Their number is that of the folds."""
+    day, train, valid = F.to_date("transaction_timestamp"), {}, {}
     for r in S.temporal_folds(dev, folds).orderBy("fold").collect():
-        day = F.to_date("transaction_timestamp")
-        model = fit(dev.where(day <= F.lit(r["train_end"])), features, weight)
-        scored = model.score(dev.where(day.between(F.lit(r["validation_start"]), F.lit(r["validation_end"]))))
-        row = M.ranking_metrics(scored, score="score", **bounds).select(F.lit(r["fold"]).alias("fold"), "rows", "fraud_rows", "pr_auc", "roc_auc", "ks",
-                                                                        F.when(F.col("pr_auc").isNotNull(), "PASS").otherwise("LOW_SUPPORT").alias("status"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        train[r["fold"]] = day <= F.lit(r["train_end"])
+        valid[r["fold"]] = day.between(F.lit(r["validation_start"]), F.lit(r["validation_end"]))
+    return train, valid
+
+
+def fit_folds(dev: DataFrame, sets: dict[str, list[str]], train: dict, weight: str = "sample_weight", label: str = "fraud_label", *, rows: int | None = None) -> dict[tuple[str, int], Logistic]:
+    """A model for each feature set and fold. A step of all of them is one pass: a row adds to every fold that learns from it."""
+    _checked(dev, sets)
+    problems = {(n, k): Problem(tuple(f), str(k)) for n, f in sets.items() for k in train}
+    return fit_all(dev, problems, scopes={str(k): s for k, s in train.items()}, weight=weight, label=label, categorical=CATEGORICAL, rows=rows)
+
+
+def fold_metrics(scored: DataFrame, valid: dict, by: list[str], score: str = "score", **bounds) -> DataFrame:
+    """Ranking metrics of the validation rows of each fold, LOW_SUPPORT without both classes."""
+    inside = F.array_compact(F.array(*[F.when(s, F.lit(k)) for k, s in valid.items()]))
+    placed = scored.withColumn("fold", F.explode(inside))
+    return M.ranking_metrics(placed, [*by, "fold"], score=score, **bounds).select(
+        *by, "fold", "rows", "fraud_rows", "pr_auc", "roc_auc", "ks", F.when(F.col("pr_auc").isNotNull(), "PASS").otherwise("LOW_SUPPORT").alias("status"))
+
+
+def temporal_cv(dev: DataFrame, sets: dict[str, list[str]], folds: int = 3, weight: str = "sample_weight", *, rows: int | None = None) -> DataFrame:
+    """Fit on the days up to each fold's end, measure on the block after it: (feature_set, fold, rows, ..., status)."""
+    train, valid = fold_scopes(dev, folds)
+    models = fit_folds(dev, sets, train, weight, rows=rows)
+    each = [stacked(dev.where(valid[k]), {n: models[n, k].probability() for n in sets}, "feature_set").withColumn("fold", F.lit(k)).select("feature_set", "fold", "score", "fraud_label") for k in train]
+    measured = M.ranking_metrics(union_all(each), ["feature_set", "fold"], score="score", rows=rows)
+    return measured.select("feature_set", "fold", "rows", "fraud_rows", "pr_auc", "roc_auc", "ks", F.when(F.col("pr_auc").isNotNull(), "PASS").otherwise("LOW_SUPPORT").alias("status"))
+
+
+def fit_sigmoid(calibration: DataFrame, score: str = "score", label: str = "fraud_label") -> Logistic:
+    """Logistic regression of the label on the score as it is, the intercept free."""
+    as_is = Design([score], {score: 0.0}, [], [0.0], [1.0], {}, {})
+    rows = calibration.where(F.col(score).isNotNull() & ~F.isnan(score)).select(score, label)
+    return fit_all(rows, {"sigmoid": Problem((score,))}, label=label, penalise_intercept=False, known={"sigmoid": as_is})["sigmoid"]
 
 
-def calibrate(calibration: DataFrame, selection: DataFrame, method: str, score: str = "score", label: str = "fraud_label") -> DataFrame:
-    """Probability of the selection rows from a calibrator fitted on the calibration rows."""
+def calibrate(calibration: DataFrame, selection: DataFrame, method: str, score: str = "score", label: str = "fraud_label", *, rows: int | None = None) -> DataFrame:
+    """Probability of the selection rows from a calibrator fitted on the calibration rows. Rows without a score have none."""
     if method == "uncalibrated":
         return selection.withColumn("probability", F.col(score))
     if method == "sigmoid":
-        vector = VectorAssembler(inputCols=[score], outputCol="_v")
-        n = calibration.count()
-        logistic = LogisticRegression(featuresCol="_v", labelCol=label, regParam=1.0 / max(n, 1), standardization=False)
-        fitted = logistic.fit(vector.transform(calibration.select(score, label)))
-        out = fitted.transform(vector.transform(selection).drop("probability"))
-        return out.withColumn("_p", vector_to_array("probability")[1]).select(*selection.columns, F.col("_p").alias("probability"))
+        fitted = fit_sigmoid(calibration, score, label)
+        known = F.col(score).isNotNull() & ~F.isnan(score)
+        return selection.withColumn("probability", F.when(known, fitted.probability()))
     if method == "isotonic":
-        fitted = IsotonicRegression(featuresCol=score, labelCol=label).fit(calibration.select(F.col(score), F.col(label).cast("double").alias(label)))
-        return fitted.transform(selection).withColumnRenamed("prediction", "probability")
+        return isotonic_probability(selection, isotonic_blocks(calibration, score, label), score, rows=rows)
     raise ValueError(f"unknown calibration method {method}")
 
 
-def calibration_comparison(calibration: DataFrame, selection: DataFrame, **bounds) -> DataFrame:
-    """Ranking and probability metrics of the three calibrators."""
-    ranking = M.ranking_metrics(selection, score="score", **bounds).select("rows", "fraud_rows", "pr_auc", "roc_auc", "ks", F.lit(1).alias("k"))
-    out = None
-    for method in ("uncalibrated", "sigmoid", "isotonic"):
-        p = M.probability_metrics(calibrate(calibration, selection, method), probability="probability").select("brier", "log_loss", F.lit(1).alias("k"))
-        row = ranking.join(F.broadcast(p), "k").drop("k").withColumns({"method": F.lit(method), "status": F.lit("PASS")})
-        out = row if out is None else out.unionByName(row)
-    return out
+def calibration_comparison(calibration: DataFrame, selection: DataFrame, methods: tuple[str, ...] = ("uncalibrated", "sigmoid", "isotonic"), score: str = "score", *, rows: int | None = None) -> DataFrame:
+    """Ranking and probability metrics of the calibrators."""
+    ranking = M.ranking_metrics(selection, score=score, rows=rows).select("rows", "fraud_rows", "pr_auc", "roc_auc", "ks", F.lit(1).alias("k"))
+    measured = [M.probability_metrics(calibrate(calibration, selection, m, score, rows=rows), probability="probability").select(F.lit(m).alias("method"), "brier", "log_loss", F.lit(1).alias("k")) for m in methods]
+    return ranking.join(F.broadcast(union_all(measured)), "k").drop("k").withColumn("status", F.lit("PASS"))
 
 
 def champion(table: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import modeling as L
 from ..operators import splits as S
+from ..operators.logistic import Problem, designs, union_all
 from ..sources import contracts as C
 from . import tables as T
+from .portfolio_queries import _LATE, _TRAIN, _eval_sql
 from .registry import MART, SCORED, query, with_
 
 SCORES = SCORED + """,
@@ -125,9 +127,7 @@ def training(spark, sf):
     from ..functions.scale import cut
 
     m = T.mart(spark, sf)
-    sample = cut(S.sample_negatives(m))
-    full = m.where("split_name = 'DEVELOPMENT' and fraud_label = 0").count()
-    return sample.withColumn("sample_weight", S.sample_weight(full, sample.where("fraud_label = 0").count()))
+    return cut(S.with_sample_weight(cut(S.sample_negatives(m)), T.model_splits(spark, sf).where("split = 'DEVELOPMENT'")))
 
 
 def windows(spark, sf):
@@ -137,14 +137,12 @@ def windows(spark, sf):
     return scopes.where("modeling_scope = 'VALIDATION_CALIBRATION'"), scopes.where("modeling_scope = 'VALIDATION_SELECTION'")
 
 
-@query("MOD01_feature_sets", None)
+@query("MOD01_feature_sets", with_(MART, " union all ".join(f"select '{n}' as feature_set, '{f}' as feature_name, count({f}) as present_values, 'PASS' as status from mart" for n, fs in L.FEATURE_SETS.items() for f in fs)))
 def _(spark, sf):
-    out = None
-    m = T.mart(spark, sf)
-    for name, features in L.FEATURE_SETS.items():
-        t = C.feature_contract(m, features).withColumn("feature_set", F.lit(name))
-        out = t if out is None else out.unionByName(t)
-    return out
+    """Every input of every feature set, its values counted once."""
+    t = C.feature_contract(T.mart(spark, sf), sorted({f for fs in L.FEATURE_SETS.values() for f in fs}))
+    sets = F.array_compact(F.array(*[F.when(F.col("feature_name").isin(fs), F.lit(n)) for n, fs in L.FEATURE_SETS.items()]))
+    return t.select(F.explode(sets).alias("feature_set"), *t.columns)
 
 
 @query("DQ40_feature_contract", with_(SCORED, "select 'amount' as feature_name, count(amount) as present_values, 'PASS' as status from scored union all select 'user_id', count(user_id), 'FAIL' from scored union all select 'absent_feature', 0, 'FAIL'"))
@@ -152,40 +150,150 @@ def _(spark, sf):
     return C.feature_contract(T.scored(spark, sf), ["amount", "user_id", "absent_feature"])
 
 
-@query("MOD02_03_logistic_scores")
+# Sampled Development rows with weights, in each fold's training days and (fold 0) all of them.
+_FOLDED = MART + _TRAIN + """,k as (select count(*) filter (where fraud_label = 0) as full_n from dev),
+ tr as (select t.*, case when fraud_label = 0 then greatest(1.0::double, cast(full_n as double) / sampled) else 1.0::double end as w
+   from (select mart.*, count(*) filter (where fraud_label = 0) over () as sampled from train join mart using (source_row_id)) t, k),
+ dd as (select distinct cast(transaction_timestamp as date) as d from tr), oo as (select d, row_number() over (order by d) - 1 as i, count(*) over () as n from dd),
+ places as (select g + 1 as fold, greatest(0, cast(round_even(n * (0.5::double + g * 0.15::double), 0) as int) - 1) as te, case when g = 2 then n - 1 else cast(round_even(n * (0.65::double + g * 0.15::double), 0) as int) - 1 end as ve
+   from (select distinct n from oo) x, (values (0), (1), (2)) v(g)),
+ folds as (select fold, a.d as train_end, b.d as validation_start, c.d as validation_end from places join oo a on a.i = te join oo b on b.i = te + 1 join oo c on c.i = greatest(ve, te + 1)),
+ scoped as (select fold, tr.* from tr join (select fold, train_end from folds union all select 0, date '9999-12-31') f on cast(transaction_timestamp as date) <= train_end)"""
+
+_NUMERIC = [f for f in L.FEATURE_SETS["F2"] if f not in L.CATEGORICAL]
+_MEASURED = _FOLDED + f""",
+ long as (select fold, fraud_label * w as wy, unnest([{', '.join(f"{{'f': '{f}', 'v': cast({f} as double)}}" for f in _NUMERIC)}], recursive := true) from scoped),
+ st as (select fold, f, coalesce(median(v), 0) as med from long group by 1, 2),
+ im as (select fold, f, wy, coalesce(v, med) as x, case when v is null then 1.0::double else 0 end as miss from long join st using (fold, f)),
+ ms as (select fold, f, avg(x) as mean, stddev_pop(x) as sd, avg(miss) as mm, stddev_pop(miss) as msd from im group by 1, 2),
+ sizes as (select fold, f, mean, case when sd <= 1e-9 * greatest(1, abs(mean)) then 1.0::double else sd end as sd, mm, case when msd = 0 then 1.0::double else msd end as msd from ms),
+ moments as (select fold, f as coefficient, f as input, sum(wy * (x - mean) / sd) as moment from im join sizes using (fold, f) group by 1, 2
+   union all select fold, 'missing_' || f, f, sum(wy * (miss - mm) / msd) from im join sizes using (fold, f) where mm > 0 group by 1, 2, 3
+   {' '.join(f"union all select fold, '{f}=' || {f}, '{f}', sum(fraud_label * w) from scoped group by 1, 2" for f in L.CATEGORICAL)}
+   union all select fold, 'intercept', 'intercept', sum(fraud_label * w) from scoped group by 1)"""
+_SETS = "(values " + ", ".join(f"('{n}', '{f}')" for n in ("F0", "F2") for f in [*L.FEATURE_SETS[n], "intercept"]) + ") s(feature_set, input)"
+SETS = {n: L.FEATURE_SETS[n] for n in ("F0", "F2")}
+
+
+@query("MOD02_design", with_(_MEASURED, "select f as feature_name, round(med, 6) as median_value, mm > 0 as flagged, round(mean, 6) as mean, round(sd, 6) as scale from sizes join st using (fold, f) where fold = 0"))
+def _(spark, sf):
+    """What missing values become and how inputs are standardised, from the rows that a model learns from."""
+    d = designs(training(spark, sf), {"F2": Problem(tuple(L.FEATURE_SETS["F2"]))}, {None: None}, L.CATEGORICAL, rows=T.row_bound(spark, sf))["F2"]
+    rows = [(f, d.middle[f], f in d.flagged, m, s) for f, m, s in zip(d.numeric, d.centre, d.scale, strict=False)]
+    return _round(spark.createDataFrame(rows, "feature_name string, median_value double, flagged boolean, mean double, scale double"), ("median_value", "mean", "scale"), 6)
+
+
+def _moments(models: dict, rows_of, weight="sample_weight", c=1.0):
+    """One table of the moments of several models over their own training rows."""
+    return union_all([m.moments(rows_of(k), weight, c).select(F.lit(k[0]).alias("feature_set"), F.lit(k[1]).alias("fold"), "coefficient", F.round("moment", 5).alias("moment")) for k, m in models.items()])
+
+
+@query("MOD03_logistic_moments", with_(_MEASURED, f"select feature_set, coefficient, round(moment, 5) as moment from moments join {_SETS} using (input) where fold = 0"))
 def _(spark, sf):
+    """The fit of both sets, seen by what must hold at the optimum: for each coefficient, the expected and the seen sum over frauds agree."""
     train = training(spark, sf)
-    model = L.fit(train, L.FEATURE_SETS["F2"])
-    return M.ranking_metrics(model.score(windows(spark, sf)[1]), score="score", rows=T.row_bound(spark, sf))
+    models = L.fit_sets(train, SETS, rows=T.row_bound(spark, sf))
+    return _moments({(n, 0): m for n, m in models.items()}, lambda _: train).drop("fold")
 
 
-def both_sets(table):
-    """``table(name, features)`` of the current-context set and of the full one."""
-    parts = [table(name, L.FEATURE_SETS[name]).withColumn("feature_set", F.lit(name)) for name in ("F0", "F2")]
-    return parts[0].unionByName(parts[1])
+@query("MOD04_fold_moments", with_(_MEASURED, f"select feature_set, fold, coefficient, round(moment, 5) as moment from moments join {_SETS} using (input) where fold > 0"))
+def _(spark, sf):
+    """The same for every fold's models, each with medians, scales and levels of its own training days."""
+    train = training(spark, sf)
+    inside, _ = L.fold_scopes(train)
+    return _moments(L.fit_folds(train, SETS, inside, rows=T.row_bound(spark, sf)), lambda k: train.where(inside[k[1]]))
 
 
-@query("MOD04_temporal_cv")
+@query("MOD04_fold_sizes", with_(_FOLDED, """select fold, count(*) filter (where cast(transaction_timestamp as date) <= train_end) as train_rows, cast(sum(fraud_label) filter (where cast(transaction_timestamp as date) <= train_end) as bigint) as train_fraud_rows,
+  count(*) filter (where cast(transaction_timestamp as date) between validation_start and validation_end) as validation_rows from tr, folds group by fold"""))
 def _(spark, sf):
     train = training(spark, sf)
-    return both_sets(lambda _, features: L.temporal_cv(train, features, rows=T.row_bound(spark, sf)))
+    inside, valid = L.fold_scopes(train)
+    counted = train.agg(*[e.alias(f"{n}{k}") for k in inside for n, e in (("t", F.count_if(inside[k])), ("f", F.sum(F.when(inside[k], F.col("fraud_label").cast("long")))), ("v", F.count_if(valid[k])))])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"t{k}").alias("train_rows"), F.col(f"f{k}").alias("train_fraud_rows"), F.col(f"v{k}").alias("validation_rows")) for k in inside])).alias("e")).select("e.*")
 
 
-@query("MOD05_calibration_comparison")
+_GIVEN_CV = SCORES.replace("from scored group by 1, 2)", "from given group by 1, 2)").replace("st as (", """given as (select 'V' || fold || '-' || feature_set as split_name, score as risk_score, fraud_label
+   from (select fold, fraud_label, unnest([{'feature_set': 'F0', 'score': base_score}, {'feature_set': 'F2', 'score': base_score * 0.75::double + fraud_label * 0.25::double}], recursive := true) from tr join folds on cast(transaction_timestamp as date) between validation_start and validation_end) x),
+ st as (""")
+
+
+@query("MOD04_fold_metrics", with_(_FOLDED + "," + _GIVEN_CV[_GIVEN_CV.index("given as"):], """select substr(split_name, 4) as feature_set, cast(substr(split_name, 2, 1) as int) as fold, rows, fraud_rows, round(pr_auc, 9) as pr_auc, round(roc_auc, 9) as roc_auc, round(ks, 9) as ks, 'PASS' as status from rm"""))
 def _(spark, sf):
-    train, (calibration, selection) = training(spark, sf), windows(spark, sf)
+    """Fold metrics of two given scores."""
+    train = training(spark, sf)
+    given = {"F0": F.col("base_score"), "F2": F.col("base_score") * 0.75 + F.col("fraud_label") * F.lit(0.25)}
+    return _round(L.fold_metrics(L.stacked(train, given, "feature_set"), L.fold_scopes(train)[1], ["feature_set"], rows=T.row_bound(spark, sf)))
+
+
+@query("MOD02_03_logistic_scores")
+def _(spark, sf):
+    model = L.fit(training(spark, sf), L.FEATURE_SETS["F2"])
+    return M.ranking_metrics(model.score(windows(spark, sf)[1]), score="score", rows=T.row_bound(spark, sf))
+
+
+@query("MOD04_temporal_cv")
+def _(spark, sf):
+    return L.temporal_cv(training(spark, sf), SETS, rows=T.row_bound(spark, sf))
+
 
-    def compared(_, features):
-        model = L.fit(train, features)
-        return L.calibration_comparison(model.score(calibration), model.score(selection), rows=T.row_bound(spark, sf))
+# Calibration and selection rows of the given score; coarse scores tie.
+_WINDOWED = SCORED + _eval_sql(_LATE) + """,
+ cal as (select floor(risk_score * 1000) / 1000 as s, fraud_label as y from scored join ev using (source_row_id) where modeling_scope = 'VALIDATION_CALIBRATION'),
+ sel as (select risk_score as s, fraud_label as y from scored join ev using (source_row_id) where modeling_scope = 'VALIDATION_SELECTION'),
+ ds as (select s, count(*) as n, sum(y) as p, row_number() over (order by s) as i from cal group by s),
+ ac as (select *, sum(n) over (order by i) as cn, sum(p) over (order by i) as cp from ds),
+ mm as (select j.i as j, k.i as k, min(cast(k.cp - j.cp + j.p as double) / (k.cn - j.cn + j.n)) over (partition by j.i order by k.i desc) as least from ac j join ac k on k.i >= j.i),
+ iso as (select i, s, max(least) as g from ds join mm on j <= i and k = i group by 1, 2)"""
 
-    return both_sets(compared)
+
+def given_windows(spark, sf):
+    """Calibration rows (coarse scores) and selection rows of the given score, written once."""
+    from ..functions.scale import cut
+
+    scopes = cut(S.evaluation_windows(T.scored(spark, sf), "window_start").where("split_name = 'VALIDATION'").select("source_row_id", "risk_score", "fraud_label", "modeling_scope"))
+    coarse = F.floor(F.col("risk_score") * 1000) / 1000
+    return scopes.where("modeling_scope = 'VALIDATION_CALIBRATION'").withColumn("score", coarse), scopes.where("modeling_scope = 'VALIDATION_SELECTION'").withColumn("score", F.col("risk_score"))
+
+
+@query("MOD05_isotonic_fit", with_(_WINDOWED, "select s as score, round(g, 9) as probability from iso"))
+def _(spark, sf):
+    """The calibrated probability of every distinct calibration score. SQL takes the largest of the least mean rates around each score."""
+    calibration, _ = given_windows(spark, sf)
+    asked = calibration.select("score").distinct()
+    return _round(L.isotonic_probability(asked, L.isotonic_blocks(calibration), rows=T.row_bound(spark, sf)), ("probability",))
+
+
+@query("MOD05_isotonic_selection", with_(_WINDOWED, """,q as (select s, y, (select max(i) from iso b where b.s <= sel.s) as a, (select min(i) from iso b where b.s >= sel.s) as b from sel),
+  pr as (select y, case when q.a is null then hi.g when q.b is null or hi.s = lo.s then lo.g else lo.g + (hi.g - lo.g) * ((q.s - lo.s) / (hi.s - lo.s)) end as p from q left join iso lo on lo.i = q.a left join iso hi on hi.i = q.b)
+  select count(*) as rows, round(avg((p - y) ** 2), 9) as brier, round(avg(-(y * ln(greatest(p, 1e-9::double)) + (1 - y) * ln(greatest(1 - least(p, 1 - 1e-9::double), 1e-9::double)))), 9) as log_loss from pr"""))
+def _(spark, sf):
+    """Selection rows between calibration scores get probabilities on the line between them."""
+    calibration, selection = given_windows(spark, sf)
+    return _round(M.probability_metrics(L.calibrate(calibration, selection, "isotonic", rows=T.row_bound(spark, sf)), probability="probability"), ("brier", "log_loss"))
+
+
+@query("MOD05_sigmoid_moments", with_(_WINDOWED, "select 'score' as coefficient, round(sum(y * s), 6) as moment from cal union all select 'intercept', cast(sum(y) as double) from cal"))
+def _(spark, sf):
+    """The sigmoid fit at its optimum; its intercept is free, so probabilities add up to the frauds."""
+    calibration, _ = given_windows(spark, sf)
+    fitted = L.fit_sigmoid(calibration)
+    free = F.when(F.col("coefficient") == "intercept", float(fitted.coefficients[-1])).otherwise(0.0)  # not penalised, so not part of its moment
+    return fitted.moments(calibration.withColumn("_one", F.lit(1.0)), "_one", 1.0).select("coefficient", F.round(F.col("moment") - free, 6).alias("moment"))
+
+
+@query("MOD05_calibration_comparison")
+def _(spark, sf):
+    train, (calibration, selection) = training(spark, sf), windows(spark, sf)
+    models = L.fit_sets(train, SETS, rows=T.row_bound(spark, sf))
+    return union_all([L.calibration_comparison(m.score(calibration), m.score(selection), rows=T.row_bound(spark, sf)).withColumn("feature_set", F.lit(n)) for n, m in models.items()])
 
 
 @query("MOD06_importance")
 def _(spark, sf):
     train = training(spark, sf)
-    return both_sets(lambda _, features: L.importance(L.fit(train, features), train))
+    models = L.fit_sets(train, SETS, rows=T.row_bound(spark, sf))
+    return union_all([L.importance(m, train).withColumn("feature_set", F.lit(n)) for n, m in models.items()])
 
 
 @query("MOD02_medians", with_(MART, ", ".join(["select 'F2' as feature_set, * from (" + " union all ".join(f"select '{f}' as feature_name, count({f}) as present, median(cast({f} as double)) as median_value from mart where split_name = 'DEVELOPMENT'" for f in L.FEATURE_SETS["F2"] if f not in L.CATEGORICAL) + ") t"])))
@@ -201,9 +309,31 @@ def _(spark, sf):
     return present.join(F.broadcast(middle), "feature_name", "left").select(F.lit("F2").alias("feature_set"), "feature_name", "present", F.col("q")[0].alias("median_value"))
 
 
+def _judged(table):
+    """The champion of a table of metrics; what the full set adds stands beside both rows."""
+    table = L.champion(table)
+    return table.withColumn("_k", F.lit(1)).join(F.broadcast(L.incremental_value(table).withColumn("_k", F.lit(1))), "_k").drop("_k")
+
+
 @query("MOD07_champion")
 def _(spark, sf):
     train, selection = training(spark, sf), windows(spark, sf)[1]
-    table = L.champion(both_sets(lambda _, features: M.ranking_metrics(L.fit(train, features).score(selection), score="score", rows=T.row_bound(spark, sf))))
-    # what the full set adds stands beside both rows
-    return table.withColumn("_k", F.lit(1)).join(F.broadcast(L.incremental_value(table).withColumn("_k", F.lit(1))), "_k").drop("_k")
+    models = L.fit_sets(train, SETS, rows=T.row_bound(spark, sf))
+    scored = L.stacked(selection, {n: m.probability() for n, m in models.items()}, "feature_set")
+    return _judged(M.ranking_metrics(scored, ["feature_set"], score="score", rows=T.row_bound(spark, sf)))
+
+
+_GIVEN = SCORES.replace("from scored group by 1, 2)", "from given group by 1, 2)").replace("st as (", """given as (select feature_set as split_name, score as risk_score, fraud_label
+   from (select fraud_label, unnest([{'feature_set': 'F0', 'score': floor(risk_score * 20) / 20}, {'feature_set': 'F2', 'score': risk_score}], recursive := true) from scored where split_name = 'VALIDATION') x),
+ st as (""")
+
+
+@query("MOD07_champion_of_given_scores", with_(_GIVEN + ", d as (select max(pr_auc) filter (where split_name = 'F2') - max(pr_auc) filter (where split_name = 'F0') as delta_pr_auc, max(roc_auc) filter (where split_name = 'F2') - max(roc_auc) filter (where split_name = 'F0') as delta_roc_auc, max(ks) filter (where split_name = 'F2') - max(ks) filter (where split_name = 'F0') as delta_ks from rm)", """
+  select split_name as feature_set, rows, fraud_rows, prevalence, round(pr_auc, 9) as pr_auc, round(roc_auc, 9) as roc_auc, round(ks, 9) as ks, round(ks_roc, 9) as ks_roc,
+    case when row_number() over (order by pr_auc desc, split_name) = 1 then 'CHAMPION_CANDIDATE' else 'BASELINE' end as selection_status, round(delta_pr_auc, 9) as delta_pr_auc, round(delta_roc_auc, 9) as delta_roc_auc, round(delta_ks, 9) as delta_ks from rm, d"""))
+def _(spark, sf):
+    """The choice between a coarse and a fine given score."""
+    s = T.scored(spark, sf).where("split_name = 'VALIDATION'")
+    scored = L.stacked(s, {"F0": F.floor(F.col("risk_score") * 20) / 20, "F2": F.col("risk_score")}, "feature_set")
+    table = _judged(M.ranking_metrics(scored, ["feature_set"], score="score", rows=T.row_bound(spark, sf)))
+    return _round(table, ("pr_auc", "roc_auc", "ks", "ks_roc", "delta_pr_auc", "delta_roc_auc", "delta_ks"))

@@ -510,9 +510,7 @@ def _(spark, sf):
 def _(spark, sf):
     named = _splits_named(spark, sf)
     sampled = S.sample_negatives(named)
-    full = named.where("split_name = 'DEVELOPMENT' and fraud_label = 0").count()
-    kept = sampled.where("fraud_label = 0").count()
-    return sampled.select("source_row_id", S.sample_weight(full, kept).alias("sample_weight"))
+    return S.with_sample_weight(sampled, named.where("split_name = 'DEVELOPMENT'")).select("source_row_id", "sample_weight")
 
 
 @query("SPL11_temporal_folds", with_(TXN, """,d as (select distinct transaction_date as d from dev), o as (select d, row_number() over (order by d) - 1 as i, count(*) over () as n from d),

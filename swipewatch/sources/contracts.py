@@ -38,27 +38,32 @@ def assert_policy_columns(columns: Iterable[str]) -> None:
 
 
 def operational_view(df: DataFrame) -> DataFrame:
-    found = sorted(FORBIDDEN_OPERATIONAL & set(df.columns))
-    if found:
-        raise ValueError(f"operational monitoring cannot receive outcome fields {found}")
+    """The rows as a monitor of current operations may see them: an outcome column stops it."""
+    outcomes = sorted(FORBIDDEN_OPERATIONAL.intersection(df.columns))
+    if outcomes:
+        raise ValueError(f"outcome columns {outcomes} are not known while operations run")
     return df
 
 
+# How labels were obtained and what may be claimed of them; and whether a clock runs on known outcomes.
+LABEL_CLAIMS = {"RETROSPECTIVE_MATURED": "RETROSPECTIVE_MATURED", "SIMULATED_DELAY": "SIMULATED"}
+CLOCK_HAS_OUTCOMES = {"OPERATIONS_NOW": False, "OUTCOMES_MATURED": True}
+
+
 def matured_view(df: DataFrame, label_mode: str = "RETROSPECTIVE_MATURED") -> DataFrame:
-    if label_mode not in ("RETROSPECTIVE_MATURED", "SIMULATED_DELAY"):
-        raise ValueError(f"unsupported label mode {label_mode}")
+    """Labelled rows with the mode of their labels and the claim that goes with it."""
+    claim = LABEL_CLAIMS.get(label_mode)
+    if claim is None:
+        raise ValueError(f"label mode {label_mode} is none of {sorted(LABEL_CLAIMS)}")
     if "fraud_label" not in df.columns:
-        raise ValueError("matured outcome monitoring requires fraud_label")
-    claim = "SIMULATED" if label_mode == "SIMULATED_DELAY" else "RETROSPECTIVE_MATURED"
-    return df.withColumns({"label_mode": F.lit(label_mode), "label_claim_class": F.lit(claim)})
+        raise ValueError("no outcomes without the column fraud_label")
+    return df.select("*", F.lit(label_mode).alias("label_mode"), F.lit(claim).alias("label_claim_class"))
 
 
 def assert_label_mode(mode: str, matured: bool) -> None:
-    """The operational clock has no outcomes; the matured clock needs them."""
-    if mode == "OPERATIONS_NOW" and matured:
-        raise ValueError("operational clock cannot be marked as matured")
-    if mode == "OUTCOMES_MATURED" and not matured:
-        raise ValueError("matured clock requires outcome evidence")
+    """A clock must agree with whether outcomes are at hand; clocks without a rule take either."""
+    if CLOCK_HAS_OUTCOMES.get(mode, matured) is not bool(matured):
+        raise ValueError(f"{mode} does not go {'with' if matured else 'without'} outcomes")
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_COLUMNS) -> list[str]:

@@ -220,23 +220,3 @@ def test_replay_reads_only_frozen_tables_and_hides_labels(spark, sf_dir, tmp_pat
     assert {r["severity"] for r in out["alerts"].collect()} == {"INSUFFICIENT_SUPPORT", "BLOCKED"}
     with pytest.raises(ValueError, match="observation"):
         N.replay(s.where("split_name = 'VALIDATION'"), baseline)
-
-
-def test_model_separates_and_uses_inverse_sampling_weights(spark):
-    df = spark.range(400).select(
-        F.col("id").alias("source_row_id"), F.when(F.col("id") % 4 == 0, None).otherwise((F.col("id") % 100).cast("double")).alias("amount"),
-        F.when(F.col("id") % 2 == 0, "Online Transaction").otherwise("Chip Transaction").alias("use_chip"), F.lit("5411").alias("merchant_category_code"),
-        (F.col("id") % 5 == 0).cast("int").alias("state_missing_flag"), ((F.col("id") % 100 > 70) & (F.col("id") % 2 == 0)).cast("int").alias("fraud_label"), F.lit("2020-01-01").cast("timestamp_ntz").alias("transaction_timestamp"))
-    model = L.fit(df.withColumn("sample_weight", S.sample_weight(1000, 100)), L.FEATURE_SETS["F0"])
-    scored = model.score(df)
-    assert M.ranking_metrics(scored, score="score", rows=400).first()["roc_auc"] > 0.8 and model.flagged == ["amount"]
-    unseen = model.score(df.limit(3).withColumn("use_chip", F.lit("Never Seen")))
-    assert unseen.where("score between 0 and 1").count() == 3
-    names = [r["feature_name"] for r in L.importance(model, df).collect()]
-    assert "missing_amount" in names and "use_chip=Online Transaction" in names
-    for method in ("uncalibrated", "sigmoid", "isotonic"):
-        assert L.calibrate(scored, scored, method).where("probability between 0 and 1").count() == 400
-    with pytest.raises(ValueError, match="forbidden"):
-        L.fit(df.withColumn("sample_weight", F.lit(1.0)), ["amount", "fraud_label"])
-    with pytest.raises(ValueError):
-        S.sample_weight(10, 0)

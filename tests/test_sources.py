@@ -70,7 +70,7 @@ def test_firewalls(spark):
         C.assert_policy_columns(df.columns)
     with pytest.raises(ValueError, match="outcome"):
         C.operational_view(df)
-    with pytest.raises(ValueError, match="requires fraud_label"):
+    with pytest.raises(ValueError, match="column fraud_label"):
         C.matured_view(df.drop("fraud_label"))
     with pytest.raises(ValueError):
         C.matured_view(df, "GUESSED")
