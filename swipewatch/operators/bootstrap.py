@@ -58,20 +58,36 @@ def paired_weeks(champion: DataFrame, challenger: DataFrame, assumptions: E.Assu
     return sides[0].join(sides[1], "week").select("*", place)
 
 
-def draw_deltas(weeks: DataFrame, draws: int = 1000, seed: int = SEED) -> DataFrame:
-    """Challenger minus champion per draw; both policies see the same weeks."""
+def hashed_draws(spark, weeks: int, draws: int, seed: int) -> DataFrame:
+    """(draw, position, copies): each of the ``weeks`` places of a draw takes the week that the MD5 of seed, draw and place says. A place needs
+    no other place, so draws are made where they are used, and any engine makes the same ones."""
+    places = spark.range(draws).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(weeks - 1, 0)))).alias("place"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "place")), 1, 15), 16, 10).cast("long")
+    return places.groupBy("draw", F.pmod(digest, F.lit(max(weeks, 1))).cast("int").alias("position")).agg(F.count("*").alias("copies"))
+
+
+def draw_deltas(weeks: DataFrame, draws: int = 1000, seed: int = SEED, source: str = "hash") -> DataFrame:
+    """Challenger minus champion per draw; both policies see the same weeks.
+
+    ``source`` says where draws come from: ``"hash"`` or ``"generator"``, the table of a seeded generator, which gives published intervals again.
+    """
     if draws < MIN_DRAWS:
         raise ValueError(f"the bootstrap needs at least {MIN_DRAWS} draws")
     spark = weeks.sparkSession
-    plan = spark.createDataFrame(multiplicities(weeks.count(), draws, seed), "draw int, position int, copies int")
+    if source == "hash":
+        plan = hashed_draws(spark, weeks.count(), draws, seed)
+    elif source == "generator":
+        plan = spark.createDataFrame(multiplicities(weeks.count(), draws, seed), "draw int, position int, copies int")
+    else:
+        raise ValueError(f"draws come from hash or generator, not {source}")
     sums = plan.join(F.broadcast(weeks), "position").groupBy("draw").agg(*[F.sum(F.col(f"{s}_{n}") * F.col("copies")).alias(f"{s}_{n}") for s in "ab" for n in STATS])
     a, b = _metrics("a"), _metrics("b")
     return sums.select("draw", *[(b[d] - a[d]).alias(d) for d in DELTAS])
 
 
-def weekly_paired_bootstrap(champion: DataFrame, challenger: DataFrame, assumptions: E.Assumptions = E.Assumptions(), draws: int = 1000, seed: int = SEED) -> DataFrame:
+def weekly_paired_bootstrap(champion: DataFrame, challenger: DataFrame, assumptions: E.Assumptions = E.Assumptions(), draws: int = 1000, seed: int = SEED, source: str = "hash") -> DataFrame:
     """Mean and 95 % interval of six deltas. Inputs are decided rows with their label."""
-    deltas = draw_deltas(paired_weeks(champion, challenger, assumptions), draws, seed)
+    deltas = draw_deltas(paired_weeks(champion, challenger, assumptions), draws, seed, source)
     long = deltas.selectExpr(X.unpivot_stack([(f"'{d}'", d) for d in DELTAS], ("metric", "v")))
     return long.groupBy("metric").agg(
         F.count("*").alias("draws"), F.avg("v").alias("estimate"), F.percentile("v", F.lit(0.025)).alias("ci_lower"), F.percentile("v", F.lit(0.975)).alias("ci_upper"),

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..functions.scale import TASK_ROWS, join_same, prefix, quantiles
@@ -81,38 +82,39 @@ def chi_squared_statistic(reference: Column, current: Column) -> Column:
     return F.when(filled, _total(cells))
 
 
-def chi_squared_p(statistic: float | None, degrees: int) -> float:
-    """Upper tail of the chi-squared distribution; NaN without a statistic."""
-    if statistic is None:
-        return math.nan
-    return _upper_gamma(degrees / 2, statistic / 2) if degrees else 1.0
-
-
-def _upper_gamma(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma, by series below a + 1 and by continued fraction above."""
-    if x <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1.0 / a
-        n = a
-        while abs(term) > abs(total) * 1e-16:
-            n += 1
-            term *= x / n
-            total += term
-        return max(0.0, 1.0 - total * front)
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 500):
-        step = -i * (i - a)
-        b += 2
-        d = 1 / (step * d + b)
-        c = b + step / c
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * h
+#: Terms of the incomplete gamma series and steps of its continued fraction; both have long settled by then for up to some hundred degrees.
+GAMMA_STEPS = 400
+
+
+def _half_gamma_log(a: Column) -> Column:
+    """ln of the gamma function at a whole or half number above 0, from gamma(a) = (a - 1) gamma(a - 1), gamma(1) = 1, gamma(1/2) = sqrt(pi)."""
+    start = F.when(a == F.floor(a), F.lit(0.0)).otherwise(F.lit(0.5 * math.log(math.pi)))
+    steps = (F.ceil(a) - 1).cast("int")
+    return start + F.when(steps >= 1, F.aggregate(F.sequence(F.lit(1), steps), F.lit(0.0), lambda total, k: total + F.ln(a - k))).otherwise(0.0)
+
+
+def upper_gamma(a: Column, x: Column, steps: int = GAMMA_STEPS) -> Column:
+    """Regularised upper incomplete gamma function of whole or half ``a`` as one expression: a series below ``a + 1``, Lentz's continued
+    fraction above."""
+    front = F.exp(-x + a * F.ln(x) - _half_gamma_log(a))
+    numbers = F.sequence(F.lit(1), F.lit(steps))
+    series = F.aggregate(numbers, F.struct((1 / a).alias("term"), (1 / a).alias("total")),
+                         lambda s, n: F.struct((s["term"] * x / (a + n)).alias("term"), (s["total"] + s["term"] * x / (a + n)).alias("total")), lambda s: s["total"])
+    first = 1 / (x + 1 - a)
+
+    def lentz(s: Column, i: Column) -> Column:
+        step, b = -i * (i - a), s["b"] + 2
+        d, c = 1 / (step * s["d"] + b), b + step / s["c"]
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    fraction = F.aggregate(numbers, F.struct((x + 1 - a).alias("b"), F.lit(1e300).alias("c"), first.alias("d"), first.alias("h")), lentz, lambda s: s["h"])
+    return F.when(x <= 0, 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - series * front)).otherwise(front * fraction)
+
+
+def chi_squared_p(statistic: Column, degrees: Column) -> Column:
+    """Upper tail of the chi-squared distribution; NaN without a statistic, 1 without degrees of freedom."""
+    a = F.greatest(degrees, F.lit(1)).cast("double") / 2
+    return F.when(statistic.isNull(), float("nan")).when(degrees < 1, 1.0).otherwise(upper_gamma(a, statistic / 2))
 
 
 # --- bins and histograms ----------------------------------------------------------------------------
@@ -133,20 +135,26 @@ def frozen_bins(df: DataFrame, features: Sequence[str], bins: int = 10, *, rows:
     """
     long = _long(df, features)
     found = quantiles(long, "v", [i / bins for i in range(bins + 1)], ["feature_name"], name="q", rows=rows, task_rows=task_rows)
+    deciles = {r["feature_name"]: r["q"] for r in found.collect()}  # one row a feature
+    plain = [f for f, q in deciles.items() if len(set(q)) < 3]
+    values: dict[str, list[float]] = {f: [] for f in plain}
+    if plain:  # at most bins + 2 values of each such feature
+        order = Window.partitionBy("feature_name").orderBy("v")
+        few = long.where(F.col("feature_name").isin(plain)).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= bins + 2)
+        for r in few.collect():
+            values[r["feature_name"]].append(r["v"])
     edges = {}
-    for r in found.collect():
-        f, distinct = r["feature_name"], sorted(set(r["q"]))
-        if len(distinct) >= 3:
-            edges[f] = _open(distinct[1:-1])
-            continue
-        values = sorted(v["v"] for v in long.where(F.col("feature_name") == f).select("v").distinct().limit(bins + 2).collect())
-        if len(values) == 1:
-            edges[f] = _open([values[0] + max(abs(values[0]) * 1e-6, 1e-9)])
-        elif len(values) <= bins + 1:
-            edges[f] = _open([(a + b) / 2 for a, b in zip(values, values[1:])])
+    for f, q in deciles.items():
+        seen = sorted(values.get(f, []))
+        if f not in values:
+            inner = sorted(set(q))[1:-1]
+        elif len(seen) == 1:
+            inner = [seen[0] + max(abs(seen[0]) * 1e-6, 1e-9)]
+        elif len(seen) <= bins + 1:
+            inner = [(x + y) / 2 for x, y in zip(seen, seen[1:])]
         else:
-            low, high = r["q"][0], r["q"][-1]
-            edges[f] = _open([low + (high - low) * i / bins for i in range(1, bins)])
+            inner = [q[0] + (q[-1] - q[0]) * i / bins for i in range(1, bins)]
+        edges[f] = _open(inner)
     missing = [f for f in features if f not in edges]
     if missing:
         raise ValueError(f"reference distribution is empty for {missing}")
@@ -307,9 +315,10 @@ def score_drift(current: DataFrame, reference: DataFrame, window_id: str = "", s
     return d.select("window_id", name.alias("metric"), F.col("metric_value").alias("observed"), F.lit(score_status).alias("score_status"), F.lit("EARLY_WARNING").alias("claim_class"), F.lit("FROZEN_SCORE_SUFFICIENT_STATISTICS").alias("reference_source"))
 
 
-def chi_squared(reference: DataFrame, current: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
-    """Statistic, degrees of freedom and p-value of one column on given bins; only the statistic leaves the cluster."""
-    counted = lambda df, name: df.agg(histogram(column, edges).alias(name), F.lit(1).alias("k"))
+def chi_squared(reference: DataFrame, current: DataFrame, bins: dict[str, tuple[str, Sequence[float]]]) -> DataFrame:
+    """Statistic, degrees of freedom and p-value for each entry of ``bins``, name -> (column, edges): one aggregation of each frame."""
+    counted = lambda df, name: df.agg(*[histogram(c, e).alias(f"{name}{i}") for i, (c, e) in enumerate(bins.values())], F.lit(1).alias("k"))
     both = counted(reference, "a").join(F.broadcast(counted(current, "b")), "k")  # one row each
-    r = both.select(chi_squared_statistic(F.col("a"), F.col("b")).alias("s"), (F.size("a") - 1).alias("d")).first()
-    return reference.sparkSession.createDataFrame([(column, r["s"], r["d"], chi_squared_p(r["s"], r["d"]))], "feature_name string, statistic double, degrees int, p_value double")
+    entries = F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b")) for i, n in enumerate(bins)])
+    tests = both.select(F.explode(entries).alias("e")).select("e.feature_name", chi_squared_statistic(F.col("e.a"), F.col("e.b")).alias("statistic"), (F.size("e.a") - 1).alias("degrees"))
+    return tests.withColumn("p_value", chi_squared_p(F.col("statistic"), F.col("degrees")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -272,12 +274,31 @@ def _(spark, sf):
 def _chi(spark, sf):
     ref, cur = both(spark, sf)
     edges = D.frozen_bins(ref, ["risk_score"], **bound(spark, sf))["risk_score"]
-    return D.chi_squared(ref, cur, "risk_score", edges)
-
-
-@query("MON19_chi_squared")
-def _(spark, sf):
-    return _chi(spark, sf)
+    return D.chi_squared(ref, cur, {"risk_score": ("risk_score", edges)})
+
+
+# Equal widths of the score and of the amount's cents, for several degrees of freedom.
+_WIDTHS = {f"{c}_{k}": (c, k) for k in (2, 3, 10, 31) for c in ("risk_score", "cents_of_amount")}
+_CENTS = "cast((cast(round(amount * 100) as bigint) % 100 + 100) % 100 as double) / 100"
+
+
+@query("MON19_chi_squared", with_("recursive " + MON + f""", both_ as (select 'a' as side, risk_score, {_CENTS} as cents_of_amount from ref union all select 'b', risk_score, {_CENTS} from cur),
+ binned as (select feature_name, k, b, cast(count(*) filter (where side = 'a') as double) + 1e-12::double as x, cast(count(*) filter (where side = 'b') as double) + 1e-12::double as y from ({' union all '.join(
+    f"select '{n}' as feature_name, {k} as k, side, (select count(*) from range(1, {k}) e(i) where cast(e.i as double) / {k} <= {c}) as b from both_" for n, (c, k) in _WIDTHS.items())}) q group by 1, 2, 3),
+ sized as (select *, sum(x) over p as rt, sum(y) over p as ct from binned window p as (partition by feature_name)),
+ stat as (select feature_name, sum((abs(x - ex) - least(yates, abs(x - ex))) ** 2 / ex + (abs(y - ey) - least(yates, abs(y - ey))) ** 2 / ey) as statistic, cast(max(k) - 1 as int) as degrees
+   from (select *, rt * (x + y) / (rt + ct) as ex, ct * (x + y) / (rt + ct) as ey, case when k = 2 then 0.5::double else 0 end as yates from sized) s group by 1),
+ args as (select *, degrees / 2.0::double as a, statistic / 2 as x from stat),
+ steps as (select feature_name, 0 as i, a, x, 1 / a as term, 1 / a as total, x + 1 - a as b, 1e300::double as c, 1 / (x + 1 - a) as d, 1 / (x + 1 - a) as h from args
+   union all select feature_name, i, a, x, term, total + term, b, c, d, h * d * c from (
+     select feature_name, i + 1 as i, a, x, term * x / (a + i + 1) as term, total, b + 2 as b, b + 2 + (-(i + 1) * (i + 1 - a)) / c as c, 1 / ((-(i + 1) * (i + 1 - a)) * d + b + 2) as d, h from steps where i < 400) t)""", """
+ select s.feature_name, round(statistic, 6) as statistic, degrees, round(case when x <= 0 then 1 when x < a + 1 then greatest(0, 1 - total * exp(-x + a * ln(x) - lgamma(a))) else h * exp(-x + a * ln(x) - lgamma(a)) end, 9) as p_value
+ from (select * from steps where i = 400) s join stat using (feature_name)"""))
+def _(spark, sf):
+    """P-values at 1, 2, 9 and 30 degrees of freedom."""
+    ref, cur = (df.withColumn("cents_of_amount", F.pmod(F.round(F.col("amount") * 100).cast("long"), F.lit(100)) / 100) for df in both(spark, sf))
+    bins = {n: (c, [-math.inf, *(i / k for i in range(1, k)), math.inf]) for n, (c, k) in _WIDTHS.items()}
+    return rounded(rounded(D.chi_squared(ref, cur, bins), "statistic", digits=6), "p_value", digits=9)
 
 
 @query("MON19_chi_squared_statistic", with_(MON + "," + _numeric_ctes(("risk_score",)), """select 'risk_score' as feature_name, round(sum((x - rt * (x + y) / (rt + ct)) ** 2 / (rt * (x + y) / (rt + ct)) + (y - ct * (x + y) / (rt + ct)) ** 2 / (ct * (x + y) / (rt + ct))), 6) as statistic, cast(count(*) - 1 as int) as degrees

@@ -463,6 +463,22 @@ def _(spark, sf):
     return B.weekly_stats(_boot_sides(spark, sf)[0]).withColumn("cost", F.round("cost", 6))
 
 
-@query("ECO14_bootstrap_intervals")
+def _side_sql(side: str, source: str) -> str:
+    parts = {"rows": "transactions", "fraud": "fraud_rows", "legit": "transactions - fraud_rows", "cost": "simulated_total_cost", "allowed_fraud": "fraud_allowed", "allowed_fraud_exposure": "allowed_fraud_exposure",
+             "fraud_exposure": "fraud_positive_exposure", "legit_touched": "legitimate_reviewed + legitimate_blocked", "legit_blocked": "legitimate_blocked", "reviewed": "review_count"}
+    return f"{side}w as (select week, {', '.join(f'{v} as {side}_{k}' for k, v in parts.items())} from ({economics_sql(source, f'{_WEEK} as week')}) e)"
+
+
+_RATES = {"delta_cost": "{s}_cost", "delta_capture": "coalesce(({s}_fraud - {s}_allowed_fraud) / nullif({s}_fraud, 0), 0)", "delta_exposure_capture": "coalesce(({s}_fraud_exposure - {s}_allowed_fraud_exposure) / nullif({s}_fraud_exposure, 0), 0)",
+          "delta_legitimate_block_rate": "coalesce({s}_legit_blocked / nullif({s}_legit, 0), 0)", "delta_review_rate": "coalesce({s}_reviewed / nullif({s}_rows, 0), 0)", "delta_legitimate_intervention": "coalesce({s}_legit_touched / nullif({s}_rows, 0), 0)"}
+
+
+@query("ECO14_bootstrap_intervals", with_(DEV_SCORED + "," + decide_sql("SCORE_ONLY", source="confirm") + ", " + _side_sql("a", "dec") + ", " + _side_sql("b", "(select *, 'ALLOW' as action from confirm)") + f""",
+ weeks as (select *, row_number() over (order by week) - 1 as position, count(*) over () as n from aw join bw using (week)),
+ picks as (select draw, cast(concat('0x', substr(md5(concat({B.SEED}, ':', draw, ':', place)), 1, 15)) as bigint) % n as position from range(1000) d(draw), (select distinct n from weeks) s, lateral unnest(range(n)) p(place)),
+ sums as (select draw, {', '.join(f'sum(cast({s}_{n} as double)) as {s}_{n}' for s in "ab" for n in B.STATS)} from picks join weeks using (position) group by draw),
+ deltas as (select unnest([{', '.join(f"'{d}'" for d in B.DELTAS)}]) as metric, unnest([{', '.join(f"{_RATES[d].format(s='b')} - {_RATES[d].format(s='a')}" for d in B.DELTAS)}]) as v from sums)""", f"""
+ select metric, count(*) as draws, round(avg(v), 6) as estimate, round(quantile_cont(v, 0.025), 6) as ci_lower, round(quantile_cont(v, 0.975), 6) as ci_upper, 'weekly_paired_block_bootstrap' as method, {B.SEED} as seed, 'PASS' as status from deltas group by metric"""))
 def _(spark, sf):
-    return B.weekly_paired_bootstrap(*_boot_sides(spark, sf), draws=1000)
+    t = B.weekly_paired_bootstrap(*_boot_sides(spark, sf), draws=1000)
+    return t.withColumns({c: F.round(c, 6) for c in ("estimate", "ci_lower", "ci_upper")})
