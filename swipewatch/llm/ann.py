@@ -28,6 +28,8 @@ SAMPLE_BYTES = 32_000_000
 SHARE = 1.2
 #: A leaf with more vectors is divided into cells, and queries for it go to each.
 CELL = 4096
+#: Queries whose best vectors a task merges at a time before they are shuffled.
+KEPT = 50_000
 
 
 @dataclass
@@ -124,6 +126,11 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.size("v") == (length["n"] if length else 0))
 
 
+def _lists(best: dict[int, dict[int, float]], most: int) -> pa.RecordBatch:
+    rows = [(q, i, far) for q, mine in best.items() for i, far in sorted(mine.items(), key=lambda n: (n[1], n[0]))[:most]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["q", "id", "far"])
+
+
 def nearest(table: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", k: int = 5, share: float = SHARE, leaf: int = LEAF, cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row (``is_query`` of its id) its ``k`` nearest found rows of another id.
 
@@ -192,7 +199,24 @@ def nearest(table: DataFrame, is_query, key: str = "vec_id", vector: str = "embe
         return pa.table({"q": there["q"], "near": pa.array(out, near)})
 
     pairs = homes.groupBy("leaf", "cell").cogroup(queries.groupBy("leaf", "cell")).applyInArrow(ranked, "q long, near array<struct<far double, id bigint>>")
-    best = pairs.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, most).alias("near"))
+    def shortened(batches):
+        """One list a query from those of many leaves, as far as they lie in the same stretch of a task."""
+        best: dict[int, dict[int, float]] = {}
+        for batch in batches:
+            for q, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = best.setdefault(q, {})
+                for n in found:
+                    mine[n["id"]] = n["far"]
+                if len(mine) > 4 * most:
+                    best[q] = dict(sorted(mine.items(), key=lambda n: (n[1], n[0]))[:most])
+            if len(best) >= KEPT:
+                yield _lists(best, most)
+                best = {}
+        if best:
+            yield _lists(best, most)
+
+    each = pairs.mapInArrow(shortened, "q long, id long, far double").groupBy("q", "id").agg(F.min("far").alias("far"))  # a vector is as far from a query in every leaf
+    best = each.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "id"))), 1, most).alias("near"))
     best = known.where("q").select("v", F.element_at("ids", 1).alias("g")).join(best, F.col("g") == F.col("q")).select("v", "near")
     own = rows.where(is_query("i")).distinct().join(best, "v")
     listed = own.select("i", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("i")), 1, k)).alias("p", "n"))
