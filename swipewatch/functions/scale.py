@@ -147,10 +147,11 @@ def quantiles(
     by: Sequence[str] = (),
     *,
     name: str = "quantiles",
+    weight: str | None = None,
     rows: int | None = None,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, as an array in the order of ``probs``.
+    """Exact linearly interpolated quantiles per group, as an array in the order of ``probs``. A row counts ``weight`` times, or once.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task.
     Past ``task_rows`` rows the values are counted first and the wanted positions
@@ -159,9 +160,9 @@ def quantiles(
     by = list(by)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     if rows_at_most(present, task_rows, rows):
-        found = present.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias(name))
+        found = present.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.lit(1) if weight is None else F.col(weight)).alias(name))
         return found
-    counted = present.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    counted = present.groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     cumulative = prefix(counted, by, [value], {"_upto": ("_n", "sum")}, task_rows=task_rows)
     totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
     if by:

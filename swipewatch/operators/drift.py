@@ -216,7 +216,12 @@ def numeric_drift(current: DataFrame, reference: DataFrame, window_id: str = "",
     """JS, PSI and quantile-Wasserstein against frozen rows; the rows (one per feature) are read by the driver for their edges."""
     frozen = {r["feature_name"]: list(r["bin_edges"]) for r in reference.select("feature_name", "bin_edges").collect()}
     features = [f for f in frozen if f in current.columns]
-    now = numeric_reference(current, features, frozen, probs, rows=rows, task_rows=task_rows).select(
+    return numeric_distances(numeric_reference(current, features, frozen, probs, rows=rows, task_rows=task_rows), reference, window_id)
+
+
+def numeric_distances(current: DataFrame, reference: DataFrame, window_id: str = "") -> DataFrame:
+    """The same from the statistics of the current rows, on the bins of the reference."""
+    now = current.select(
         "feature_name", F.col("bin_counts").alias("now_counts"), F.col("reference_n").alias("current_n"), F.col("missing_n").alias("now_missing"), F.col("quantiles").alias("now_q"))
     both = reference.join(F.broadcast(now), "feature_name")
     frozen_stats, quantile_form = "FROZEN_SUFFICIENT_STATISTICS", "FROZEN_QUANTILE_REPRESENTATION"
@@ -230,7 +235,12 @@ def numeric_drift(current: DataFrame, reference: DataFrame, window_id: str = "",
 
 def categorical_drift(current: DataFrame, reference: DataFrame, features: Sequence[str], window_id: str = "") -> DataFrame:
     """JS and PSI over the frozen categories; categories unseen in the reference are not part of it."""
-    now = category_reference(current, features).withColumnRenamed("reference_count", "current_count")
+    return categorical_distances(category_reference(current, features), reference, features, window_id)
+
+
+def categorical_distances(current: DataFrame, reference: DataFrame, features: Sequence[str], window_id: str = "") -> DataFrame:
+    """The same from the category counts of the current rows."""
+    now = current.withColumnRenamed("reference_count", "current_count")
     cells = join_same(reference.where(F.col("feature_name").isin(*features)), now, ["feature_name", "category"]).withColumn("current_count", F.coalesce("current_count", F.lit(0)))
     totals = cells.groupBy("feature_name").agg(F.sum("reference_count").alias("rn"), F.sum("current_count").alias("cn"), F.count("*").alias("k"))
     placed = cells.join(F.broadcast(totals), "feature_name")
@@ -281,7 +291,12 @@ def drift_from_frames(reference: DataFrame, current: DataFrame, numeric: Sequenc
 
 def category_novelty(current: DataFrame, reference: DataFrame, features: Sequence[str], window_id: str = "") -> DataFrame:
     """Share of every category then and now; categories absent from the frozen counts are new."""
-    now = category_reference(current, features).withColumnRenamed("reference_count", "current_count")
+    return novelty_of_counts(category_reference(current, features), reference, features, window_id)
+
+
+def novelty_of_counts(current: DataFrame, reference: DataFrame, features: Sequence[str], window_id: str = "") -> DataFrame:
+    """The same from the category counts of the current rows."""
+    now = current.withColumnRenamed("reference_count", "current_count")
     frozen = reference.where(F.col("feature_name").isin(*features))
     then_n = frozen.groupBy("feature_name").agg(F.sum("reference_count").alias("rn"))
     now_n = now.groupBy("feature_name").agg(F.sum("current_count").alias("cn"))
@@ -310,7 +325,10 @@ def score_reference(df: DataFrame, **bounds) -> DataFrame:
 
 
 def score_drift(current: DataFrame, reference: DataFrame, window_id: str = "", score_status: str = "RANKING_ONLY", **bounds) -> DataFrame:
-    d = numeric_drift(current, reference, window_id, SCORE_QUANTILES, **bounds)
+    return score_signals(numeric_drift(current, reference, window_id, SCORE_QUANTILES, **bounds), score_status)
+
+
+def score_signals(d: DataFrame, score_status: str = "RANKING_ONLY") -> DataFrame:
     name = F.when(F.col("metric_name") == "jensen_shannon", "score_js").when(F.col("metric_name") == "psi", "score_psi").otherwise("score_wasserstein")
     return d.select("window_id", name.alias("metric"), F.col("metric_value").alias("observed"), F.lit(score_status).alias("score_status"), F.lit("EARLY_WARNING").alias("claim_class"), F.lit("FROZEN_SCORE_SUFFICIENT_STATISTICS").alias("reference_source"))
 

@@ -22,6 +22,10 @@ def score_table(df: DataFrame, by: Sequence[str] = (), score: str = "risk_score"
     """(by, score) -> rows, frauds and their running totals from the highest score down."""
     valid = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     cells = valid.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    return running_scores(cells, by, rows=rows, task_rows=task_rows)
+
+
+def running_scores(cells: DataFrame, by: Sequence[str] = (), *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     return prefix(cells, by, [F.desc("score")], {"cum_n": ("n", "sum"), "cum_pos": ("pos", "sum")}, rows=rows, task_rows=task_rows)
 
 
@@ -42,7 +46,12 @@ def ranking_metrics(df: DataFrame, by: Sequence[str] = (), score: str = "risk_sc
     ``ks`` is the largest absolute gap of the two score distributions, ``ks_roc``
     the largest tpr - fpr.
     """
-    t = _with_totals(score_table(df, by, score, label, rows=rows, task_rows=task_rows), by)
+    return ranking_of_scores(score_table(df, by, score, label, rows=rows, task_rows=task_rows), by)
+
+
+def ranking_of_scores(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same from a ``score_table``."""
+    t = _with_totals(table, by)
     pos, neg = F.col("total_pos"), F.col("total") - F.col("total_pos")
     cum_neg = F.col("cum_n") - F.col("cum_pos")
     gap = X.ratio(F.col("cum_pos"), pos) - X.ratio(cum_neg, neg)

@@ -279,10 +279,10 @@ def _chi(spark, sf):
 
 # Equal widths of the score and of the amount's cents, for several degrees of freedom.
 _WIDTHS = {f"{c}_{k}": (c, k) for k in (2, 3, 10, 31) for c in ("risk_score", "cents_of_amount")}
-_CENTS = "cast((cast(round(amount * 100) as bigint) % 100 + 100) % 100 as double) / 100"
+_CENT_PART = "cast((cast(round(amount * 100) as bigint) % 100 + 100) % 100 as double) / 100"
 
 
-@query("MON19_chi_squared", with_("recursive " + MON + f""", both_ as (select 'a' as side, risk_score, {_CENTS} as cents_of_amount from ref union all select 'b', risk_score, {_CENTS} from cur),
+@query("MON19_chi_squared", with_("recursive " + MON + f""", both_ as (select 'a' as side, risk_score, {_CENT_PART} as cents_of_amount from ref union all select 'b', risk_score, {_CENT_PART} from cur),
  binned as (select feature_name, k, b, cast(count(*) filter (where side = 'a') as double) + 1e-12::double as x, cast(count(*) filter (where side = 'b') as double) + 1e-12::double as y from ({' union all '.join(
     f"select '{n}' as feature_name, {k} as k, side, (select count(*) from range(1, {k}) e(i) where cast(e.i as double) / {k} <= {c}) as b from both_" for n, (c, k) in _WIDTHS.items())}) q group by 1, 2, 3),
  sized as (select *, sum(x) over p as rt, sum(y) over p as ct from binned window p as (partition by feature_name)),
@@ -513,6 +513,55 @@ def _(spark, sf):
     return out
 
 
+def _day_cells(spark, sf):
+    """The out-of-time rows counted day by day in two halves, and put together."""
+    from ..functions.scale import cut
+    from ..operators import replay_days as R
+
+    s = monitored(spark, sf).join(T.scored(spark, sf).select("source_row_id", "fraud_label"), "source_row_id")
+    observed = cut(S.observation_rows(s))
+    early = F.substring("operational_window_id", -2, 2).cast("int") % 2 == 0
+    return N.build_baseline(s, **bound(spark, sf)), cut(R.merged(R.day_cells(observed.where(early)), R.day_cells(observed.where(~early))))
+
+
+_STRINGS = {"windows": ["drift_window_id"], "policy": ["policy_version", "reason", "status", "window_id"], "graph": ["graph_governance", "graph_version", "status", "window_id"], "segments": ["segment", "segment_type", "window_id"],
+            "novelty": ["category", "feature_name", "reference_source", "window_id"], "score": ["claim_class", "metric", "reference_source", "score_status", "window_id"], "ranking": ["performance_window_id"],
+            "feature_drift": ["feature_name", "feature_type", "metric_name", "window_id"]}
+_COUNTS = {"windows": ["row_count"], "policy": [f"{v.lower()}_{m}" for m in ("rate", "count") for v in _ACTIONS], "graph": [*(f"{g}_rate" for g in N.GRAPH_FLAGS), "graph_signal_missing_rate"], "segments": ["support", "share_transactions", "share_exposure"],
+           "novelty": ["reference_share", "current_share", "share_delta"], "score": ["observed"], "ranking": ["rows", "fraud_rows", "prevalence", "pr_auc", "roc_auc", "ks", "ks_roc"], "feature_drift": ["reference_n", "current_n", "metric_value"]}
+
+
+def _measures_sql(name: str, sql: str) -> str:
+    item = " || ', ' || ".join(f"'{c}=' || coalesce({c}, 'null')" for c in sorted(_STRINGS[name]))
+    pairs = ", ".join(f"{{'measure': '{c}', 'value': cast({c} as double)}}" for c in _COUNTS[name])
+    return f"select '{name}' as report, {item} as item, unnest([{pairs}], recursive := true) from ({sql}) as t_{name}"
+
+
+def _replay_sql() -> str:
+    """Each report over the out-of-time rows, written out from the rows."""
+    drift = " union all ".join(
+        [f"select 'FINAL_OOT' as window_id, '{f}' as feature_name, 'numerical' as feature_type, (select count({f}) from ref) as reference_n, (select count({f}) from cur) as current_n, unnest(['jensen_shannon','psi','wasserstein']) as metric_name, unnest([js, psi, {_qw(f, D.FEATURE_QUANTILES)}]) as metric_value from {_distances_sql(f)} d" for f in _NUM]
+        + [f"select 'FINAL_OOT', '{f}', 'categorical', (select count(*) from ref), (select count(*) from cur), unnest(['jensen_shannon','psi']), unnest([js, psi]) from {_distances_sql(f)} d" for f in _CATS])
+    novelty = " union all ".join(f"select *, 0 as unused from ({_novelty_sql(f).replace(chr(39) + '5003' + chr(39), chr(39) + 'no such' + chr(39))}) n" for f in ("channel", "MCC"))
+    ranking = """select g as performance_window_id, max(tn) as rows, max(tp) as fraud_rows, cast(max(tp) as double) / max(tn) as prevalence, case when max(tp) between 1 and max(tn) - 1 then sum(cast(p as double) / nullif(tp, 0) * (cast(cp as double) / cn)) end as pr_auc,
+      case when max(tp) between 1 and max(tn) - 1 then cast(sum(cast(n - p as hugeint) * (2 * (cp - p) + p)) as double) / (2.0::double * max(tp) * max(tn - tp)) end as roc_auc, case when max(tp) between 1 and max(tn) - 1 then max(abs(cast(cp as double) / nullif(tp, 0) - cast(cn - cp as double) / nullif(tn - tp, 0))) end as ks,
+      case when max(tp) between 1 and max(tn) - 1 then greatest(0, max(cast(cp as double) / nullif(tp, 0) - cast(cn - cp as double) / nullif(tn - tp, 0))) end as ks_roc
+      from (select *, sum(n) over w as cn, sum(p) over w as cp, sum(n) over (partition by g) as tn, sum(p) over (partition by g) as tp from (select performance_window_id as g, risk_score as s, count(*) as n, sum(fraud_label) as p from cur group by 1, 2) a window w as (partition by g order by s desc)) b group by 1"""
+    parts = {"windows": "select drift_window_id, count(*) as row_count from cur group by 1", "policy": _observed_only("MON27_policy_monitor"), "graph": _observed_only("MON30_graph_monitor"), "segments": ORACLES["MON31_segment_monitor"],
+             "score": ORACLES["MON26_score_drift"], "feature_drift": drift, "novelty": novelty, "ranking": ranking}
+    return with_(MON + "," + _numeric_ctes(_NUM) + "," + _cat_ctes(_CATS), f"select report, item, measure, round(value, 7) as value from ({' union all '.join(_measures_sql(n, q) for n, q in parts.items())}) u")
+
+
+@query("MON37_replay_by_days", _replay_sql())
+def _(spark, sf):
+    """Eight reports of a replay from merged counts of days."""
+    from ..operators import replay_days as R
+
+    baseline, cells = _day_cells(spark, sf)
+    tables = R.reports(cells, baseline, **bound(spark, sf))
+    return rounded(R.as_measures({n: tables[n] for n in _COUNTS}), "value", digits=7)
+
+
 @query("SRC09_public_export_guard", with_(MON, "select segment_type, count(*) as segments, cast(sum(support) as bigint) as support from (select 'channel' as segment_type, channel, count(*) as support from mon group by 2) t group by 1"))
 def _(spark, sf):
     t = N.segment_monitor(scored_windows(spark, sf)).where("segment_type = 'channel'").groupBy("segment_type").agg(F.count("*").alias("segments"), F.sum("support").alias("support"))

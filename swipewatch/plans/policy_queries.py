@@ -12,7 +12,7 @@ from ..operators import policy as P
 from ..operators import quality as Q
 from ..operators import search as H
 from ..sources import contracts as C
-from ..sources import readers
+from ..sources import documents, readers
 from . import tables as T
 from .registry import SCORED, query, with_
 
@@ -482,3 +482,65 @@ _RATES = {"delta_cost": "{s}_cost", "delta_capture": "coalesce(({s}_fraud - {s}_
 def _(spark, sf):
     t = B.weekly_paired_bootstrap(*_boot_sides(spark, sf), draws=1000)
     return t.withColumns({c: F.round(c, 6) for c in ("estimate", "ci_lower", "ci_upper")})
+
+
+# --- configuration documents ------------------------------------------------------------------------
+# Documents written from customers' keys, many of them broken in one way or several.
+
+_METHODS6 = [*P.METHODS, "BEST_GUESS"]
+_K = "c_custkey"
+
+
+def _policy_texts(spark, sf):
+    """JSON for even keys, YAML for odd ones."""
+    parts = {
+        "policy_version": f"if({_K} % 17 = 0, '\"\"', concat('\"P', {_K}, '\"'))", "review_threshold": f"if({_K} % 23 = 0, null, string({_K} % 7 / 10))", "block_threshold": f"if({_K} % 29 = 0, '\"high\"', string({_K} % 11 / 10))",
+        "review_capacity": f"string({_K} % 13 / 10)", "priority_method": f"concat('\"', element_at(array({', '.join(repr(m) for m in _METHODS6)}), int({_K} % 6) + 1), '\"')"}
+    entries = "filter(array(" + ", ".join(f"concat('{q}{n}{q}: ', {v})" for n, v in parts.items() for q in ['{q}']) + "), x -> x is not null)"
+    json = f"if({_K} % 19 = 0, concat('{{ broken ', {_K}), concat('{{', array_join({entries.replace('{q}', chr(34))}, ', '), '}}'))"
+    yaml = f"if({_K} % 19 = 0, 'a: b: {{', concat('# a policy', char(10), array_join({entries.replace('{q}', '')}, char(10))))"
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    texts = customers.selectExpr(f"{_K} as document", f"if({_K} % 2 = 0, {json}, {yaml}) as text")
+    return texts.where("document % 2 = 0").unionByName(documents.yaml_to_json(texts.where("document % 2 = 1")))
+
+
+_NUMBERS_OK = f"{_K} % 23 <> 0 and {_K} % 29 <> 0"
+_POLICY_RULES = {documents.HAS_VERSION: f"{_K} % 17 <> 0", documents.NUMBERS: _NUMBERS_OK, documents.ORDERED: f"not ({_NUMBERS_OK}) or ({_K} % 7 < {_K} % 11 and {_K} % 11 <= 10)", documents.SHARE: f"{_K} % 13 <= 10", documents.METHOD: f"{_K} % 6 <> 5"}
+
+
+@query("POL02_policy_documents", f"select {_K} as document, '{documents.ONE_OBJECT}' as rule from customer where {_K} % 19 = 0 " + " ".join(f"union all select {_K}, '{n}' from customer where {_K} % 19 <> 0 and not ({c})" for n, c in _POLICY_RULES.items()))
+def _(spark, sf):
+    """Every broken rule of every policy document."""
+    return documents.broken_rules(documents.policy_documents(_policy_texts(spark, sf)))
+
+
+@query("POL02_policies", f"select {_K} as document, 'P' || {_K} as policy_version, cast({_K} % 7 as double) / 10 as review_threshold, cast({_K} % 11 as double) / 10 as block_threshold, cast({_K} % 13 as double) / 10 as review_capacity, {_METHODS6}[cast({_K} % 6 as int) + 1] as priority_method from customer where {_K} % 19 <> 0 and " + " and ".join(f"({c})" for c in _POLICY_RULES.values()))
+def _(spark, sf):
+    """The typed policies of the documents that keep all rules."""
+    return documents.policy_documents(_policy_texts(spark, sf)).where(F.size("broken") == 0).drop("broken")
+
+
+def _weight_texts(spark, sf):
+    spec = lambda enabled, weight: f"concat('{{', array_join(filter(array({enabled}, {weight}), x -> x is not null), ', '), '}}')"
+    first = spec(f"if({_K} % 19 = 0, null, '\"enabled\": true')", f"if({_K} % 17 = 0, null, concat('\"weight\": ', {_K} % 7))")
+    second = spec(f"concat('\"enabled\": ', if({_K} % 3 = 0, 'false', 'true'))", "'\"weight\": 1.5'")
+    name = f"if({_K} % 13 = 0, 'lucky_star', 'cold_card')"
+    priority = f"if({_K} % 11 = 0, '{{}}', concat('{{\"pair_new\": ', {first}, ', \"', {name}, '\": ', {second}, '}}'))"
+    text = f"if({_K} % 29 = 0, '[1, 2]', concat('{{\"automatic_block_override\": {{\"enabled\": ', if({_K} % 10 = 0, 'true', 'false'), '}}, \"review_priority\": ', {priority}, '}}'))"
+    return spark.read.parquet(f"{sf}/customer.parquet").selectExpr(f"{_K} as document", f"{text} as text")
+
+
+_SOME = f"{_K} % 11 <> 0"
+_WEIGHT_RULES = {documents.NO_OVERRIDE: f"{_K} % 10 <> 0", documents.SOME_WEIGHTS: _SOME, documents.KNOWN_FIELDS: f"not ({_SOME}) or {_K} % 13 <> 0", documents.DECLARED: f"not ({_SOME}) or ({_K} % 19 <> 0 and {_K} % 17 <> 0)", documents.POSITIVE: f"not ({_SOME}) or {_K} % 17 = 0 or {_K} % 7 > 0"}
+
+
+@query("POL05_weight_documents", f"select {_K} as document, '{documents.ONE_OBJECT}' as rule from customer where {_K} % 29 = 0 " + " ".join(f"union all select {_K}, '{n}' from customer where {_K} % 29 <> 0 and not ({c})" for n, c in _WEIGHT_RULES.items()))
+def _(spark, sf):
+    return documents.broken_rules(documents.weight_documents(_weight_texts(spark, sf)))
+
+
+@query("POL05_weights", f"select {_K} as document, cast({_K} % 7 as double) as pair_new, case when {_K} % 3 <> 0 then 1.5::double end as cold_card from customer where {_K} % 29 <> 0 and " + " and ".join(f"({c})" for c in _WEIGHT_RULES.values()))
+def _(spark, sf):
+    """The enabled weights of the documents that keep all rules."""
+    fine = documents.weight_documents(_weight_texts(spark, sf)).where(F.size("broken") == 0)
+    return fine.select("document", F.element_at("weights", "pair_new").alias("pair_new"), F.element_at("weights", "cold_card").alias("cold_card"))
