@@ -434,6 +434,21 @@ def _(spark, sf):
     return S.derive_splits(T.transactions(spark, sf))
 
 
+@query("SRC08_ordered_export", with_(TXN, "select row_number() over (order by amount desc, merchant_city desc nulls last, source_row_id) as position, source_row_id, user_id, merchant_city, use_chip, amount from base"))
+def _(spark, sf):
+    """All transactions written in order to a shared folder and read back with their places."""
+    from uuid import uuid4
+
+    from ..functions.scale import ensure_checkpoint_dir
+    from ..sources.ordered import read_ordered, write_ordered
+
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/ordered-{uuid4().hex}"
+    rows = T.transactions(spark, sf).select("source_row_id", "user_id", "merchant_city", "use_chip", "amount")
+    write_ordered(rows, path, [F.desc("amount"), F.desc_nulls_last("merchant_city"), "source_row_id"])
+    return read_ordered(spark, path, rows.schema)
+
+
 @query("SPL03_split_summary", with_(TXN, "select split as split_name, min(transaction_date) as date_start, max(transaction_date) as date_end, count(*) as row_count, cast(sum(fraud_label) as bigint) as fraud_count from base group by 1"))
 def _(spark, sf):
     return S.split_summary(T.model_splits(spark, sf))
