@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
@@ -470,10 +471,48 @@ def join_same_outer(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return joined.select(*[F.coalesce(left[k], renamed[f"_r_{k}"]).alias(k) for k in keys], *others)
 
 
+def canonical(x: Column, kind: T.DataType) -> Column:
+    """One text for each value of a type, the same in any engine: a letter for the kind, then digits, or a length in bytes and the text itself.
+
+    So no two rows that differ give one text, whatever separators or words their texts hold. Doubles are a whole mantissa of 53 bits and a power
+    of two, -0 being 0; times are microseconds, dates days; maps are in the order of their keys.
+    """
+    name = kind.typeName()
+    if name in ("byte", "short", "integer", "long", "decimal"):
+        text_ = F.concat(F.lit("I"), x.cast("string"))
+    elif name == "boolean":
+        text_ = F.concat(F.lit("B"), x.cast("int").cast("string"))
+    elif name in ("double", "float"):
+        d = F.abs(x.cast("double"))
+        guess = F.floor(F.log2(d)).cast("int")
+        rest = lambda e: d / F.pow(F.lit(2.0), e)
+        exponent = F.when(rest(guess) >= 2, guess + 1).when(rest(guess) < 1, guess - 1).otherwise(guess)
+        exact = F.concat(F.when(x < 0, "-").otherwise(""), (rest(exponent) * F.lit(2.0**52)).cast("long").cast("string"), F.lit("p"), exponent.cast("string"))
+        text_ = F.concat(F.lit("F"), F.when(F.isnan(x), "nan").when(d == float("inf"), F.when(x < 0, "-inf").otherwise("inf")).when(d == 0, "0").otherwise(exact))
+    elif name == "date":
+        text_ = F.concat(F.lit("A"), F.unix_date(x).cast("string"))
+    elif name == "timestamp":
+        text_ = F.concat(F.lit("S"), F.unix_micros(x).cast("string"))
+    elif name == "timestamp_ntz":
+        seconds = F.unix_date(F.to_date(x)).cast("long") * 86400 + F.hour(x) * 3600 + F.minute(x) * 60
+        text_ = F.concat(F.lit("S"), (seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), x) * 1_000_000).cast("long")).cast("string"))
+    elif name == "array":
+        text_ = F.concat(F.lit("L"), F.size(x).cast("string"), F.lit(":"), F.array_join(F.transform(x, lambda e: canonical(e, kind.elementType)), ""))
+    elif name == "map":
+        entries = F.array_sort(F.transform(F.map_entries(x), lambda e: F.concat(canonical(e["key"], kind.keyType), canonical(e["value"], kind.valueType))))
+        text_ = F.concat(F.lit("M"), F.size(x).cast("string"), F.lit(":"), F.array_join(entries, ""))
+    elif name == "struct":
+        text_ = F.concat(F.lit("R"), *[canonical(x[f.name], f.dataType) for f in kind.fields])
+    else:
+        body = F.hex(x) if name == "binary" else x.cast("string")
+        text_ = F.concat(F.lit("T"), F.octet_length(body).cast("string"), F.lit(":"), body)
+    return F.when(x.isNull(), "N").otherwise(text_)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free frame identity: row count, and sum and xor of 60 bits of each row's MD5 over its columns in name order, as text."""
-    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<NULL>")) for c in sorted(df.columns)]
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
+    """Order-free frame identity over all columns in name order: row count, and sum and xor of 60 bits of each row's MD5, as text."""
+    cells = [part for f in sorted(df.schema.fields, key=lambda f: f.name) for part in (F.lit(f"{f.name}="), canonical(F.col(f"`{f.name}`"), f.dataType))]
+    h = F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("long")
     return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
 
 

@@ -402,12 +402,31 @@ def _(spark, sf):
 _PRINTED = ("card_index", "errors_raw", "fraud_label", "merchant_category_code", "merchant_city", "merchant_id_raw", "merchant_state", "merchant_zip", "source_row_id", "use_chip", "user_id")
 
 
-@query("DQ36_fingerprint", with_(TXN, ", h as (select ('0x' || substr(md5(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), '<NULL>')" for c in _PRINTED) + ")), 1, 15))::bigint as h from txn) select count(*) as rows, cast(sum(cast(h as hugeint)) as varchar) as hash_sum, bit_xor(h) as hash_xor from h"))
+def _cell_sql(column: str, kind: str) -> str:
+    d = f"abs(cast({column} as double))"
+    guess = f"cast(floor(log2({d})) as int)"
+    exponent = f"(case when {d} / pow(2::double, {guess}) >= 2 then {guess} + 1 when {d} / pow(2::double, {guess}) < 1 then {guess} - 1 else {guess} end)"
+    forms = {
+        "I": f"'I' || {column}", "S": f"'S' || epoch_us({column})", "T": f"'T' || strlen({column}) || ':' || {column}",
+        "F": f"'F' || case when {d} = 0 then '0' else case when {column} < 0 then '-' else '' end || cast({d} / pow(2::double, {exponent}) * 4503599627370496::double as bigint) || 'p' || {exponent} end"}
+    return f"case when {column} is null then 'N' else {forms[kind]} end"
+
+
+_KINDS = {"amount": "F", "base_score": "F", "card_index": "I", "card_key": "T", "errors_raw": "T", "fraud_label": "I", "merchant_category_code": "T", "merchant_city": "T", "merchant_id_raw": "T", "merchant_state": "T", "merchant_zip": "T",
+          "source_row_id": "I", "transaction_timestamp": "S", "use_chip": "T", "user_id": "I"}
+
+
+def _fingerprint_sql(columns) -> str:
+    row = " || ".join(f"'{c}=' || {_cell_sql(c, _KINDS[c])}" for c in sorted(columns))
+    return with_(TXN, f", h as (select ('0x' || substr(md5({row}), 1, 15))::bigint as h from txn) select count(*) as rows, cast(sum(cast(h as hugeint)) as varchar) as hash_sum, bit_xor(h) as hash_xor from h")
+
+
+@query("DQ36_fingerprint", _fingerprint_sql(_PRINTED))
 def _(spark, sf):
     return Q.fingerprint(T.transactions(spark, sf).select(*_PRINTED))
 
 
-@query("DQ36_fingerprint_all_columns")
+@query("DQ36_fingerprint_all_columns", _fingerprint_sql(_KINDS))
 def _(spark, sf):
     return Q.fingerprint(T.transactions(spark, sf))
 

@@ -129,6 +129,32 @@ def test_duplicates_and_report_comparison(spark):
     assert status == {"a": "PASS", "b": "FAIL", "": "FAIL", "c": "FAIL"}
 
 
+def test_fingerprint_tells_rows_apart_that_only_separators_join(spark):
+    mark = lambda rows, schema="a string, b string": Q.fingerprint(spark.createDataFrame(rows, schema)).first()["hash_sum"]
+    pairs = [[("x|y", "z")], [("x", "y|z")], [(None, "z")], [("<NULL>", "z")], [("N", "z")], [("", "z")], [("xb=T1:y", "z")], [("x", "b=T1:y")], [("x", "y"), ("x", "y")]]
+    assert len({mark(rows) for rows in pairs}) == len(pairs)
+
+
+def test_fingerprint_of_every_type(spark):
+    import datetime as dt
+
+    odd = [0.0, 1.0, -1.0, 0.1, 5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), 4.0, 3.9999999999999996, 1 / 3, 8.0, 1e22, None]
+    df = spark.createDataFrame([(x,) for x in odd], "x double")
+    texts = [r[0] for r in df.select(Q.canonical(F.col("x"), df.schema["x"].dataType)).collect()]
+    assert len(set(texts)) == len(odd)
+    for x, text in zip(odd, texts, strict=True):
+        if "p" in text:
+            m, e = text[1:].split("p")
+            assert int(m) * 2.0 ** (int(e) - 52) == x if -1000 < int(e) else True
+    assert Q.fingerprint(spark.createDataFrame([(-0.0,)], "x double")).first() == Q.fingerprint(spark.createDataFrame([(0.0,)], "x double")).first()
+    row = (1, dt.date(1969, 12, 31), dt.datetime(1969, 12, 31, 23, 59, 59, 999999), True, b"\x00|", [1, None], {"k": [2.5], "a": None}, ("s", 2))
+    schema = "i int, d date, t timestamp_ntz, f boolean, z binary, l array<int>, m map<string,array<double>>, r struct<p:string,q:int>"
+    wide = spark.createDataFrame([row], schema)
+    assert wide.select(Q.canonical(F.col("t"), wide.schema["t"].dataType)).first()[0] == "S-1" and wide.select(Q.canonical(F.col("d"), wide.schema["d"].dataType)).first()[0] == "A-1"
+    marks = {Q.fingerprint(spark.createDataFrame([tuple(None if j == i else v for j, v in enumerate(row))], schema)).first()["hash_sum"] for i in range(-1, len(row))}
+    assert len(marks) == len(row) + 1
+
+
 def test_fingerprint_ignores_order(spark):
     a = spark.range(100).withColumn("v", F.col("id") * 3)
     assert Q.fingerprint(a).first() == Q.fingerprint(a.orderBy(F.desc("id")).repartition(5)).first()
