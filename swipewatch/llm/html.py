@@ -23,8 +23,11 @@ from .common import free_name
 
 # Elements by their role in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "select", "object", "canvas", "audio", "video", "head")
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "svg", "annotation", "annotation-xml", "select", "head")
+#: Of these, what stands within a line and does not end it.
+UNSEEN = frozenset("script style template svg annotation annotation-xml iframe textarea select noembed".split())
+MATH = frozenset("math mfrac mi mn mo mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder mover munderover semantics".split())
+INLINE = MATH | frozenset("audio canvas object picture video a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul dl".split())
@@ -46,7 +49,7 @@ _NAMES = re.compile(r"[a-z]+")
 
 def tokens(page: str):
     """(kind, value): "text" and its characters, "open" and (tag, names of its attributes, hidden), "close" and the tag, comments left out."""
-    at, lower = 0, None
+    at, unclosed = 0, set()
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -72,16 +75,24 @@ def tokens(page: str):
                 else:
                     hidden |= key == "hidden" or key == "style" and bool(_HIDDEN.search(value)) or value == "true"
         if tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at)
+            closing = None if tag in unclosed else _closing(tag).search(page, at)
+            end = closing.start() if closing else -1
+            if end < 0:
+                unclosed.add(tag)  # so that it is not looked for again
             if end < 0 and tag not in ("script", "style", "textarea", "title", "iframe", "xmp"):  # never closed: skip only the tag
                 continue
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
-            yield "open", ("hr" if tag not in INLINE and tag not in ("svg", "math") else "img", frozenset(), False)
+            yield "open", ("img" if tag in UNSEEN else "hr", frozenset(), False)
             continue
         yield "open", (tag, frozenset(names), hidden)
 
 
+@cache
+def _closing(tag: str) -> re.Pattern:
+    """The end tag of an element whose content is no markup; letters of either case, but of ASCII alone."""
+    return re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A)
+
+
 @cache
 def weights() -> tuple[dict, dict]:
     """Log odds of standing in the main text: of tags, opened or closed, and of kinds of elements, by the words below them."""
@@ -126,18 +137,21 @@ def _boilerplate(tag: str, names: frozenset, hidden: bool, in_main: bool) -> boo
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the main text, one a line; the empty text if there is none."""
+    """Blocks of the main text, one a line; the empty text if there is none. Time and memory grow in proportion to the page, however deeply its
+    elements are nested and however many end tags have no beginning."""
     if not page:
         return ""
     tag_weights = weights()[0]
     stack: list[tuple[str, bool]] = []  # tag, and whether it or an element around it is boilerplate
     items: list[tuple[float, str | None]] = []  # score, and text or None for a tag; "" divides blocks
     depth_main = 0
+    opened: Counter = Counter()  # open elements by tag, so that only end tags and openings that close something search the stack
 
     def pop(n: int):
         nonlocal depth_main
         for tag, _ in stack[n:]:
             depth_main -= tag in ("article", "main")
+            opened[tag] -= 1
         del stack[n:]
 
     def price(tag: str) -> float:
@@ -154,7 +168,7 @@ def main_text(page: str | None) -> str:
         if what == "open":
             if tag in CLOSES_P or tag in CLOSES_SELF:
                 closing = CLOSES_SELF.get(tag, ("p",))
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if any(opened[c] > 0 for c in closing) else ():
                     if stack[k][0] in closing:
                         pop(k)
                         break
@@ -163,9 +177,10 @@ def main_text(page: str | None) -> str:
             inner = bool(stack) and stack[-1][1] or _boilerplate(tag, value[1], value[2], depth_main > 0)
             if tag not in VOID:
                 stack.append((tag, inner))
+                opened[tag] += 1
                 depth_main += tag in ("article", "main")
             bad = inner
-        else:
+        elif opened[tag] > 0:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     bad = stack[k][1]
@@ -194,7 +209,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, page: str = "html", columns: list[str] | None = None) -> DataFrame:
     """``columns`` (all) of ``pages`` with ``text`` and its length in code points, ``n_chars``; null pages have an empty text. Repeated rows
-    are kept; where a name is taken the new one gets underscores in front."""
+    are kept, an empty table has no result; a page is held by its task as a whole. Where a name is taken the new one gets underscores in front."""
     kept = pages.columns if columns is None else columns
     rows = pages.select(F.col(page).alias("_page"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("_t", T.StringType()), T.StructField("_n", T.LongType())])

@@ -27,6 +27,44 @@ def test_layouts(page):
     assert main_text(page.replace("{}", "<h1>Head</h1><p>Short.</p>\n<p>Two  words</p>")) == "Head\nShort.\nTwo words"
 
 
+def test_text_behind_letters_whose_lower_case_is_longer():
+    page = "<p>" + "İ" * 12 + "<script>x</script>kept words here<p>more"
+    assert main_text(page) == "İ" * 12 + "kept words here\nmore"
+    assert main_text("<p>a<SCRIPT>no</ſcript>no</sCrIpT >b<style>p{}</styles></style>c") == "abc"
+
+
+def test_formulas_and_what_players_show_instead_stay_in_an_article():
+    page = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p><noscript><p>Read on.</p></noscript><p>A <canvas>chart</canvas> and <object>a map</object>, <video>a film</video>.</p><svg><text>no</text></svg></article>"
+    assert main_text(page) == "So x=2 holds.\nRead on.\nA chart and a map, a film."
+
+
+@pytest.mark.parametrize(("make", "least"), [
+    (lambda n: "<div>" * n + "</b>" * 2 * n + "deep words", 1), (lambda n: "<b>" * n + "<p>x" * n, 1), (lambda n: "<svg>" * n + "words", 1), (lambda n: "<li>a" * n, 1), (lambda n: "<p>" + "<a href='" * n + "words", 0)])
+def test_time_grows_in_proportion(make, least):
+    import time
+
+    def seconds(n):
+        page = make(n)
+        best = 9e9
+        for _ in range(3):
+            began = time.perf_counter()
+            found = main_text(page)
+            best = min(best, time.perf_counter() - began)
+        assert len(found) >= least
+        return best
+
+    assert seconds(16_000) < 10 * seconds(4_000) + 0.05
+
+
+@pytest.mark.parametrize("page", [
+    '<html><body><table><tr><td class="navbar"><a>Start</a></td><td id="story">{}</td></tr></table><div class="legal footer">all rights</div></body></html>',
+    '<body><div class="topbar header"><p>Daily news of the town</p></div><section role="main">{}<div class="promo banner">subscribe now and save</div></section><section class="replies comments"><p>I do not agree with this at all</p></section></body>',
+    '<body><aside class="widget"><p>Read this too, it is long and good</p></aside><div id="page"><div id="main-content">{}</div></div><div class="cookie consent"><p>We value your privacy very much</p></div></body>',
+])
+def test_layouts_that_no_weight_was_learned_from(page):
+    assert main_text(page.replace("{}", "<h1>Head</h1><p>Short.</p>\n<p>Two <code>x = 1</code> words</p>")) == "Head\nShort.\nTwo x = 1 words"
+
+
 def test_query_equals_known_template(spark):
     sf = "/root/testdata/sf0.01"
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
