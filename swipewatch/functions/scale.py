@@ -219,3 +219,13 @@ def split_hot(df: DataFrame, hot: DataFrame, key: Sequence[str]) -> tuple[DataFr
     for k in key:
         condition = condition & df[k].eqNullSafe(F.col(f"_h_{k}"))
     return df.join(listed, condition, "left_anti"), df.join(listed, condition, "left_semi")
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: Sequence[str], *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Left join to ``right``, which has one row a key. Rows of hot keys do not meet in a task: what ``right`` has for them is sent around,
+    as many rows as there are hot keys at most. ``rows`` is an upper bound on the rows of ``left``, if known."""
+    hot = None if rows is not None and rows <= task_rows else hot_keys(left, key, task_rows)
+    if hot is None:
+        return left.join(right, list(key), "left")
+    others, many = split_hot(left, hot, key)
+    return others.join(right, list(key), "left").unionByName(many.join(F.broadcast(split_hot(right, hot, key)[1]), list(key), "left"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..functions.scale import join_same
+from ..functions.scale import TASK_ROWS, join_by_key, join_same, prefix
 from .behavior import FEATURES
 
 RAW_COLUMNS = [
@@ -373,26 +373,20 @@ def _smallest(df: DataFrame, column: str, most: int | None) -> DataFrame:
     return df if most is None else df.orderBy(column).limit(most)
 
 
-def cross_split_history(df: DataFrame, targets_per_split: int | None = None) -> DataFrame:
+def cross_split_history(df: DataFrame, targets_per_split: int | None = None, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """For each row of a later split, how many rows its user has in earlier splits and earlier in time; a sample only on request.
 
-    Splits are spans of days, so a user's rows of a split are counted day by day before they are summed: the window holds a row for each day
-    and split of a user, however many transactions these have.
+    A user's rows are counted by instant and split first, and what lies before an instant is a running sum, which no user has to fit a task for.
     """
     order = {"DEVELOPMENT": 0, "VALIDATION": 1, "OUT_OF_TIME_OOT": 2}
-    number = F.coalesce(*[F.when(F.col("split") == s, i) for s, i in order.items()])
-    cells = df.groupBy("user_id", number.alias("_split"), "transaction_timestamp").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("user_id").orderBy("transaction_timestamp").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = [F.coalesce(F.sum(F.when((F.col("_split") == i), F.col("_n"))).over(earlier), F.lit(0)) for i in range(2)]
-    # of rows at the same time none is earlier; a row's own split is not counted at all
-    here = Window.partitionBy("user_id", "transaction_timestamp")
-    tied = [F.coalesce(F.sum(F.when(F.col("_split") == i, F.col("_n"))).over(here), F.lit(0)) for i in range(2)]
-    cells = cells.select("user_id", "_split", "transaction_timestamp", *[(b - t).alias(f"_b{i}") for i, (b, t) in enumerate(zip(before, tied, strict=True))])
-    cells = cells.select("user_id", "_split", "transaction_timestamp", F.when(F.col("_split") == 1, F.col("_b0")).otherwise(F.col("_b0") + F.col("_b1")).alias("found"))
+    of = lambda s: F.count_if(F.col("split") == s)
+    cells = df.groupBy("user_id", "transaction_timestamp").agg(of("DEVELOPMENT").alias("_n0"), of("VALIDATION").alias("_n1"))
+    before = prefix(cells, ["user_id"], [F.asc_nulls_first("transaction_timestamp")], {"_b0": ("_n0", "sum"), "_b1": ("_n1", "sum")}, exclusive=True, rows=rows, task_rows=task_rows)
     later = [_smallest(df.where(F.col("split") == s), "source_row_id", targets_per_split) for s in list(order)[1:]]
-    targets = later[0].unionByName(later[1]).select("source_row_id", F.col("split").alias("target_split"), number.alias("_split"), "user_id", "transaction_timestamp")
-    return join_same(targets, cells, ["user_id", "_split", "transaction_timestamp"]).select(
-        "source_row_id", "target_split", F.lit("user").alias("entity_type"), F.coalesce("found", F.lit(0)).cast("long").alias("expected_prior_split_count"))
+    targets = later[0].unionByName(later[1]).select("source_row_id", F.col("split").alias("target_split"), "user_id", "transaction_timestamp")
+    found = F.when(F.col("transaction_timestamp").isNull(), 0).when(F.col("target_split") == "VALIDATION", F.col("_b0")).otherwise(F.col("_b0") + F.col("_b1"))
+    return join_same(targets, before.select("user_id", "transaction_timestamp", "_b0", "_b1"), ["user_id", "transaction_timestamp"]).select(
+        "source_row_id", "target_split", F.lit("user").alias("entity_type"), F.coalesce(found, F.lit(0)).cast("long").alias("expected_prior_split_count"))
 
 
 def entity_complete_qa(df: DataFrame, cohort_size: int | None = None) -> DataFrame:
@@ -417,7 +411,7 @@ def entity_complete_qa(df: DataFrame, cohort_size: int | None = None) -> DataFra
     ])
 
 
-def prefix_coverage(df: DataFrame, limit: int, targets: int | None = None) -> DataFrame:
+def prefix_coverage(df: DataFrame, limit: int, targets: int | None = None, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Is a ``source_row_id <= limit`` slice closed in time, and how many of its rows (or its first ``targets``) miss history outside it.
 
     A row misses history if its user has an earlier row outside, so the first time outside is all that is needed of a user.
@@ -432,7 +426,7 @@ def prefix_coverage(df: DataFrame, limit: int, targets: int | None = None) -> Da
         F.lit(f"SOURCE_ROW_ID_PREFIX_1_TO_{limit}").alias("scope"), F.when(closed, "PASS").otherwise("TRUNCATION_POSSIBLE").alias("status"))
     first = df.where(~inside).groupBy("user_id").agg(F.min("transaction_timestamp").alias("_first"))
     picked = _smallest(df.where(inside), "source_row_id", targets).select("user_id", "transaction_timestamp")
-    audited = picked.join(first, "user_id", "left").agg(F.count("*").alias("n"), F.count_if(F.col("_first") < F.col("transaction_timestamp")).alias("external"))
+    audited = join_by_key(picked, first, ["user_id"], rows=rows, task_rows=task_rows).agg(F.count("*").alias("n"), F.count_if(F.col("_first") < F.col("transaction_timestamp")).alias("external"))
     scope = "ALL_PREFIX_ROWS" if targets is None else f"DETERMINISTIC_{targets}_TARGET_ROWS"
     user = audited.select(
         F.lit("user").alias("entity_type"), F.col("n").alias("rows_sampled"), F.col("external").alias("rows_with_external_prior_history"),

@@ -320,7 +320,7 @@ def _(spark, sf):
   from t left join base h on h.user_id = t.user_id and h.transaction_timestamp < t.transaction_timestamp
     and (h.split = 'DEVELOPMENT' or (h.split = 'VALIDATION' and t.split = 'OUT_OF_TIME_OOT')) group by 1, 2"""))
 def _(spark, sf):
-    return Q.cross_split_history(T.model_splits(spark, sf))
+    return Q.cross_split_history(T.model_splits(spark, sf), rows=T.row_bound(spark, sf))
 
 
 @query("DQ30_entity_complete_qa", with_(TXN, """,c as (select distinct user_id from txn),
@@ -342,7 +342,7 @@ def _(spark, sf):
    'SOURCE_ROW_ID_PREFIX_1_TO_3840000' as scope, case when lo is null or hi is null or lo >= hi then 'PASS' else 'TRUNCATION_POSSIBLE' end as status from o
   union all select 'user', n, e, cast(e as double) / n, 'ALL_PREFIX_ROWS', case when e > 0 then 'TRUNCATION_POSSIBLE' else 'PASS' end from x"""))
 def _(spark, sf):
-    return Q.prefix_coverage(T.transactions(spark, sf), 3840000)
+    return Q.prefix_coverage(T.transactions(spark, sf), 3840000, rows=T.row_bound(spark, sf))
 
 
 _CMP = """,a as (select coalesce(use_chip, 'x') as segment_value, count(*) as n, cast(sum(fraud_label) as double) / count(*) as r from dev group by 1)"""

@@ -120,3 +120,29 @@ def test_checkpoint_folder_of_the_session_is_kept(spark, tmp_path):
     first = spark.sparkContext.getCheckpointDir()
     K.ensure_checkpoint_dir(spark)
     assert first is not None and spark.sparkContext.getCheckpointDir() == first
+
+
+@pytest.mark.parametrize("task_rows", [10**6, 0])
+def test_history_audits_are_the_same_for_hot_users(spark, task_rows):
+    import datetime as dt
+
+    from swipewatch.operators import quality as Q
+
+    splits = ["DEVELOPMENT", "VALIDATION", "OUT_OF_TIME_OOT"]
+    start = dt.datetime(2020, 1, 1)
+    rows = [(i, None if i % 31 == 0 else i % 3, splits[min(i // 40, 2)], None if i % 53 == 0 else start + dt.timedelta(hours=i // 2 * (1 if i % 7 else -1))) for i in range(150)]
+    df = spark.createDataFrame(rows, "source_row_id long, user_id int, split string, transaction_timestamp timestamp_ntz")
+    early = lambda a, b: a is None or a < b  # noqa: E731  rows without a time come first
+    want = {}
+    for i, user, split, at in rows:
+        if split != "DEVELOPMENT":
+            want[i] = sum(u == user and splits.index(s) < splits.index(split) and at is not None and early(t, at) for _, u, s, t in rows)
+    got = Q.cross_split_history(df, task_rows=task_rows).collect()
+    assert {r.source_row_id: r.expected_prior_split_count for r in got} == want
+    outside = {}
+    for i, user, _, at in rows:
+        if i > 60 and at is not None and user is not None:
+            outside[user] = min(outside.get(user, at), at)
+    missing = sum(i <= 60 and at is not None and user in outside and outside[user] < at for i, user, _, at in rows)
+    row = Q.prefix_coverage(df, 60, task_rows=task_rows).where("entity_type = 'user'").first()
+    assert (row.rows_sampled, row.rows_with_external_prior_history) == (61, missing) and missing > 0
