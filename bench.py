@@ -31,12 +31,14 @@ def main() -> None:
     from swipewatch.operators import behavior as B
     from swipewatch.operators import economics as E
     from swipewatch.operators import metrics as M
+    from swipewatch.operators import modeling as L
     from swipewatch.operators import monitor as N
     from swipewatch.operators import policy as P
     from swipewatch.operators import portfolio as R
     from swipewatch.operators import profiling as F
     from swipewatch.operators import quality as Q
     from swipewatch.operators import search as H
+    from swipewatch.operators import splits as S
     from swipewatch.plans import tables as T
     from swipewatch.sources import readers
 
@@ -92,8 +94,21 @@ def main() -> None:
     timed("top_k", lambda: run(M.top_k(scored, ["split_name"], rows=rows)))
     decided = stored(N.assign_windows(P.decide(unlabeled, config, rows=rows).withColumnRenamed("merchant_category_code", "MCC")), "decided")
     timed("baseline", lambda: [run(t) for t in N.build_baseline(decided, rows=rows).values()])
+    # The branches of a table of unknown size (counts, hot keys), and a fit of both feature sets; not part of the total.
+    unbounded: dict[str, float] = {}
+
+    def once(name, action):
+        started = time.perf_counter()
+        action()
+        unbounded[name] = round(time.perf_counter() - started, 3)
+
+    weighted = stored(S.with_sample_weight(S.sample_negatives(mart), mart.where("split_name = 'DEVELOPMENT'")), "weighted")
+    once("behavior_features", lambda: run(B.behavior_features(txn)))
+    once("policy_pass_exposure_rank", lambda: run(P.decide(unlabeled, P.PolicyConfig("B", 0.55, 0.85, 0.01, "EXPOSURE_WEIGHTED_RANK"))))
+    once("ranking_metrics", lambda: run(M.ranking_metrics(scored, ["split_name"])))
+    once("logistic_fit_f0_f2", lambda: L.fit_sets(weighted, {n: L.FEATURE_SETS[n] for n in ("F0", "F2")}))
     total = round(sum(seconds.values()), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "first_run": first, "sf": Path(SF_DIR).name, "rows": rows, "cpus": int(CPUS)}))
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "first_run": first, "without_bounds": unbounded, "sf": Path(SF_DIR).name, "rows": rows, "cpus": int(CPUS)}))
     spark.stop()
 
 
