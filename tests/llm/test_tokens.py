@@ -28,6 +28,29 @@ def test_widening_without_any_boundary():
         assert spliced(ENCODE, text, 256, 16) == whole(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab'sl \n.,19é中文。，\u00a0<|>", max_size=300), st.integers(3, 60), st.integers(1, 9))
+def test_random_texts_with_few_spaces(text, chunk, overlap):
+    assert spliced(ENCODE, text, chunk, overlap) == whole(text)
+
+
+@pytest.mark.parametrize("make", [
+    lambda r: "".join(r.choice("的一是了我不人在他有这个上们来到时大地为子中你说生国年着就那和要她出也得里后自以会，。") for _ in range(1_000_000)),
+    lambda r: "\n".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 12))) for _ in range(150_000)),
+    lambda r: "".join(r.choice("etaoinshrdlu") for _ in range(300_000))])
+def test_a_million_characters_without_spaces_cost_a_few_times_what_the_library_takes(make):
+    import random
+    import time
+
+    text = make(random.Random(1))
+    began = time.perf_counter()
+    n = whole(text)
+    library = time.perf_counter() - began
+    began = time.perf_counter()
+    assert spliced(ENCODE, text) == n
+    assert time.perf_counter() - began < 6 * library + 1
+
+
 def test_table(frame):
     rows = [(1, None, "a"), (1, None, "a"), (2, "", "b"), (None, "two words", None), (3, "long text, " * 9000, "c")]
     out = count_tokens(frame(rows, "doc_id long, text string, N_TOKENS string"))
