@@ -1,7 +1,8 @@
 """Mixing to target weights with soft membership.
 
 A classifier learned from a labelled table gives each document probabilities of domains. Projected-gradient least squares, with one Spark
-job a step, fits a rate from 0 to MAX_RATE for each document so that expected token totals of the domains meet their targets.
+job a step, fits a rate from 0 on for each document so that expected token totals of the domains meet their targets. It goes on until they
+are within CLOSE of them, or until steps gain no more because no rates reach them; the distance left is part of the result.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from .common import LOWER, Rolling, byte_class, cut, free_name, spans, steps, te
 SAMPLE_ROWS = 10_000
 #: Shares of tokens that the mix should have.
 TARGETS = {"clean": 0.96, "poor": 0.03, "toxic": 0.01}
-MAX_RATE = 4.0
-#: Weight of keeping each rate near 1, which makes the solution unique.
-PULL = 1e-4
-STEPS, CLOSE = 40, 1e-5
+#: Distance of a domain's share from its target at which the fit ends.
+CLOSE = 1e-5
+#: Weight of staying near the rates of the last round beside the squared distance, which gives each round one solution; a round that lowers
+#: the squared distance by less than a thousandth ends the fit, since no rates come closer.
+PULL, GAIN = 1e-6, 1e-3
+#: Lengths of a step, all tried in one job.
+LENGTHS = (1.0, 0.5, 0.25, 0.125, 1 / 32, 1 / 256)
 
 #: A word teaches if the labelled documents with it differ so much in their domains from all of them, by a likelihood-ratio test of one
 #: domain against the others: for a domain with a tenth of the documents, three that are all of that domain are enough.
@@ -140,10 +144,13 @@ def _learn(text: np.ndarray, feature: np.ndarray, value: np.ndarray, domains: li
 
 
 def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Classifier:
-    """From ``labelled`` (``key``, ``domain``), at most ``rows`` documents; null ids and other domains teach nothing, of several labels the first counts."""
+    """From ``labelled`` (``key``, ``domain``), at most ``rows`` documents; null ids and other domains teach nothing, of several labels the first
+    counts, and of several texts of an id the one with the smallest hash."""
     known = labelled.where(F.col("domain").isin(domains) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("domain").alias("_d"))
     known = known.orderBy(F.xxhash64("_k"), "_k").limit(rows)
-    found = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k").select("_t", F.xxhash64("_t").alias("_h"), "_d")  # at most ``rows`` ids
+    every = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(known), "_k").withColumn("_h", F.xxhash64("_t"))  # at most ``rows`` ids
+    chosen = every.groupBy("_k").agg(F.min("_h").alias("_h"))
+    found = every.join(F.broadcast(chosen), ["_k", "_h"]).dropDuplicates(["_k", "_h"]).select("_t", "_h", "_d")
 
     def measured(batches):
         for batch in batches:
@@ -164,64 +171,86 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     return _learn(np.repeat(np.arange(len(f)), size), f.flatten().to_numpy(), v.flatten().to_numpy(), domains, [label[i] for i in order])
 
 
-def _rates(p: np.ndarray, pulls: list[np.ndarray], step: float, pull: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after accelerated projected-gradient steps: the gradients of the domains are all that a document needs to know of the
-    others. Returns where the next gradient is taken, and the rates themselves."""
-    rate = ahead = np.ones(len(p))
-    t = 1.0
-    for g in pulls:
-        new = np.clip(ahead - step * (p @ g + pull * (ahead - 1)), 0, most)
-        t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        ahead = new + (old - 1) / t * (new - rate)
-        rate = new
-    return ahead, rate
+def rates(p: np.ndarray, push: np.ndarray, most: float | None = None) -> np.ndarray:
+    """What a push a domain makes of the rate 1, put back into 0 to ``most``: all that a document needs to know of the others."""
+    return np.clip(1 + p @ push, 0, most)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, tokens: str = "_n", posteriors: str = "_p", most: float = MAX_RATE, pull: float = PULL, rounds: int = STEPS) -> tuple[list[np.ndarray], float]:
-    """Gradients by step and the step size, from which ``_rates`` gives every document's rate. A step sums one row for each task."""
+@dataclass
+class Fit:
+    push: np.ndarray  # by domain
+    distance: float  # of the shares reached from the targets, the largest one
+    jobs: int
+
+
+def fit_rates(members: DataFrame, targets: np.ndarray, tokens: str = "_n", posteriors: str = "_p", most: float | None = None, close: float = CLOSE) -> Fit:
+    """Rates from 0 to ``most`` (no bound) by projected-gradient least squares, ``close`` to the targets or as near as they get.
+
+    Distances are measured in the metric of the domains' second moments. A step moves the rates of all documents against the gradient of
+    the squared distance, scaled by the second moments of the documents whose rates are free, and projects them into their range. As rates
+    start at 1 and the gradient of a document is its posteriors times one number a domain, the sum of the steps is one number a domain too,
+    and no rates are stored. One job tries a step at several lengths and sums one row for each task; its size depends on the domains alone.
+    """
     k = len(targets)
-    names = [*[f"s{i}" for i in range(k)], "w", *[f"m{i}_{j}" for i in range(k) for j in range(k)]]
+    each = 1 + k + k * k
+    top = np.inf if most is None else most
+
+    def sums(tried: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens, and for every push tried its cost, the distances by domain and the second moments of documents with free rates."""
+        names = ["w", *[f"s{i}" for i in range(each * len(tried))]]
 
-    def sums(pulls: list, step: float, moments: bool) -> np.ndarray:
         def part(batches):
             total = np.zeros(len(names))
             for batch in batches:
                 n = batch.column(0).to_numpy().astype(float)
-                p = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(len(n), k)
-                ahead, _ = _rates(p, pulls, step, pull, most)
-                total[:k] += (n * ahead) @ p
-                total[k] += n.sum()
-                if moments:
-                    total[k + 1 :] += ((p * n[:, None]).T @ p).ravel()
+                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(n), k)
+                total[0] += n.sum()
+                for i, y in enumerate(tried):
+                    bare = 1 + p @ y
+                    rate = np.clip(bare, 0, most)
+                    free = n * ((bare > 0) & (bare < top))
+                    total[1 + i * each : 1 + (i + 1) * each] += np.concatenate([[n @ (rate * bare - rate * rate / 2)], (n * rate) @ p, ((p * free[:, None]).T @ p).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names)
 
         rows = members.select(tokens, posteriors).mapInArrow(part, ", ".join(f"{x} double" for x in names))
-        return np.array([x or 0.0 for x in rows.agg(*[F.sum(x) for x in names]).first()])
+        got = np.array([x or 0.0 for x in rows.agg(*[F.sum(x) for x in names]).first()])
+        whole, got = got[0], got[1:].reshape(len(tried), each) / max(got[0], 1.0)
+        return whole, got[:, 0] - np.array(tried) @ targets, got[:, 1 : k + 1] - targets, got[:, k + 1 :].reshape(len(tried), k, k)
 
-    first = sums([], 0.0, True)
-    whole = first[k]
+    push = anchor = np.zeros(k)
+    whole, costs, offs, seconds = sums([push])
+    cost, off, free, jobs = costs[0], offs[0], seconds[0], 1
     if not whole:
-        return [], 0.0
-    second = first[k + 1 :].reshape(k, k) / whole
-    scale = 1 / np.maximum(np.diag(second), 1e-6)  # domains count alike, however rare
-    step = 1 / (np.linalg.eigvalsh(np.sqrt(scale)[:, None] * second * np.sqrt(scale)[None, :]).max() + pull)
-    pulls: list[np.ndarray] = []
-    now = first[:k]
-    for _ in range(rounds):
-        off = now / whole - targets
-        pulls.append(off * scale)
-        if np.abs(off).max() < CLOSE or len(pulls) > 3 and np.abs(pulls[-1] - pulls[-2]).max() < 1e-4 * CLOSE:
+        return Fit(push, float(np.abs(targets).max()), jobs)
+    moments = free + 1e-12 * np.eye(k)  # for domains that no document has
+    last = np.inf
+    while np.abs(off).max() > close:
+        gradient = off + PULL * moments @ (push - anchor)
+        if np.abs(gradient).max() <= close / 2:  # the end of a round
+            squared = off @ np.linalg.solve(moments, off)
+            if squared > (1 - GAIN) * last:
+                break
+            last, anchor, gradient = squared, push, off
+        step = np.linalg.lstsq(free + PULL * moments, -gradient, 1e-12)[0]  # posteriors of all documents may be alike
+        tried = [push + x * step for x in LENGTHS]
+        _, costs, offs, seconds = sums(tried)
+        jobs += 1
+        held = [PULL / 2 * (x - anchor) @ moments @ (x - anchor) for x in (push, *tried)]
+        best = int(np.argmin(costs + held[1:]))
+        if not costs[best] + held[best + 1] < cost + held[0]:  # below what sums of doubles can tell
             break
-        now = sums(pulls, step, False)[:k]
-    return pulls, step
+        push, cost, off, free = tried[best], costs[best], offs[best], seconds[best]
+    return Fit(push, float(np.abs(off).max()), jobs)
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (all) of ``docs`` with ``n_tokens`` (words and signs), ``posteriors`` (by domain), ``rate`` and ``copies`` (the rate, rounded up or down by a hash of id and text).
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", columns: list[str] | None = None, most: float | None = None) -> DataFrame:
+    """``columns`` (all) of ``docs`` with ``n_words`` (words and signs, which stand for tokens), ``posteriors`` (by domain), ``rate``, ``copies`` (the
+    rate, rounded up or down by a hash of id and text) and ``distance`` (of the mix from its targets, the same in all rows).
 
-    ``labelled`` has ``key`` and ``domain``. Targets are shares of the tokens there are now; a target that no rates from 0 to MAX_RATE reach
-    is met as closely as least squares do. Null and empty texts have no tokens and a rate like any other. Repeated rows get equal rates. New
-    columns get underscores in front where a name is taken. An empty table gives an empty table.
+    ``labelled`` has ``key`` and ``domain``. Targets are shares of the tokens there are now. Rates have no bound unless ``most`` is given, so
+    the few documents of a rare domain with a large target get large ones; targets that no rates reach are met as closely as least squares
+    do. Null and empty texts have no tokens and a rate like any other, and so have very long ones, which are measured whole. Repeated rows get equal rates. New columns get
+    underscores in front where a name is taken. An empty table gives an empty table.
     """
     targets = targets or TARGETS
     kept = docs.columns if columns is None else columns
@@ -238,19 +267,16 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], schema.fieldNames())
 
     members = cut(rows.mapInArrow(described, schema))
-    pulls, step = fit_rates(members, shares)
-
-    @F.pandas_udf("double")
-    def rate(p):
-        import pandas as pd
-
-        return pd.Series(_rates(np.stack(p.to_numpy()), pulls, step, PULL, MAX_RATE)[1] if len(p) else [], dtype=float)
+    fit = fit_rates(members, shares, most=most)
 
-    names = [free_name(docs, c) for c in ("n_tokens", "posteriors", "rate", "copies")]
-    out = members.withColumn("_r", rate("_p"))
+    names = [free_name(docs, c) for c in ("n_words", "posteriors", "rate", "copies", "distance")]
+    bare = sum((F.element_at("_p", i + 1) * float(x) for i, x in enumerate(fit.push)), F.lit(1.0))
+    out = members.withColumn("_r", F.greatest(F.lit(0.0), bare) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), bare)))
     chance = (F.col("_h").bitwiseAND(0xFFFFFFFF)).cast("double") / 2.0**32
     posteriors: Column = F.struct(*[F.element_at("_p", i + 1).alias(d) for i, d in enumerate(domains)])
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("_n").alias(names[0]), posteriors.alias(names[1]), F.col("_r").alias(names[2]), F.floor(F.col("_r") + chance).cast("int").alias(names[3]))
+    return out.select(
+        *[F.col(f"_{i}").alias(c) for i, c in enumerate(kept)], F.col("_n").alias(names[0]), posteriors.alias(names[1]), F.col("_r").alias(names[2]),
+        F.floor(F.col("_r") + chance).cast("long").alias(names[3]), F.lit(fit.distance).alias(names[4]))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -263,4 +289,4 @@ def op4_mixing_to_target_weights(spark, sf_dir):
     from .common import table
 
     out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text"), label_domains(table(spark, sf_dir, "labels")), columns=["doc_id"])
-    return out.select("doc_id", "n_tokens", *[F.col(f"posteriors.{d}").alias(f"p_{d}") for d in sorted(TARGETS)], "rate", "copies")
+    return out.select("doc_id", "n_words", *[F.col(f"posteriors.{d}").alias(f"p_{d}") for d in sorted(TARGETS)], "rate", "copies", "distance")

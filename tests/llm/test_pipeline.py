@@ -9,7 +9,7 @@ import corpus_pipeline  # noqa: E402
 from test_lines import plain  # noqa: E402
 from test_simhash import groups, plain_print  # noqa: E402
 
-from swipewatch.llm import quality  # noqa: E402
+from swipewatch.llm import mixing, quality  # noqa: E402
 from swipewatch.llm.decontaminate import brute_force  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def steps(spark, tmp_path_factory):
 
 def test_columns(steps):
     first = steps[0][0].columns
-    assert all(after.columns == first for _, after, *_ in steps[:-1]) and steps[-1][1].columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "posteriors", "rate", "copies"]
+    assert all(after.columns == first for _, after, *_ in steps[:-1]) and steps[-1][1].columns == ["doc_id", "lang", "source", "n_chars", "n_words", "posteriors", "rate", "copies", "distance"]
 
 
 def test_quality_keeps_what_scores(spark, steps):
@@ -63,6 +63,13 @@ def test_run_gives_all_that_is_left(spark, steps):
     assert set(steps[4][3]) == set(steps[4][2]) == {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
 
 
+def test_the_last_stage_meets_its_targets(steps):
+    rows, targets = list(steps[4][3].values()), mixing.TARGETS
+    whole = sum(r.n_words for r in rows)
+    got = {d: sum(r.n_words * r.rate * r.posteriors[d] for r in rows) / whole for d in targets}
+    assert all(abs(got[d] - targets[d]) <= mixing.CLOSE * 1.01 for d in targets)
+
+
 def test_stages_on_an_empty_table(spark, steps):
     docs = spark.createDataFrame([], steps[0][0].schema)
     for _, stage in corpus_pipeline.STAGES[:-1]:
