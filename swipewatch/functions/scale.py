@@ -8,11 +8,14 @@ aggregates inside each range and adds what earlier ranges carry over.
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 # Rows one task may sort for a window before the range-partitioned plan is used.
@@ -25,6 +28,12 @@ BROADCAST_ROWS = 200_000
 # hot keys than this and their list may be broadcast.
 HOT_KEY_DIVISOR = 100_000
 
+# Quantiles narrow the range of each wanted position by so many bins a scan, for so
+# many (group, position) pairs at most; the scans end when few rows are left in the ranges.
+RANGE_BINS = 1024
+RANGES_AT_MOST = 4_096
+RANGE_SCANS = 4
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; make one only for local runs."""
@@ -46,6 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, in compressed columns: for wide tables that are read several times, a few columns at a time. The order of rows is lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """NULL-safe equi-join that keeps one copy of the key columns."""
     renamed = right.select([F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
@@ -154,14 +171,19 @@ def quantiles(
     """Exact linearly interpolated quantiles per group, as an array in the order of ``probs``. A row counts ``weight`` times, or once.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task.
-    Past ``task_rows`` rows the values are counted first and the wanted positions
-    are looked up in their running counts.
+    Past ``task_rows`` rows scans of ``df`` count bins, which leaves a narrow range
+    around each wanted position; only values in the ranges are shuffled, and the
+    positions are looked up in their running counts. Write ``df`` first if it is
+    costly. With a weight, or for many groups, all distinct values are counted.
     """
     by = list(by)
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if weight is None and (rows is None or rows > task_rows):
+        found = _within_ranges(present, value, probs, by, name, task_rows)
+        if found is not None:
+            return found
     if rows_at_most(present, task_rows, rows):
-        found = present.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.lit(1) if weight is None else F.col(weight)).alias(name))
-        return found
+        return present.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.lit(1) if weight is None else F.col(weight)).alias(name))
     counted = present.groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("_n"))
     cumulative = prefix(counted, by, [value], {"_upto": ("_n", "sum")}, task_rows=task_rows)
     totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
@@ -198,6 +220,76 @@ def quantiles(
     )
 
 
+def _within_ranges(present: DataFrame, value: str, probs: Sequence[float], by: list[str], name: str, task_rows: int) -> DataFrame | None:
+    """``quantiles`` of present values by ranges around the wanted positions, or None for too many groups.
+
+    A range is in terms of a logarithm that keeps the order of values. The driver holds one range a group and position.
+    """
+    spark = present.sparkSession
+    # The logarithm only has to grow with the value; infinite values are at its ends.
+    v = F.col(value).cast("double")
+    place = F.signum(v) * F.log1p(F.least(F.abs(v), F.lit(1.7e308)))
+    keyed = present.select(*by, v.alias("_v"), place.alias("_x"))
+    groups = keyed.groupBy(*by).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).limit(RANGES_AT_MOST // len(probs) + 1).collect()
+    if len(groups) * len(probs) > RANGES_AT_MOST:
+        return None
+    if sum(g["n"] for g in groups) <= max(task_rows, 0):
+        return present.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs])).alias(name))
+    key_fields = [present.schema[b] for b in by]
+    # Per group: its keys, its rows, and per position [low, high, rows below low, rows inside].
+    state = []
+    for g in groups:
+        wanted = {}
+        for p in probs:
+            at = float(p) * (g["n"] - 1)
+            wanted[float(p)] = (math.floor(at), math.ceil(at), at)
+        state.append(([g[b] for b in by], g["n"], wanted, {float(p): (g["lo"], g["hi"], 0, g["n"]) for p in probs}))
+
+    def inside(open_only: bool) -> DataFrame:
+        """Rows with each of the distinct ranges of their group that they are in."""
+        schema = T.StructType([*key_fields, T.StructField("_g", T.IntegerType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
+        ranges = [(*keys, i, lo, hi) for i, (keys, _, _, spans) in enumerate(state) for lo, hi in sorted({(lo, hi) for lo, hi, _, _ in spans.values() if lo < hi or not open_only})]
+        spans = F.broadcast(spark.createDataFrame(ranges, schema))
+        joined = join_same(keyed, spans, by, "inner") if by else keyed.join(spans)
+        return joined.where(F.col("_x").between(F.col("_lo"), F.col("_hi"))).select("_g", "_lo", "_hi", "_v", "_x")
+
+    for _ in range(RANGE_SCANS):
+        left = sum(n for _, _, _, spans in state for n in {(lo, hi): n for lo, hi, _, n in spans.values() if lo < hi}.values())
+        if left <= task_rows:
+            break
+        lo, hi = F.col("_lo"), F.col("_hi")
+        bin_ = F.least(F.floor((F.col("_x") - lo) / (hi - lo) * RANGE_BINS), F.lit(RANGE_BINS - 1)).cast("int")
+        cells: dict[tuple, list] = {}
+        for r in inside(True).groupBy("_g", "_lo", "_hi", bin_.alias("_bin")).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect():
+            cells.setdefault((r["_g"], r["_lo"], r["_hi"]), []).append((r["_bin"], r["n"], r["lo"], r["hi"]))
+        for found in cells.values():
+            found.sort()
+        for i, (_, _, wanted, spans) in enumerate(state):
+            for p, (low, high, below, n) in spans.items():
+                if not low < high:
+                    continue
+                first, last, _ = wanted[p]
+                start, kept = below, []
+                for _, rows, a, b in cells[i, low, high]:
+                    if first < start + rows and last >= start:
+                        kept.append((a, b, start, rows))
+                    start += rows
+                spans[p] = (kept[0][0], kept[-1][1], kept[0][2], sum(k[3] for k in kept))
+    positions = [(i, low, high, p, below, *wanted[p]) for i, (_, _, wanted, spans) in enumerate(state) for p, (low, high, below, _) in spans.items()]
+    asked = F.broadcast(spark.createDataFrame(positions, "_g int, _lo double, _hi double, _p double, _below long, _first long, _last long, _pos double"))
+    counted = cut(inside(False).groupBy("_g", "_lo", "_hi", "_v").agg(F.count("*").alias("_n")))
+    cumulative = prefix(counted, ["_g", "_lo", "_hi"], ["_v"], {"_upto": ("_n", "sum")}, task_rows=task_rows)
+    start, end = F.col("_below") + F.col("_upto") - F.col("_n"), F.col("_below") + F.col("_upto")
+    at = lambda c: F.max(F.when((start <= F.col(c)) & (F.col(c) < end), F.col("_v")))
+    looked = cumulative.join(asked, ["_g", "_lo", "_hi"]).where((start <= F.col("_last")) & (F.col("_first") < end))
+    per = looked.groupBy("_g", "_p").agg(at("_first").alias("_a"), at("_last").alias("_b"), F.max("_pos").alias("_pos"))
+    fraction = F.col("_pos") - F.floor("_pos")
+    per = per.withColumn("_q", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") * (1 - fraction) + F.col("_b") * fraction))
+    values = per.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_q"))).alias("_m"))
+    keys = spark.createDataFrame([(*k, i) for i, (k, _, _, _) in enumerate(state)], T.StructType([*key_fields, T.StructField("_g", T.IntegerType())]))
+    return values.join(F.broadcast(keys), "_g").select(*by, F.array(*[F.col("_m")[F.lit(float(p))] for p in probs]).alias(name))
+
+
 def hot_keys(df: DataFrame, key: Sequence[str], task_rows: int = TASK_ROWS) -> DataFrame | None:
     """Keys with more rows than one task should sort, or None when there are none.
 

@@ -146,3 +146,55 @@ def test_history_audits_are_the_same_for_hot_users(spark, task_rows):
     missing = sum(i <= 60 and at is not None and user in outside and outside[user] < at for i, user, _, at in rows)
     row = Q.prefix_coverage(df, 60, task_rows=task_rows).where("entity_type = 'user'").first()
     assert (row.rows_sampled, row.rows_with_external_prior_history) == (61, missing) and missing > 0
+
+
+def test_quantiles_by_ranges_are_exact_for_ties_infinities_and_null_groups(spark):
+    value = """case when id % 7 = 0 then 0.0D when id % 11 = 0 then null when id % 13 = 0 then double('nan') when id = 17 then double('infinity') when id = 18 then -double('infinity')
+      when id % 3 = 0 then exp(rand(1) * 200 - 100) when id % 3 = 1 then -exp(rand(2) * 20) else -0.0D end"""
+    df = spark.range(4000).selectExpr("case id % 5 when 0 then null when 1 then 'a' else 'b' end as g", f"{value} as v").localCheckpoint()
+    for by in ([], ["g"]):
+        for probs in ([0.5], [0.0, 0.1, 0.25, 0.99, 1.0]):
+            got, want = ({tuple(r[b] for b in by): list(r.q) for r in K.quantiles(df, "v", probs, by, name="q", **bounds).collect()} for bounds in ({"task_rows": 50}, {"rows": 4000}))
+            assert got.keys() == want.keys() and len(got) == (3 if by else 1)
+            for key, values in want.items():
+                assert all(x == y or abs(x - y) <= 1e-12 * abs(y) for x, y in zip(got[key], values, strict=True)), (by, probs, key)
+
+
+def test_quantiles_shuffle_values_near_the_positions_only(spark):
+    import tempfile
+    from pathlib import Path
+
+    kept = []
+
+    def seen(df):
+        path = tempfile.mkdtemp(prefix="seen-")
+        df.write.parquet(f"{path}/t")
+        kept.append(df.sparkSession.read.parquet(f"{path}/t").count())
+        return df.sparkSession.read.parquet(str(Path(path, "t")))
+
+    old, K.cut = K.cut, seen
+    try:
+        got = K.quantiles(spark.range(200_000).selectExpr("double(id * 7919 % 200000) as v"), "v", [0.5], name="q", task_rows=1000).first().q
+    finally:
+        K.cut = old
+    assert got == [99_999.5]
+    assert kept and max(kept) < 2_000  # all 200,000 distinct values were written before
+
+
+def test_stored_rows_and_types_are_those_of_the_table(spark):
+    df = spark.sql("select id, if(id % 2 = 0, null, 'x') as s, timestamp_ntz'2001-02-03 04:05:06' as t, cast(id as decimal(38,0)) as d from range(5)")
+    back = K.stored(df)
+    assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect())
+
+
+def test_user_features_share_one_exchange(spark):
+    df = spark.sql("select id as source_row_id, timestamp_ntz'2001-02-03 04:05:06' as transaction_timestamp, id % 7 as user_id, '1:1' as card_key, cast(id % 5 as string) as merchant_id_raw, '5000' as merchant_category_code, 'Chip Transaction' as use_chip, 1.5D as amount, 'CA' as merchant_state from range(100)")
+    plan = B.behavior_features(df, rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(user_id") == 1  # one for each pair of keys before
+
+
+def test_tables_that_are_read_often_are_written_once(spark, sf_dir):
+    from swipewatch.plans import model_queries, monitor_queries
+
+    frames = [*monitor_queries.both(spark, sf_dir, ("amount",)), monitor_queries._labelled(spark, sf_dir), model_queries.training(spark, sf_dir, ())]
+    assert all(f.inputFiles() and all("/stored-" in x for x in f.inputFiles()) for f in frames)  # lineitem and others before
