@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.scale import stored
 from ..operators import bootstrap as B
 from ..operators import economics as E
 from ..operators import policy as P
@@ -28,8 +29,9 @@ def config(method: str, capacity: float = CAPACITY) -> P.PolicyConfig:
     return P.PolicyConfig(f"TEST_{method}", REVIEW, BLOCK, capacity, method)
 
 
-def decided(spark, sf, method="EXPOSURE_WEIGHTED_RANK", calibrated=False, **options):
-    return P.decide(features_only(spark, sf), config(method), calibrated, rows=T.row_bound(spark, sf), **options)
+def decided(spark, sf, method="EXPOSURE_WEIGHTED_RANK", calibrated=False, source=None, **options):
+    features = features_only(spark, sf) if source is None else source.drop("fraud_label")
+    return P.decide(features, config(method), calibrated, rows=T.row_bound(spark, sf), **options)
 
 
 def evaluated(spark, sf, method="EXPOSURE_WEIGHTED_RANK"):
@@ -326,7 +328,8 @@ GRID_CAPACITIES = (0.01, 0.05)
 
 
 def grid(spark, sf, capacities=GRID_CAPACITIES):
-    return H.policy_grid(confirm(spark, sf), GRID_THRESHOLDS, capacities, rows=T.row_bound(spark, sf))
+    """The grid reads the rows of Validation several times, so they are written once."""
+    return H.policy_grid(stored(confirm(spark, sf)), GRID_THRESHOLDS, capacities, rows=T.row_bound(spark, sf))
 
 
 def grid_sql(capacities=GRID_CAPACITIES) -> str:
