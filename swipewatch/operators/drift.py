@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..functions.scale import TASK_ROWS, join_same, prefix, quantiles
+from ..functions.scale import TASK_ROWS, join_same, prefix, quantiles, stored
 from .quality import join_same_outer, text
 
 EPSILON = 1e-12
@@ -264,6 +264,8 @@ def two_sample(reference: DataFrame, current: DataFrame, features: Sequence[str]
     """
     one = lambda df, a, b: _long(df, features).select("feature_name", "v", F.lit(a).alias("_a"), F.lit(b).alias("_b"))
     values = one(reference, 1, 0).unionByName(one(current, 0, 1)).groupBy("feature_name", "v").agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
+    if rows is None or rows > task_rows:  # read again for its size, its ranges and its totals
+        values = stored(values)
     totals = values.groupBy("feature_name").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     before = prefix(values, ["feature_name"], ["v"], {"ca": ("a", "sum"), "cb": ("b", "sum"), "pv": ("v", "max")}, exclusive=True, rows=rows, task_rows=task_rows)
     placed = before.join(F.broadcast(totals), "feature_name")

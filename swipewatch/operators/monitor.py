@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..functions.scale import TASK_ROWS, cut, quantiles
+from ..functions.scale import TASK_ROWS, quantiles, stored
 from ..sources import contracts as C
 from . import drift as D
 from . import metrics as M
@@ -279,9 +279,9 @@ CATEGORICAL_MONITORED = ("channel", "MCC", "pair_new", "cold_card", "new_merchan
 def build_baseline(df: DataFrame, **bounds) -> dict[str, DataFrame]:
     """Frozen tables from the pre-out-of-time rows: numeric and category references and the score reference."""
     # Several tables are read from these rows, so they are written once.
-    reference = cut(reference_rows(C.operational_view(df.drop("fraud_label"))))
     numeric = [c for c in NUMERIC_MONITORED if c in df.columns]
     categorical = [c for c in CATEGORICAL_MONITORED if c in df.columns]
+    reference = stored(reference_rows(C.operational_view(df.drop("fraud_label"))).select(*numeric, *categorical))
     return {"numeric": D.numeric_reference(reference, numeric, **bounds), "categories": D.category_reference(reference, categorical), "score": D.score_reference(reference, **bounds)}
 
 
@@ -289,7 +289,7 @@ def replay(df: DataFrame, baseline: dict[str, DataFrame], thresholds: dict[str,
     """Every monitor on the out-of-time rows, from frozen tables only; outcome tables only if labels are there."""
     check_thresholds(thresholds)
     # A dozen reports read the observation, so it is written once.
-    observed = cut(observation_rows(df))
+    observed = stored(observation_rows(df))
     if observed.isEmpty():
         raise ValueError("replay requires an out-of-time observation scope")
     label = "FINAL_OOT"

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.scale import stored
 from ..operators import drift as D
 from ..operators import monitor as N
 from ..operators import quality as Q
@@ -25,9 +26,9 @@ mon as (select *, merchant_category_code as MCC, bucket_selected as review_selec
 ref as (select * from mon where split_name = 'VALIDATION'), cur as (select * from mon where split_name = 'OUT_OF_TIME_OOT')"""
 
 
-def monitored(spark, sf):
-    """Decided rows in the monitoring contract, without labels."""
-    d = decided(spark, sf, "SCORE_ONLY").withColumnRenamed("merchant_category_code", "MCC")
+def monitored(spark, sf, source=None):
+    """Decided rows in the monitoring contract, without labels; ``source`` has the scored rows if they are written already."""
+    d = decided(spark, sf, "SCORE_ONLY", source=source).withColumnRenamed("merchant_category_code", "MCC")
     return N.assign_windows(C.adapt_decisions(d)).withColumns({"policy_version": F.lit("P1"), "graph_version": F.lit("G1")})
 
 
@@ -35,8 +36,9 @@ def scored_windows(spark, sf):
     return N.assign_windows(T.scored(spark, sf).withColumnRenamed("merchant_category_code", "MCC"))
 
 
-def both(spark, sf):
-    s = scored_windows(spark, sf)
+def both(spark, sf, columns):
+    """Reference and observed rows with ``columns``, written once because both are read several times."""
+    s = stored(scored_windows(spark, sf).select("split_name", *columns))
     return S.reference_rows(s), S.observation_rows(s)
 
 
@@ -187,14 +189,14 @@ _NUM = ("amount", "risk_score", "state_missing_flag")
 
 @query("MON11_12_frozen_bins", with_(MON + "," + _numeric_ctes(_NUM), " union all ".join(f"select '{f}' as feature_name, b as bin, n as rows from {f}_r" for f in _NUM)))
 def _(spark, sf):
-    ref, _cur = both(spark, sf)
+    ref, _cur = both(spark, sf, _NUM)
     return D.numeric_reference(ref, _NUM, **bound(spark, sf)).select("feature_name", F.posexplode("bin_counts").alias("bin", "rows")).withColumn("bin", F.col("bin").cast("long"))
 
 
 @query("MON20_numeric_reference", with_(MON, " union all ".join(
     f"select '{f}' as feature_name, count({f}) as reference_n, count(*) - count({f}) as missing_n, round(avg({f}), 6) as mean, round(stddev_pop({f}), 6) as std, " + ", ".join(f"round(quantile_cont(cast({f} as double), {p}), 6) as q{int(p * 100):02d}" for p in D.FEATURE_QUANTILES) + " from ref" for f in _NUM)))
 def _(spark, sf):
-    ref, _cur = both(spark, sf)
+    ref, _cur = both(spark, sf, _NUM)
     t = D.numeric_reference(ref, _NUM, **bound(spark, sf))
     return t.select("feature_name", "reference_n", "missing_n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), *[F.round(F.col("quantiles")[i], 6).alias(f"q{int(p * 100):02d}") for i, p in enumerate(D.FEATURE_QUANTILES)])
 
@@ -204,7 +206,7 @@ _CATS = ("channel", "MCC", "pair_new", "cold_card", "new_merchant", "cross_commu
 
 @query("MON20_category_reference", with_(MON, " union all ".join(f"select '{f}' as feature_name, coalesce(cast({f} as varchar), '__NULL__') as category, count(*) as reference_count from ref group by 2" for f in _CATS)))
 def _(spark, sf):
-    return D.category_reference(both(spark, sf)[0], _CATS)
+    return D.category_reference(both(spark, sf, _CATS)[0], _CATS)
 
 
 def _qvec(f: str, source: str, probs) -> str:
@@ -219,7 +221,7 @@ def _qw(f: str, probs) -> str:
 @query("MON21_numeric_feature_drift", with_(MON + "," + _numeric_ctes(_NUM), " union all ".join(
     f"select 'FINAL_OOT' as window_id, '{f}' as feature_name, 'numerical' as feature_type, (select count({f}) from ref) as reference_n, (select count({f}) from cur) as current_n, unnest(['jensen_shannon','psi','wasserstein']) as metric_name, unnest([round(js, 8), round(psi, 8), round({_qw(f, D.FEATURE_QUANTILES)}, 8)]) as metric_value from {_distances_sql(f)} d" for f in _NUM)))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, _NUM)
     frozen = D.numeric_reference(ref, _NUM, **bound(spark, sf))
     return rounded(D.numeric_drift(cur, frozen, "FINAL_OOT", **bound(spark, sf)), "metric_value", digits=8).select("window_id", "feature_name", "feature_type", "reference_n", "current_n", "metric_name", "metric_value")
 
@@ -234,7 +236,7 @@ def _cat_ctes(features) -> str:
 @query("MON21_categorical_feature_drift", with_(MON + "," + _cat_ctes(_CATS), " union all ".join(
     f"select 'FINAL_OOT' as window_id, '{f}' as feature_name, 'categorical' as feature_type, (select count(*) from ref) as reference_n, (select count(*) from cur) as current_n, unnest(['jensen_shannon','psi']) as metric_name, unnest([round(js, 8), round(psi, 8)]) as metric_value from {_distances_sql(f)} d" for f in _CATS)))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, _CATS)
     return rounded(D.categorical_drift(cur, D.category_reference(ref, _CATS), _CATS, "FINAL_OOT"), "metric_value", digits=8)
 
 
@@ -246,7 +248,7 @@ _TWO = """, v as (select 'amount' as f, amount as v, 1 as a, 0 as b from ref uni
 
 @query("MON16_17_two_sample", with_(MON + _TWO, "select c.f as feature_name, round(max(abs(fa - fb)), 8) as ks, round(sum(abs(fa - fb) * (nv - v)) / max(sd), 8) as wasserstein from c join s on c.f = s.f group by 1"))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, ("amount", "risk_score"))
     return rounded(D.two_sample(ref, cur, ("amount", "risk_score"), **bound(spark, sf)), "ks", "wasserstein", digits=8)
 
 
@@ -258,13 +260,13 @@ _D2 = ("amount", "risk_score")
     + [f"select 'w', 'channel', 'categorical', unnest(['jensen_shannon','psi']), unnest([round(js, 8), round(psi, 8)]) from {_distances_sql('channel')} d",
        "select 'w', f, 'numerical', unnest(['ks','wasserstein']), unnest([round(ks, 8), round(w, 8)]) from (select c.f, max(abs(fa - fb)) as ks, sum(abs(fa - fb) * (nv - v)) / max(sd) as w from c join s on c.f = s.f group by 1) t"])))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, (*_D2, "channel"))
     return rounded(D.drift_from_frames(ref, cur, _D2, ("channel",), "w", **bound(spark, sf)), "metric_value", digits=8)
 
 
 @query("MON13_18_total_variation", with_(MON + "," + _numeric_ctes(("risk_score",)), f"select 'risk_score' as feature_name, round(tv, 9) as total_variation from {_distances_sql('risk_score')} d"))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, ("risk_score",))
     edges = D.frozen_bins(ref, ["risk_score"], **bound(spark, sf))["risk_score"]
     a = ref.agg(D.histogram("risk_score", edges).alias("a"), F.lit(1).alias("k"))
     b = cur.agg(D.histogram("risk_score", edges).alias("b"), F.lit(1).alias("k"))
@@ -272,7 +274,7 @@ def _(spark, sf):
 
 
 def _chi(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, ("risk_score",))
     edges = D.frozen_bins(ref, ["risk_score"], **bound(spark, sf))["risk_score"]
     return D.chi_squared(ref, cur, {"risk_score": ("risk_score", edges)})
 
@@ -296,7 +298,7 @@ _CENT_PART = "cast((cast(round(amount * 100) as bigint) % 100 + 100) % 100 as do
  from (select * from steps where i = 400) s join stat using (feature_name)"""))
 def _(spark, sf):
     """P-values at 1, 2, 9 and 30 degrees of freedom."""
-    ref, cur = (df.withColumn("cents_of_amount", F.pmod(F.round(F.col("amount") * 100).cast("long"), F.lit(100)) / 100) for df in both(spark, sf))
+    ref, cur = (df.withColumn("cents_of_amount", F.pmod(F.round(F.col("amount") * 100).cast("long"), F.lit(100)) / 100) for df in both(spark, sf, ("risk_score", "amount")))
     bins = {n: (c, [-math.inf, *(i / k for i in range(1, k)), math.inf]) for n, (c, k) in _WIDTHS.items()}
     return rounded(rounded(D.chi_squared(ref, cur, bins), "statistic", digits=6), "p_value", digits=9)
 
@@ -309,7 +311,7 @@ def _(spark, sf):
 
 @query("MON23_known_categories", with_(MON, "select 'MCC' as feature_name, MCC as category, cast(count(*) as double) / (select count(*) from ref) as reference_share from ref group by 2"))
 def _(spark, sf):
-    return D.top_categories(both(spark, sf)[0], "MCC")
+    return D.top_categories(both(spark, sf, ("MCC",))[0], "MCC")
 
 
 def _novelty_sql(f: str) -> str:
@@ -321,13 +323,13 @@ def _novelty_sql(f: str) -> str:
 
 @query("MON24_category_novelty", with_(MON, _novelty_sql("channel") + " union all " + _novelty_sql("MCC")))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, ("channel", "MCC"))
     return D.category_novelty(cur, D.category_reference(ref, ("channel",)).unionByName(D.category_reference(ref.where("MCC <> '5003'"), ("MCC",))), ("channel", "MCC"), "FINAL_OOT")
 
 
 @query("MON25_score_summary", with_(MON, "select count(risk_score) as n, round(avg(risk_score), 9) as mean, round(median(risk_score), 9) as median, round(stddev_pop(risk_score), 9) as std, " + ", ".join(f"round(quantile_cont(risk_score, {p / 100}), 9) as p{p}" for p in (50, 75, 90, 95, 99)) + ", cast(count(*) filter (where risk_score >= 0.55) as double) / count(*) as share_above_review_threshold, cast(count(*) filter (where risk_score >= 0.85) as double) / count(*) as share_above_block_threshold from ref"))
 def _(spark, sf):
-    s = D.score_summary(both(spark, sf)[0], 0.55, 0.85, **bound(spark, sf))
+    s = D.score_summary(both(spark, sf, ("risk_score",))[0], 0.55, 0.85, **bound(spark, sf))
     return rounded(s, "mean", "median", "std", "p50", "p75", "p90", "p95", "p99")
 
 
@@ -336,7 +338,7 @@ _SCORE_SIGNALS = f"select unnest(['score_js','score_psi','score_wasserstein']) a
 
 @query("MON26_score_drift", with_(MON + "," + _numeric_ctes(("risk_score",)), f"select 'FINAL_OOT' as window_id, metric, observed, 'RANKING_ONLY' as score_status, 'EARLY_WARNING' as claim_class, 'FROZEN_SCORE_SUFFICIENT_STATISTICS' as reference_source from ({_SCORE_SIGNALS}) t"))
 def _(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, ("risk_score",))
     return rounded(D.score_drift(cur, D.score_reference(ref, **bound(spark, sf)), "FINAL_OOT", **bound(spark, sf)), "observed", digits=8)
 
 
@@ -402,7 +404,7 @@ _ALERTS = f"""select concat('P8-', metric, '-FINAL_OOT') as alert_id, 'FINAL_OOT
 
 
 def _alerts(spark, sf):
-    ref, cur = both(spark, sf)
+    ref, cur = both(spark, sf, ("risk_score",))
     d = rounded(D.score_drift(cur, D.score_reference(ref, **bound(spark, sf)), "FINAL_OOT", **bound(spark, sf)), "observed", digits=8)
     signals = d.select("window_id", F.lit("SCORE").alias("signal_family"), "metric", "observed", F.lit(cur.count()).cast("long").alias("support"), "claim_class")
     limits = {"score_js": (0.16317, 0.16438, 100), "score_psi": (0.21624, 0.21950, 10_000)}
@@ -445,10 +447,14 @@ def _(spark, sf):
     return N.recommend(alerted).groupBy(family.alias("signal_family"), "recommendation").agg(F.count("*").alias("windows"))
 
 
+def _labelled(spark, sf):
+    """Decided rows with their labels, written once; decisions and labels both come from scored rows that are written once."""
+    scored = stored(T.scored(spark, sf))
+    return stored(monitored(spark, sf, scored).join(scored.select("source_row_id", "fraud_label"), "source_row_id"))
+
+
 def _replayed(spark, sf):
-    s = monitored(spark, sf)
-    labels = T.scored(spark, sf).select("source_row_id", "fraud_label")
-    full = s.join(labels, "source_row_id")
+    full = _labelled(spark, sf)
     return N.replay(full, N.build_baseline(full, **bound(spark, sf)), **bound(spark, sf))
 
 
@@ -518,8 +524,8 @@ def _day_cells(spark, sf):
     from ..functions.scale import cut
     from ..operators import replay_days as R
 
-    s = monitored(spark, sf).join(T.scored(spark, sf).select("source_row_id", "fraud_label"), "source_row_id")
-    observed = cut(S.observation_rows(s))
+    s = _labelled(spark, sf)
+    observed = S.observation_rows(s)
     early = F.substring("operational_window_id", -2, 2).cast("int") % 2 == 0
     return N.build_baseline(s, **bound(spark, sf)), cut(R.merged(R.day_cells(observed.where(early)), R.day_cells(observed.where(~early))))
 
