@@ -305,11 +305,11 @@ DEV_SCORED = SCORED + ",tune as (select * from scored where split_name = 'DEVELO
 
 
 def tune(spark, sf):
-    return T.scored(spark, sf).where("split_name = 'DEVELOPMENT'")
+    return T.scored(spark, sf, splits=("DEVELOPMENT",))
 
 
 def confirm(spark, sf):
-    return T.scored(spark, sf).where("split_name = 'VALIDATION'")
+    return T.scored(spark, sf, splits=("VALIDATION",))
 
 
 @query("ECO04_quantile_thresholds", with_(DEV_SCORED, f"select distinct round(q, 10) as threshold from (select unnest(quantile_cont(risk_score, [{_Q}])) as q from tune) t"))
