@@ -128,14 +128,24 @@ def _open(inner: Sequence[float]) -> list[float]:
     return [-math.inf, *inner, math.inf]
 
 
-def frozen_bins(df: DataFrame, features: Sequence[str], bins: int = 10, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> dict[str, list[float]]:
-    """Decile edges per feature with open ends. Only the edges, eleven numbers per feature, reach the driver.
+def _places(df: DataFrame, features: Sequence[str], probs: Sequence[float], *, rows: int | None = None, task_rows: int = TASK_ROWS) -> dict[str, dict[float, float]]:
+    """Exact quantiles of each feature that has values, by place: a row a feature, which the driver holds."""
+    found = quantiles(_long(df, features), "v", list(probs), ["feature_name"], name="q", rows=rows, task_rows=task_rows)
+    return {r["feature_name"]: dict(zip(probs, r["q"], strict=True)) for r in found.collect()}
+
+
+def _shares(bins: int) -> list[float]:
+    return [i / bins for i in range(bins + 1)]
+
+
+def frozen_bins(df: DataFrame, features: Sequence[str], bins: int = 10, *, places: dict[str, dict[float, float]] | None = None, rows: int | None = None, task_rows: int = TASK_ROWS) -> dict[str, list[float]]:
+    """Decile edges per feature with open ends. Only the edges, eleven numbers per feature, reach the driver; ``places`` has them if known.
 
     Fewer than three distinct deciles fall back to midpoints of a few values, or to equal widths.
     """
     long = _long(df, features)
-    found = quantiles(long, "v", [i / bins for i in range(bins + 1)], ["feature_name"], name="q", rows=rows, task_rows=task_rows)
-    deciles = {r["feature_name"]: r["q"] for r in found.collect()}  # one row a feature
+    places = places or _places(df, features, _shares(bins), rows=rows, task_rows=task_rows)
+    deciles = {f: [q[p] for p in _shares(bins)] for f, q in places.items()}
     plain = [f for f, q in deciles.items() if len(set(q)) < 3]
     values: dict[str, list[float]] = {f: [] for f in plain}
     if plain:  # at most bins + 2 values of each such feature
@@ -181,8 +191,9 @@ def _edges_literal(edges: Sequence[float]) -> Column:
 
 
 def numeric_reference(df: DataFrame, features: Sequence[str], edges: dict[str, list[float]] | None = None, probs: Sequence[float] = FEATURE_QUANTILES, bins: int = 10, *, rows: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
-    """Frozen statistics of numeric features, one row each."""
-    edges = edges or frozen_bins(df, features, bins, rows=rows, task_rows=task_rows)
+    """Frozen statistics of numeric features, one row each. Deciles and quantiles are found together."""
+    places = _places(df, features, sorted({*probs, *(() if edges else _shares(bins))}), rows=rows, task_rows=task_rows)
+    edges = edges or frozen_bins(df, features, bins, places=places, rows=rows, task_rows=task_rows)
     aggs = []
     for f in features:
         v = F.col(f).cast("double")
@@ -191,8 +202,8 @@ def numeric_reference(df: DataFrame, features: Sequence[str], edges: dict[str, l
             F.count_if(v.isNull()).alias("missing_n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std")).alias(f"s_{f}"))
     one = df.agg(*aggs)
     stats = one.select(F.inline(F.array(*[F.col(f"s_{f}") for f in features])))
-    q = quantiles(_long(df, features), "v", list(probs), ["feature_name"], name="quantiles", rows=rows, task_rows=task_rows)
-    return stats.join(q, "feature_name", "left").select(*[f.name for f in NUMERIC_SCHEMA.fields])
+    q = df.sparkSession.createDataFrame([(f, [at[p] for p in probs]) for f, at in places.items()], "feature_name string, quantiles array<double>")
+    return stats.join(F.broadcast(q), "feature_name", "left").select(*[f.name for f in NUMERIC_SCHEMA.fields])
 
 
 def category_reference(df: DataFrame, features: Sequence[str]) -> DataFrame:

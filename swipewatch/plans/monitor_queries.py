@@ -32,13 +32,13 @@ def monitored(spark, sf, source=None):
     return N.assign_windows(C.adapt_decisions(d)).withColumns({"policy_version": F.lit("P1"), "graph_version": F.lit("G1")})
 
 
-def scored_windows(spark, sf):
-    return N.assign_windows(T.scored(spark, sf).withColumnRenamed("merchant_category_code", "MCC"))
+def scored_windows(spark, sf, columns=None):
+    return N.assign_windows(T.scored(spark, sf, columns).withColumnRenamed("merchant_category_code", "MCC"))
 
 
 def both(spark, sf, columns):
     """Reference and observed rows with ``columns``, written once because both are read several times."""
-    s = stored(scored_windows(spark, sf).select("split_name", *columns))
+    s = stored(scored_windows(spark, sf, columns).select("split_name", *columns))
     return S.reference_rows(s), S.observation_rows(s)
 
 
@@ -447,15 +447,22 @@ def _(spark, sf):
     return N.recommend(alerted).groupBy(family.alias("signal_family"), "recommendation").agg(F.count("*").alias("windows"))
 
 
-def _labelled(spark, sf):
-    """Decided rows with their labels, written once; decisions and labels both come from scored rows that are written once."""
+def _labelled(spark, sf, scored=None):
+    """The observed decided rows with their labels, written once; nothing reads the labels of other rows. Decisions and labels both come
+    from scored rows that are written once."""
+    scored = stored(T.scored(spark, sf)) if scored is None else scored
+    labels = S.observation_rows(scored).select("source_row_id", "fraud_label")
+    return stored(S.observation_rows(monitored(spark, sf, scored)).join(labels, "source_row_id"))
+
+
+def _baseline_and_observed(spark, sf):
     scored = stored(T.scored(spark, sf))
-    return stored(monitored(spark, sf, scored).join(scored.select("source_row_id", "fraud_label"), "source_row_id"))
+    return N.build_baseline(monitored(spark, sf, scored), **bound(spark, sf)), _labelled(spark, sf, scored)
 
 
 def _replayed(spark, sf):
-    full = _labelled(spark, sf)
-    return N.replay(full, N.build_baseline(full, **bound(spark, sf)), **bound(spark, sf))
+    baseline, observed = _baseline_and_observed(spark, sf)
+    return N.replay(observed, baseline, **bound(spark, sf))
 
 
 def _root_cause_sql() -> str:
@@ -520,14 +527,12 @@ def _(spark, sf):
 
 
 def _day_cells(spark, sf):
-    """The out-of-time rows counted day by day in two halves, and put together."""
-    from ..functions.scale import cut
+    """The out-of-time rows counted day by day in two halves, each written once, and put together."""
     from ..operators import replay_days as R
 
-    s = _labelled(spark, sf)
-    observed = S.observation_rows(s)
+    baseline, observed = _baseline_and_observed(spark, sf)
     early = F.substring("operational_window_id", -2, 2).cast("int") % 2 == 0
-    return N.build_baseline(s, **bound(spark, sf)), cut(R.merged(R.day_cells(observed.where(early)), R.day_cells(observed.where(~early))))
+    return baseline, R.merged(stored(R.day_cells(observed.where(early))), stored(R.day_cells(observed.where(~early))))
 
 
 _STRINGS = {"windows": ["drift_window_id"], "policy": ["policy_version", "reason", "status", "window_id"], "graph": ["graph_governance", "graph_version", "status", "window_id"], "segments": ["segment", "segment_type", "window_id"],

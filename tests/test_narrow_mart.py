@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from swipewatch.operators import behavior as B
+from swipewatch.operators import drift as D
+from swipewatch.plans import monitor_queries as Q
 from swipewatch.plans import tables as T
 
 
@@ -59,3 +61,23 @@ def test_rows_are_not_dealt_out_for_features_that_nothing_reads(spark, given):
     assert "RepartitionByExpression" not in plan(score.select("split_name", "risk_score")) and "pair_new" not in score.columns
     assert "RepartitionByExpression" in plan(T.mart(spark, given).select("split_name", "base_score"))  # what a query that names nothing pays
     assert rows_of(score, "source_row_id", "risk_score", "state_missing_flag") == rows_of(T.scored(spark, given), "source_row_id", "risk_score", "state_missing_flag")
+
+
+def test_labels_meet_observed_rows_only(spark, given):
+    observed = Q._labelled(spark, given)
+    assert {r["split_name"] for r in observed.select("split_name").distinct().collect()} == {"OUT_OF_TIME_OOT"}
+    labels = T.scored(spark, given, splits=("OUT_OF_TIME_OOT",))
+    assert rows_of(observed, "source_row_id", "fraud_label") == rows_of(labels, "source_row_id", "fraud_label")
+
+
+def test_a_reference_finds_its_quantiles_once(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i * i % 97), i % 2) for i in range(300)], "risk_score double, flag int")
+    asked = []
+    found = D.quantiles
+    monkeypatch.setattr(D, "quantiles", lambda df, value, probs, *rest, **more: asked.append(list(probs)) or found(df, value, probs, *rest, **more))
+    got = {r["feature_name"]: r for r in D.numeric_reference(df, ["risk_score", "flag"], rows=300).collect()}
+    assert len(asked) == 1
+    monkeypatch.undo()
+    assert [got["risk_score"]["bin_edges"], got["flag"]["bin_edges"]] == [D.frozen_bins(df, ["risk_score", "flag"], rows=300)[f] for f in ("risk_score", "flag")]
+    exact = df.select(F.percentile("risk_score", F.array(*[F.lit(p) for p in D.FEATURE_QUANTILES]))).first()[0]
+    assert got["risk_score"]["quantiles"] == pytest.approx(exact)
