@@ -447,22 +447,19 @@ def _(spark, sf):
     return N.recommend(alerted).groupBy(family.alias("signal_family"), "recommendation").agg(F.count("*").alias("windows"))
 
 
-def _labelled(spark, sf, scored=None):
-    """The observed decided rows with their labels, written once; nothing reads the labels of other rows. Decisions and labels both come
-    from scored rows that are written once."""
-    scored = stored(T.scored(spark, sf)) if scored is None else scored
-    labels = S.observation_rows(scored).select("source_row_id", "fraud_label")
-    return stored(S.observation_rows(monitored(spark, sf, scored)).join(labels, "source_row_id"))
-
-
-def _baseline_and_observed(spark, sf):
+def _labelled(spark, sf):
+    """Decided reference and observed rows with their labels, written once; decisions and labels both come from scored rows that are written
+    once. Every row is decided, but a replay reads no Development rows unless they are the reference."""
     scored = stored(T.scored(spark, sf))
-    return N.build_baseline(monitored(spark, sf, scored), **bound(spark, sf)), _labelled(spark, sf, scored)
+    read = F.lit(True)
+    if not scored.where(S.is_reference() & F.col("source_row_id").isNotNull()).isEmpty():
+        read = S.is_reference() | S.is_observed()
+    return stored(monitored(spark, sf, scored).where(read).join(scored.select("source_row_id", "fraud_label"), "source_row_id"))
 
 
 def _replayed(spark, sf):
-    baseline, observed = _baseline_and_observed(spark, sf)
-    return N.replay(observed, baseline, **bound(spark, sf))
+    full = _labelled(spark, sf)
+    return N.replay(full, N.build_baseline(full, **bound(spark, sf)), **bound(spark, sf))
 
 
 def _root_cause_sql() -> str:
@@ -530,9 +527,10 @@ def _day_cells(spark, sf):
     """The out-of-time rows counted day by day in two halves, each written once, and put together."""
     from ..operators import replay_days as R
 
-    baseline, observed = _baseline_and_observed(spark, sf)
+    s = _labelled(spark, sf)
+    observed = S.observation_rows(s)
     early = F.substring("operational_window_id", -2, 2).cast("int") % 2 == 0
-    return baseline, R.merged(stored(R.day_cells(observed.where(early))), stored(R.day_cells(observed.where(~early))))
+    return N.build_baseline(s, **bound(spark, sf)), R.merged(stored(R.day_cells(observed.where(early))), stored(R.day_cells(observed.where(~early))))
 
 
 _STRINGS = {"windows": ["drift_window_id"], "policy": ["policy_version", "reason", "status", "window_id"], "graph": ["graph_governance", "graph_version", "status", "window_id"], "segments": ["segment", "segment_type", "window_id"],

@@ -13,11 +13,12 @@ from swipewatch.plans import tables as T
 
 @pytest.fixture(scope="module")
 def given(spark, tmp_path_factory):
-    """Small tables with orders in every split, one without a time and two of one number; parts, customers and flags are missing in places."""
+    """Small tables with orders in every split, one without a time and two of one number; parts, customers and flags are missing in places, and
+    the ids of line 9 are those of line 1 of the next order."""
     at = str(tmp_path_factory.mktemp("given"))
     days = [dt.datetime(1999, 8, 9) + dt.timedelta(days=30 * i) for i in range(18)]
     orders = [(i, i % 3 if i % 7 else None, d) for i, d in enumerate(days)] + [(18, 1, None), (3, 2, days[4])]
-    line = [(o, 10 + (o * 5 + n) % 30 if n % 4 else None, (o + n) % 4, n, float(n * 12), 100.5 * n, 0.0 if n % 2 else 0.05, 0.01, ("A", "N", "R", "X", None)[(o + n) % 5], "FO"[n % 2], days[0]) for o in range(19) for n in range(1, 6)]
+    line = [(o, 10 + (o * 5 + n) % 30 if n % 4 else None, (o + n) % 4, n, float(n * 12), 100.5 * n, 0.0 if n % 2 else 0.05, 0.01, ("A", "N", "R", "X", None)[(o + n) % 5], "FO"[n % 2], days[0]) for o in range(19) for n in (1, 2, 3, 4, 9)]
     tables = {
         "lineitem": (line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"),
         "orders": (orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"), "supplier": ([(i, i % 2) for i in range(4)], "s_suppkey long, s_nationkey long"), "nation": ([(0, "A"), (1, None)], "n_nationkey long, n_name string")}
@@ -63,11 +64,13 @@ def test_rows_are_not_dealt_out_for_features_that_nothing_reads(spark, given):
     assert rows_of(score, "source_row_id", "risk_score", "state_missing_flag") == rows_of(T.scored(spark, given), "source_row_id", "risk_score", "state_missing_flag")
 
 
-def test_labels_meet_observed_rows_only(spark, given):
-    observed = Q._labelled(spark, given)
-    assert {r["split_name"] for r in observed.select("split_name").distinct().collect()} == {"OUT_OF_TIME_OOT"}
-    labels = T.scored(spark, given, splits=("OUT_OF_TIME_OOT",))
-    assert rows_of(observed, "source_row_id", "fraud_label") == rows_of(labels, "source_row_id", "fraud_label")
+def test_labels_meet_rows_that_a_replay_reads(spark, given):
+    labelled = Q._labelled(spark, given)
+    assert {r["split_name"] for r in labelled.select("split_name").distinct().collect()} == {"VALIDATION", "OUT_OF_TIME_OOT"}  # Development rows too before
+    scored = T.scored(spark, given)
+    joined = scored.where("split_name <> 'DEVELOPMENT'").drop("fraud_label").join(scored.select("source_row_id", "fraud_label"), "source_row_id")
+    assert joined.count() > joined.distinct().count() or joined.count() > scored.where("split_name <> 'DEVELOPMENT'").count()  # ids repeat
+    assert rows_of(labelled, "source_row_id", "amount", "fraud_label") == rows_of(joined, "source_row_id", "amount", "fraud_label")
 
 
 def test_a_reference_finds_its_quantiles_once(spark, monkeypatch):
