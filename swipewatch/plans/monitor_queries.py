@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.scale import stored
+from ..functions.scale import dealt, stored
 from ..operators import drift as D
 from ..operators import monitor as N
 from ..operators import quality as Q
@@ -32,13 +32,20 @@ def monitored(spark, sf, source=None):
     return N.assign_windows(C.adapt_decisions(d)).withColumns({"policy_version": F.lit("P1"), "graph_version": F.lit("G1")})
 
 
-def scored_windows(spark, sf, columns=None):
-    return N.assign_windows(T.scored(spark, sf, columns).withColumnRenamed("merchant_category_code", "MCC"))
+def scored_windows(spark, sf, columns=None, splits=()):
+    return N.assign_windows(T.scored(spark, sf, columns, splits).withColumnRenamed("merchant_category_code", "MCC"))
+
+
+_COMPARED = (S.VALIDATION, S.OUT_OF_TIME)
 
 
 def both(spark, sf, columns):
-    """Reference and observed rows with ``columns``, written once because both are read several times."""
-    s = stored(scored_windows(spark, sf, columns).select("split_name", *columns))
+    """Reference and observed rows with ``columns``, written once because both are read several times. Development rows are read only if they
+    are the reference."""
+    made = lambda splits: stored(scored_windows(spark, sf, columns, splits).select("split_name", *columns))
+    s = made(_COMPARED)
+    if s.where(S.is_reference()).isEmpty():
+        s = made(())
     return S.reference_rows(s), S.observation_rows(s)
 
 
@@ -449,12 +456,13 @@ def _(spark, sf):
 
 def _labelled(spark, sf):
     """Decided reference and observed rows with their labels, written once; decisions and labels both come from scored rows that are written
-    once. Every row is decided, but a replay reads no Development rows unless they are the reference."""
-    scored = stored(T.scored(spark, sf))
-    read = F.lit(True)
-    if not scored.where(S.is_reference() & F.col("source_row_id").isNotNull()).isEmpty():
-        read = S.is_reference() | S.is_observed()
-    return stored(monitored(spark, sf, scored).where(read).join(scored.select("source_row_id", "fraud_label"), "source_row_id"))
+    once. A queue is a day's, so Development rows, which a replay reads only if they are the reference, change no decision on the others."""
+    scored = stored(T.scored(spark, sf, splits=_COMPARED))
+    if scored.where(S.is_reference() & F.col("source_row_id").isNotNull()).isEmpty():
+        scored = stored(T.scored(spark, sf))
+    rows = T.row_bound(spark, sf)
+    both_sides = [dealt(df, ["source_row_id"], rows) for df in (monitored(spark, sf, scored), scored.select("source_row_id", "fraud_label"))]
+    return stored(both_sides[0].join(both_sides[1], "source_row_id"))
 
 
 def _replayed(spark, sf):
