@@ -456,12 +456,13 @@ def _(spark, sf):
 
 def _labelled(spark, sf):
     """Decided reference and observed rows with their labels, written once; decisions and labels both come from scored rows that are written
-    once. A queue is a day's, so Development rows, which a replay reads only if they are the reference, change no decision on the others."""
-    scored = stored(T.scored(spark, sf, splits=_COMPARED))
-    if scored.where(S.is_reference() & F.col("source_row_id").isNotNull()).isEmpty():
-        scored = stored(T.scored(spark, sf))
+    once. A queue is a day's, so Development rows, which a replay reads only if they are the reference, change no decision on the others; ids
+    may repeat, so the labels are those of all rows."""
+    scored = compared = stored(T.scored(spark, sf))
+    if not scored.where(S.is_reference() & F.col("source_row_id").isNotNull()).isEmpty():
+        compared = scored.where(S.is_reference() | S.is_observed())
     rows = T.row_bound(spark, sf)
-    both_sides = [dealt(df, ["source_row_id"], rows) for df in (monitored(spark, sf, scored), scored.select("source_row_id", "fraud_label"))]
+    both_sides = [dealt(df, ["source_row_id"], rows) for df in (monitored(spark, sf, compared), scored.select("source_row_id", "fraud_label"))]
     return stored(both_sides[0].join(both_sides[1], "source_row_id"))
 
 
