@@ -47,7 +47,7 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     same, order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_COLUMNS), Window.partitionBy("o_orderkey")
     rows, lines = row_bound(spark, sf_dir), line.where(F.col("l_orderkey").isNotNull())
     if rows > DEALT_ROWS:  # by order for both, the window and the join
-        lines = dealt(lines, ["l_orderkey"], rows)
+        lines, orders = dealt(lines, ["l_orderkey"], rows), dealt(orders, ["o_orderkey"], rows)
     lines = lines.withColumn("_line", F.row_number().over(same) - 1)
     orders = orders.select("*", (F.row_number().over(order.orderBy("o_orderdate", "o_custkey")) - 1).alias("_order"), F.count("*").over(order).alias("_orders"))
     number = F.col("_line") * F.col("_orders") + F.col("_order")
