@@ -285,11 +285,12 @@ def build_baseline(df: DataFrame, **bounds) -> dict[str, DataFrame]:
     return {"numeric": D.numeric_reference(reference, numeric, **bounds), "categories": D.category_reference(reference, categorical), "score": D.score_reference(reference, **bounds)}
 
 
-def replay(df: DataFrame, baseline: dict[str, DataFrame], thresholds: dict[str, tuple[float, float, int]] = ALERT_THRESHOLDS, **bounds) -> dict[str, DataFrame]:
-    """Every monitor on the out-of-time rows, from frozen tables only; outcome tables only if labels are there."""
+def replay(df: DataFrame, baseline: dict[str, DataFrame], thresholds: dict[str, tuple[float, float, int]] = ALERT_THRESHOLDS, *, written: bool = False, **bounds) -> dict[str, DataFrame]:
+    """Every monitor on the out-of-time rows, from frozen tables only; outcome tables only if labels are there. ``written`` rows are read from
+    files already."""
     check_thresholds(thresholds)
-    # A dozen reports read the observation, so it is written once.
-    observed = stored(observation_rows(df))
+    # A dozen reports read the observation, a few columns each, so it is written once.
+    observed = observation_rows(df) if written else stored(observation_rows(df))
     if observed.isEmpty():
         raise ValueError("replay requires an out-of-time observation scope")
     label = "FINAL_OOT"

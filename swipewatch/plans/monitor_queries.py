@@ -26,10 +26,18 @@ mon as (select *, merchant_category_code as MCC, bucket_selected as review_selec
 ref as (select * from mon where split_name = 'VALIDATION'), cur as (select * from mon where split_name = 'OUT_OF_TIME_OOT')"""
 
 
-def monitored(spark, sf, source=None):
-    """Decided rows in the monitoring contract, without labels; ``source`` has the scored rows if they are written already."""
-    d = decided(spark, sf, "SCORE_ONLY", source=source).withColumnRenamed("merchant_category_code", "MCC")
-    return N.assign_windows(C.adapt_decisions(d)).withColumns({"policy_version": F.lit("P1"), "graph_version": F.lit("G1")})
+def adapted(spark, sf, source=None):
+    return C.adapt_decisions(decided(spark, sf, "SCORE_ONLY", source=source).withColumnRenamed("merchant_category_code", "MCC"))
+
+
+def placed(d):
+    """Adapted rows with their windows and versions."""
+    return N.assign_windows(d).withColumns({"policy_version": F.lit("P1"), "graph_version": F.lit("G1")})
+
+
+def monitored(spark, sf):
+    """Decided rows in the monitoring contract, without labels."""
+    return placed(adapted(spark, sf))
 
 
 def scored_windows(spark, sf, columns=None, splits=()):
@@ -462,13 +470,14 @@ def _labelled(spark, sf):
     if not scored.where(S.is_reference() & F.col("source_row_id").isNotNull()).isEmpty():
         compared = scored.where(S.is_reference() | S.is_observed())
     rows = T.row_bound(spark, sf)
-    both_sides = [dealt(df, ["source_row_id"], rows) for df in (monitored(spark, sf, compared), scored.select("source_row_id", "fraud_label"))]
-    return stored(both_sides[0].join(both_sides[1], "source_row_id"))
+    both_sides = [dealt(df, ["source_row_id"], rows) for df in (adapted(spark, sf, compared), scored.select("source_row_id", "fraud_label"))]
+    full = placed(both_sides[0].join(both_sides[1], "source_row_id"))  # windows and versions are texts, which need not be dealt out
+    return stored(full.select(*[c for c in full.columns if c != "fraud_label"], "fraud_label"))
 
 
 def _replayed(spark, sf):
     full = _labelled(spark, sf)
-    return N.replay(full, N.build_baseline(full, **bound(spark, sf)), **bound(spark, sf))
+    return N.replay(full, N.build_baseline(full, **bound(spark, sf)), written=True, **bound(spark, sf))
 
 
 def _root_cause_sql() -> str:
