@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.scale import DEALT_ROWS, dealt
 from ..sources.contracts import FORBIDDEN_POLICY
 
 CELLS = [(a, l) for a in ("ALLOW", "REVIEW", "BLOCK") for l in ("fraud", "legit")]
@@ -79,11 +80,14 @@ def economics_columns(a: Assumptions, prevalence: float = 1.0) -> list[Column]:
     return [c.alias(name) for name, c in metrics.items()]
 
 
-def join_labels(decisions: DataFrame, labels: DataFrame, label: str = "fraud_label") -> DataFrame:
-    """Labels joined after the decision, one to one; a missing or doubled label stops the job."""
+def join_labels(decisions: DataFrame, labels: DataFrame, label: str = "fraud_label", *, rows: int | None = None) -> DataFrame:
+    """Labels joined after the decision, one to one; a missing or doubled label stops the job. With ``rows``, an upper bound on either side, many
+    rows are dealt out to as many tasks as they take."""
     held = sorted(FORBIDDEN_POLICY & set(decisions.columns))
     if held:
         raise ValueError(f"label firewall: decisions carry {held}")
+    if (rows or 0) > DEALT_ROWS:
+        decisions, labels = dealt(decisions, ["source_row_id"], rows), dealt(labels, ["source_row_id"], rows)
     once = labels.groupBy("source_row_id").agg(F.max(label).alias(label), F.count("*").alias("_copies"))
     joined = decisions.join(once, "source_row_id", "left")
     fine = F.col(label).isNotNull() & (F.col("_copies") == 1)

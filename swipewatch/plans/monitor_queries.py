@@ -15,7 +15,7 @@ from ..operators import splits as S
 from ..sources import contracts as C
 from ..sources import readers
 from . import tables as T
-from .policy_queries import decide_sql, decided
+from .policy_queries import decide_sql, decided, scored_once
 from .registry import ORACLES, SCORED, query, with_
 
 MON = SCORED + "," + decide_sql("SCORE_ONLY") + """,
@@ -40,6 +40,14 @@ def monitored(spark, sf):
     return placed(adapted(spark, sf))
 
 
+_QUEUE = ("operational_window_id", "review_capacity_bucket", "candidate_action", "action", "review_selected", "review_overflow", "bucket_capacity", "risk_score", "positive_exposure")
+
+
+def reviewed(spark, sf):
+    """Monitored rows with what a review monitor reads, written once; the decision reads scored rows that are written once."""
+    return stored(placed(adapted(spark, sf, scored_once(spark, sf))).select(*_QUEUE))
+
+
 def scored_windows(spark, sf, columns=None, splits=()):
     return N.assign_windows(T.scored(spark, sf, columns, splits).withColumnRenamed("merchant_category_code", "MCC"))
 
@@ -375,7 +383,7 @@ _SEL = "filter (where review_selected)"
   max(bucket_capacity) as capacity, cast(count(*) {_SEL} as double) / nullif(max(bucket_capacity), 0) as capacity_utilization, cast(count(*) filter (where candidate_action = 'REVIEW') as double) / count(*) as candidate_rate, cast(count(*) {_SEL} as double) / count(*) as selected_rate,
   cast(count(*) filter (where review_overflow) as double) / count(*) as overflow_rate, round(avg(risk_score) {_SEL}, 9) as mean_review_score, round(quantile_cont(risk_score, 0.9) {_SEL}, 9) as p90_review_score, round(cast(sum({_CENTS}) {_SEL} as double) / (count(*) {_SEL} * 100.0::double), 6) as mean_review_exposure from mon group by 1"""))
 def _(spark, sf):
-    r = N.review_monitor(monitored(spark, sf), **bound(spark, sf))
+    r = N.review_monitor(reviewed(spark, sf), **bound(spark, sf))
     return rounded(rounded(r, "mean_review_score", "p90_review_score"), "mean_review_exposure", digits=6)
 
 

@@ -34,9 +34,17 @@ def decided(spark, sf, method="EXPOSURE_WEIGHTED_RANK", calibrated=False, source
     return P.decide(features, config(method), calibrated, rows=T.row_bound(spark, sf), **options)
 
 
-def evaluated(spark, sf, method="EXPOSURE_WEIGHTED_RANK"):
-    labels = T.scored(spark, sf).select("source_row_id", "fraud_label")
-    return E.join_labels(decided(spark, sf, method), labels)
+_EVALUATED = ("source_row_id", "transaction_timestamp", "risk_score", "positive_exposure", "fraud_label")
+
+
+def scored_once(spark, sf, more=()):
+    """Scored rows with what a queue that looks at no flag reads, and ``more``, written once: the decision reads them several times, and so do the labels."""
+    return stored(T.scored(spark, sf, more).select(*_EVALUATED, *more))
+
+
+def evaluated(spark, sf, method="EXPOSURE_WEIGHTED_RANK", scored=None):
+    scored = scored_once(spark, sf) if scored is None else scored
+    return E.join_labels(decided(spark, sf, method, source=scored), scored.select("source_row_id", "fraud_label"), rows=T.row_bound(spark, sf))
 
 
 _FACTOR = " * ".join(f"(case when {f} then cast({w} as double) else cast(1 as double) end)" for f, w in P.GRAPH_WEIGHTS.items())
@@ -295,7 +303,7 @@ _SEG = """,seg as (select *, case when cold_card and new_merchant then 'BOTH_NOD
 
 @query("ECO03_segment_economics", with_(STANDARD, _SEG + economics_sql("long", "segment_type, segment")))
 def _(spark, sf):
-    return rounded(E.by_segment(evaluated(spark, sf)))
+    return rounded(E.by_segment(evaluated(spark, sf, scored=scored_once(spark, sf, ("channel", "pair_new", "cold_card", "new_merchant")))))
 
 
 # --- search -----------------------------------------------------------------------------------------
@@ -433,9 +441,9 @@ def _(spark, sf):
    unnest([c.simulated_total_cost, c.fraud_capture, c.fraud_exposure_capture, c.review_rate, c.legitimate_block_rate]) as challenger,
    unnest([c.simulated_total_cost - b.simulated_total_cost, c.fraud_capture - b.fraud_capture, c.fraud_exposure_capture - b.fraud_exposure_capture, c.review_rate - b.review_rate, c.legitimate_block_rate - b.legitimate_block_rate]) as delta from b, c"""))
 def _(spark, sf):
-    s = T.scored(spark, sf)
+    s = scored_once(spark, sf)
     base = E.evaluate(s.withColumn("action", F.lit("ALLOW")))
-    return H.metric_delta(rounded(E.evaluate(evaluated(spark, sf))), rounded(base))
+    return H.metric_delta(rounded(E.evaluate(evaluated(spark, sf, scored=s))), rounded(base))
 
 
 FROZEN = {"policy_version": "FROZEN", "review_threshold": REVIEW, "block_threshold": BLOCK, "review_capacity": CAPACITY, "priority_method": "GRAPH_NOVELTY"}
